@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference runs every entry point as a batch over the full history: it
+has no watermark, event-time window, session or stateful operator, so this
+package defines no streaming operator. The batch operators are
+``DataFrame -> DataFrame`` and contain no action, so they can be applied to
+a landed micro-batch inside ``foreachBatch`` unchanged if a caller needs it.
+"""
