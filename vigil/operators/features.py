@@ -88,27 +88,42 @@ def _decayed_sum(lst: Column, r: float) -> Column:
     return F.aggregate(lst, F.lit(0.0), lambda acc, x: acc * F.lit(r) + x)
 
 
-def ewm_list_std(lst: Column, alpha: float) -> Column:
-    """Bias-corrected exponentially weighted standard deviation of a list
-    ordered oldest -> newest, weights (1 - alpha)^age (adjusted form).
+def ewm_moments(df: DataFrame, lst: str, alpha: float, prefix: str) -> DataFrame:
+    """Add the decayed sums of a list column (oldest element first) as columns
+    ``{prefix}_sw``, ``_sw2``, ``_swx``, ``_swxx``.
 
-    One pass per moment: the weighted sums come from a Horner recurrence, so
-    the cost is linear in the list length.
+    Each sum is one Horner pass, and each is materialised once: list lambdas
+    run interpreted, so a sum referenced twice in a formula would otherwise
+    be recomputed.
     """
     r = 1.0 - alpha
     ones = F.transform(lst, lambda x: F.lit(1.0))
-    sw = _decayed_sum(ones, r)
-    sw2 = _decayed_sum(ones, r * r)
-    mean = _decayed_sum(lst, r) / sw
-    biased = F.greatest(_decayed_sum(F.transform(lst, lambda x: x * x), r) / sw - mean * mean,
-                        F.lit(0.0))
+    return df.withColumns({
+        f"{prefix}_sw": _decayed_sum(ones, r),
+        f"{prefix}_sw2": _decayed_sum(ones, r * r),
+        f"{prefix}_swx": _decayed_sum(F.col(lst), r),
+        f"{prefix}_swxx": _decayed_sum(F.transform(lst, lambda x: x * x), r),
+    })
+
+
+def ewm_std_from_moments(prefix: str) -> Column:
+    """Bias-corrected weighted sd from the sums of :func:`ewm_moments`:
+    var = (swxx/sw - m^2) * sw^2 / (sw^2 - sw2), m = swx / sw."""
+    sw, sw2 = F.col(f"{prefix}_sw"), F.col(f"{prefix}_sw2")
+    mean = F.col(f"{prefix}_swx") / sw
+    biased = F.greatest(F.col(f"{prefix}_swxx") / sw - mean * mean, F.lit(0.0))
     return F.sqrt(safe_div(biased * sw * sw, sw * sw - sw2))
 
 
-def ewm_list_mean(lst: Column, alpha: float) -> Column:
-    """Adjusted exponentially weighted mean of a list ordered oldest -> newest."""
+def ewm_mean_column(df: DataFrame, lst: str, alpha: float, out: str) -> DataFrame:
+    """Adjusted exponentially weighted mean of a list column (oldest first)."""
     r = 1.0 - alpha
-    return _decayed_sum(lst, r) / _decayed_sum(F.transform(lst, lambda x: F.lit(1.0)), r)
+    tmp = f"_{out}_w"
+    df = df.withColumns({
+        tmp: _decayed_sum(F.transform(lst, lambda x: F.lit(1.0)), r),
+        f"{tmp}x": _decayed_sum(F.col(lst), r),
+    })
+    return df.withColumn(out, F.col(f"{tmp}x") / F.col(tmp)).drop(tmp, f"{tmp}x")
 
 
 def ewma_volatility(df: DataFrame, ret: str, keys: Sequence[str], span: int = 20,
@@ -119,9 +134,11 @@ def ewma_volatility(df: DataFrame, ret: str, keys: Sequence[str], span: int = 20
     at span 20 the dropped weight is below 1e-17 of the total.
     """
     alpha = 2.0 / (span + 1.0)
-    tmp = f"_{out}_list"
-    df = df.withColumn(tmp, F.collect_list(ret).over(_frame(keys, horizon)))
-    return df.withColumn(out, ewm_list_std(F.col(tmp), alpha) * F.lit(SQRT_252)).drop(tmp)
+    tmp = f"_{out}"
+    df = df.withColumn(f"{tmp}_list", F.collect_list(ret).over(_frame(keys, horizon)))
+    df = ewm_moments(df, f"{tmp}_list", alpha, tmp)
+    df = df.withColumn(out, ewm_std_from_moments(tmp) * F.lit(SQRT_252))
+    return df.drop(f"{tmp}_list", f"{tmp}_sw", f"{tmp}_sw2", f"{tmp}_swx", f"{tmp}_swxx")
 
 
 def vol_of_vol(df: DataFrame, ret: str, keys: Sequence[str], window: int = 20,
@@ -333,16 +350,20 @@ def list_quantile(sorted_list: Column, q: float) -> Column:
 
 def cvar(df: DataFrame, ret: str, keys: Sequence[str], window: int = 60, alpha: float = 0.05,
          out: str = "cvar_5pct") -> DataFrame:
-    """WF-17: mean of the returns at or below the ``alpha`` quantile of the frame."""
-    w = series_window(keys)
-    tmp = f"_{out}_sorted"
-    df = df.withColumn(tmp, F.when(F.count(ret).over(_frame(keys, window)) == window,
-                                   F.array_sort(F.collect_list(ret).over(_frame(keys, window)))))
-    q = list_quantile(F.col(tmp), alpha)
-    tail = F.filter(F.col(tmp), lambda x: x <= q)
-    mean = safe_div(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x), F.size(tail).cast("double"))
-    del w
-    return df.withColumn(out, mean).drop(tmp)
+    """WF-17: mean of the returns at or below the ``alpha`` quantile of the frame.
+
+    The quantile and the tail are materialised as columns so that the
+    interpreted list lambdas evaluate each only once per row.
+    """
+    tmp = f"_{out}"
+    f = _frame(keys, window)
+    df = df.withColumn(f"{tmp}_s", F.when(F.count(ret).over(f) == window,
+                                         F.array_sort(F.collect_list(ret).over(f))))
+    df = df.withColumn(f"{tmp}_q", list_quantile(F.col(f"{tmp}_s"), alpha))
+    df = df.withColumn(f"{tmp}_t", F.filter(F.col(f"{tmp}_s"), lambda x: x <= F.col(f"{tmp}_q")))
+    mean = safe_div(F.aggregate(f"{tmp}_t", F.lit(0.0), lambda a, x: a + x),
+                    F.size(f"{tmp}_t").cast("double"))
+    return df.withColumn(out, mean).drop(f"{tmp}_s", f"{tmp}_q", f"{tmp}_t")
 
 
 def skew_kurt(df: DataFrame, ret: str, keys: Sequence[str], window: int = 30) -> DataFrame:

@@ -268,3 +268,87 @@ def with_ctes(ctes: list[str], body: str) -> str:
 def rnd(expr: str, digits: int = R_DIGITS, alias: str | None = None) -> str:
     out = f"round({expr}, {digits})"
     return f"{out} AS {alias}" if alias else out
+
+
+def _scaled(x: str, part: str = "universe") -> str:
+    p = f"(PARTITION BY {part})"
+    lo, hi = f"min({x}) OVER {p}", f"max({x}) OVER {p}"
+    return (f"CASE WHEN ({x}) IS NULL THEN NULL WHEN {hi} = {lo} THEN CAST(100.0 AS DOUBLE) "
+            f"ELSE (1 - (({x}) - {lo}) / ({hi} - {lo})) * 100 END")
+
+
+def score_ctes() -> list[str]:
+    """CTEs ending in ``scores`` (features + component and risk scores)."""
+    u = "universe"
+    uw = f"(PARTITION BY {u} ORDER BY date)"
+    stab = [_scaled(x) for x in ("vol_20d", "ewma_vol", "vol_of_vol", "abs(max_drawdown)",
+                                 "abs(current_drawdown)", "CAST(underwater_dur AS DOUBLE)")]
+    net = [_scaled(x) for x in ("abs(bank_market_corr)", "abs(cross_bank_corr)", "corr_trend")]
+    ext = [_scaled("vix_level"), _scaled("vix_zscore"), "100 - vix_spike * CAST(30.0 AS DOUBLE)",
+           _scaled("fx_zscore")]
+    half = _dbl(0.5)
+    return feature_ctes() + [
+        f"""s1 AS (
+  SELECT *,
+    ({' + '.join(stab)}) / {len(stab)}.0 AS stability_score,
+    CAST(50.0 AS DOUBLE) AS volume_score,
+    ({' + '.join(net)}) / {len(net)}.0 AS network_score,
+    least(greatest(({' + '.join(ext)}) / {len(ext)}.0, 0), 100) AS external_score
+  FROM feat)""",
+        f"""s2 AS (
+  SELECT *, list(0.4 * stability_score + 0.2 * volume_score + 0.2 * network_score
+                 + 0.2 * external_score) OVER {_w(u, -63)} AS rsl
+  FROM s1)""",
+        f"""s3 AS (
+  SELECT * EXCLUDE (rsl),
+    list_reduce(rsl, lambda acc, x: acc * {half} + x)
+      / list_reduce(list_transform(rsl, lambda x: CAST(1.0 AS DOUBLE)),
+                    lambda acc, x: acc * {half} + x) AS risk_score
+  FROM s2)""",
+        f"""scores AS (
+  SELECT *, risk_score - lag(risk_score) OVER {uw} AS risk_velocity,
+         risk_score - lag(risk_score, 5) OVER {uw} AS risk_momentum
+  FROM s3)""",
+    ]
+
+
+def state_sql(score: str = "risk_score") -> str:
+    return (f"CASE WHEN {score} >= 80 THEN 'Stable' WHEN {score} >= 65 THEN 'Low Risk' "
+            f"WHEN {score} >= 40 THEN 'Stress' ELSE 'Crisis' END")
+
+
+def state_ctes(window_recovery: int = 5) -> list[str]:
+    """CTEs ending in ``states``: scores + market_state (with Recovery)."""
+    uw = "(PARTITION BY universe ORDER BY date)"
+    return score_ctes() + [
+        f"""st1 AS (
+  SELECT *, coalesce(risk_score >= 40 AND risk_score < 65
+                     AND risk_score > lag(risk_score) OVER {uw}, false) AS rising
+  FROM scores)""",
+        f"""st2 AS (
+  SELECT *, sum(CASE WHEN rising THEN 0 ELSE 1 END) OVER (PARTITION BY universe ORDER BY date
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island
+  FROM st1)""",
+        f"""states AS (
+  SELECT * EXCLUDE (rising, island),
+    CASE WHEN rising
+          AND coalesce(first_value(risk_score) OVER (PARTITION BY universe, island ORDER BY date)
+                       < 40, true)
+          AND row_number() OVER (PARTITION BY universe, island ORDER BY date) - 1
+              >= {window_recovery}
+         THEN 'Recovery' ELSE {state_sql()} END AS market_state
+  FROM st2)""",
+    ]
+
+
+def label_ctes(threshold: float = 40.0, horizon: int = 3) -> list[str]:
+    """CTEs ending in ``labelled``: states + y (crisis within the horizon)."""
+    f = (f"(PARTITION BY universe ORDER BY date ROWS BETWEEN 1 FOLLOWING AND "
+         f"{horizon} FOLLOWING)")
+    return state_ctes() + [
+        f"""lab AS (
+  SELECT *, max(CASE WHEN risk_score < {threshold} THEN 1 ELSE 0 END) OVER {f} AS y,
+            count(*) OVER {f} AS n_next
+  FROM states)""",
+        """labelled AS (SELECT * EXCLUDE (n_next) FROM lab WHERE n_next = """ + str(horizon) + ")",
+    ]
