@@ -1 +1,339 @@
-"""Registers the stock, evaluation, detector and export queries."""
+"""Registers the evaluation, stock, detector and export queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.operators import evaluation as ev
+from vigil.operators import scoring as scr
+from vigil.plans import frames
+from vigil.plans import oracle as o
+from vigil.plans.catalog import K, register, states_frame
+from vigil.plans.params import EVAL_THRESHOLD, HORIZON, SPLIT_DATE, STATIC_MODEL
+
+T = EVAL_THRESHOLD
+
+# --------------------------------------------------------------------------
+# Prediction table of the rule-based model (ML-9 + PF-12 split)
+# --------------------------------------------------------------------------
+
+
+def labelled_frame(spark: SparkSession, sf: str, threshold: float = T) -> DataFrame:
+    """States + crisis label y at ``threshold`` (tail rows dropped)."""
+    return scr.crisis_label(states_frame(spark, sf), K, threshold=threshold, horizon=HORIZON)
+
+
+def split_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return ev.chrono_split(labelled_frame(spark, sf), SPLIT_DATE, K)
+
+
+def static_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    test = split_frame(spark, sf).where(F.col("part") == "test")
+    pred, proba = ev.static_threshold(F.col("risk_score"), T)
+    p = test.select(F.lit(STATIC_MODEL).alias("model"), *K, "date", "y",
+                    pred.alias("pred"), proba.alias("proba"))
+    return ev.with_positions(p)
+
+
+def pred_ctes() -> list[str]:
+    d = f"DATE '{SPLIT_DATE}'"
+    return o.label_ctes(threshold=T, horizon=HORIZON) + [
+        f"""cut AS (
+  SELECT universe, arg_min(date, abs(date_diff('day', {d}, date)) * 2
+                                 + CASE WHEN date < {d} THEN 1 ELSE 0 END) AS split_at
+  FROM labelled GROUP BY 1)""",
+        f"""preds AS (
+  SELECT '{STATIC_MODEL}' AS model, l.universe, l.date,
+         row_number() OVER (PARTITION BY l.universe ORDER BY l.date) - 1 AS pos, l.y,
+         CASE WHEN l.risk_score < {T} THEN 1 ELSE 0 END AS pred,
+         least(greatest(({T} - coalesce(l.risk_score, 50.0)) / {T}, 0), 1) AS proba
+  FROM labelled l JOIN cut c ON l.universe = c.universe WHERE l.date >= c.split_at)""",
+    ]
+
+
+@register("static_predictions", o.with_ctes(
+    pred_ctes(), f"SELECT model, universe, date, pos, y, pred, {o.rnd('proba', 6, 'proba')} "
+                 "FROM preds"))
+def q_static_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-9 + PF-12 + PF-14: rule-based predictions on the test part."""
+    return frames.round_doubles(static_predictions(spark, sf))
+
+
+@register("train_test_split", o.with_ctes(
+    o.label_ctes(threshold=T, horizon=HORIZON) + pred_ctes()[-2:-1],
+    """SELECT l.universe, CASE WHEN l.date < c.split_at THEN 'train' ELSE 'test' END AS part,
+  count(*) AS n_rows, CAST(sum(l.y) AS BIGINT) AS n_pos, min(l.date) AS first_date, max(l.date) AS last_date
+FROM labelled l JOIN cut c ON l.universe = c.universe GROUP BY 1, 2"""))
+def q_train_test_split(spark: SparkSession, sf: str) -> DataFrame:
+    """PF-12 / EV-15: chronological split at the nearest row to the split
+    date, with row and positive counts per part."""
+    s = split_frame(spark, sf)
+    return s.groupBy(*K, "part").agg(F.count(F.lit(1)).alias("n_rows"),
+                                     F.sum("y").cast("long").alias("n_pos"),
+                                     F.min("date").alias("first_date"),
+                                     F.max("date").alias("last_date"))
+
+
+# --------------------------------------------------------------------------
+# Evaluation queries
+# --------------------------------------------------------------------------
+
+CLS_SQL = """cls AS (
+  SELECT model, universe,
+    round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision,
+    round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall,
+    round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1,
+    n_test, round(rate * 100, 2) AS crisis_rate_pct
+  FROM (SELECT model, universe,
+          count_if(pred = 1 AND y = 1) AS tp, count_if(pred = 1 AND y = 0) AS fp,
+          count_if(pred = 0 AND y = 1) AS fn, count(pred) AS n_test,
+          avg(CASE WHEN pred IS NOT NULL THEN y END) AS rate
+        FROM preds GROUP BY 1, 2))"""
+
+# AUC by brute force over positive x negative pairs (independent of the
+# running-sum form used on the Spark side); AP over distinct thresholds.
+RANK_SQL = """pp AS (SELECT * FROM preds WHERE pred IS NOT NULL AND proba IS NOT NULL),
+cnt AS (SELECT model, universe, count_if(y = 1) AS pos_total, count_if(y = 0) AS neg_total
+        FROM pp GROUP BY 1, 2),
+auc AS (
+  SELECT a.model, a.universe,
+         sum(CASE WHEN a.proba > b.proba THEN 1.0 WHEN a.proba = b.proba THEN 0.5 ELSE 0 END)
+           AS s
+  FROM pp a JOIN pp b ON a.model = b.model AND a.universe = b.universe
+   AND a.y = 1 AND b.y = 0
+  GROUP BY 1, 2),
+grp AS (
+  SELECT model, universe, proba, count_if(y = 1) AS p, count_if(y = 0) AS n
+  FROM pp GROUP BY 1, 2, 3),
+cum AS (
+  SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp
+  FROM grp WINDOW w AS (PARTITION BY model, universe ORDER BY proba DESC
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ap AS (SELECT model, universe, sum(p * tp / (tp + fp)) AS s FROM cum GROUP BY 1, 2),
+rank_m AS (
+  SELECT c.model, c.universe,
+    CASE WHEN c.pos_total + c.neg_total > 10 AND c.pos_total > 0 AND c.neg_total > 0
+         THEN round(coalesce(auc.s, 0) / (c.pos_total * c.neg_total), 4) END AS roc_auc,
+    CASE WHEN c.pos_total + c.neg_total > 10 AND c.pos_total > 0 AND c.neg_total > 0
+         THEN round(ap.s / c.pos_total, 4) END AS avg_precision
+  FROM cnt c LEFT JOIN auc ON auc.model = c.model AND auc.universe = c.universe
+  LEFT JOIN ap ON ap.model = c.model AND ap.universe = c.universe)"""
+
+
+@register("classification_metrics", o.with_ctes(
+    pred_ctes() + [CLS_SQL, RANK_SQL],
+    """SELECT cls.*, r.roc_auc, r.avg_precision FROM cls
+LEFT JOIN rank_m r ON r.model = cls.model AND r.universe = cls.universe"""))
+def q_classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-1 + EV-2: precision, recall, F1, n, crisis rate, ROC-AUC, AP."""
+    return ev.classification_metrics(static_predictions(spark, sf))
+
+
+CURVE_SQL = """SELECT model, universe, round(proba, 6) AS threshold, tp, fp,
+  {extra}
+FROM (SELECT *, sum(p) OVER (PARTITION BY model, universe) AS pos_total,
+             sum(n) OVER (PARTITION BY model, universe) AS neg_total FROM cum)"""
+
+
+@register("pr_curve", o.with_ctes(
+    pred_ctes() + [RANK_SQL],
+    CURVE_SQL.format(extra="round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, "
+                           "round(coalesce(tp / nullif(pos_total, 0), 1), 6) AS recall")))
+def q_pr_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-3: precision-recall curve, one point per distinct threshold."""
+    return frames.round_doubles(ev.pr_curve(static_predictions(spark, sf)))
+
+
+@register("roc_curve", o.with_ctes(
+    pred_ctes() + [RANK_SQL],
+    "SELECT model, universe, round(proba, 6) AS threshold, round(fp / nullif(neg_total, 0), 6) AS fpr, "
+    "round(tp / nullif(pos_total, 0), 6) AS tpr FROM (SELECT *, sum(p) OVER (PARTITION BY model, "
+    "universe) AS pos_total, sum(n) OVER (PARTITION BY model, universe) AS neg_total FROM cum)"))
+def q_roc_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-4: ROC curve, one point per distinct threshold."""
+    return frames.round_doubles(ev.roc_curve(static_predictions(spark, sf)))
+
+
+@register("best_threshold", o.with_ctes(
+    pred_ctes() + [RANK_SQL],
+    """SELECT model, universe, round(arg_max(proba, (f, -proba)), 6) AS threshold, round(max(f), 6) AS best_f1
+FROM (SELECT *, 2 * pr * rc / (pr + rc + 1e-9) AS f FROM (
+  SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(pos_total, 0), 1) AS rc
+  FROM (SELECT *, sum(p) OVER (PARTITION BY model, universe) AS pos_total FROM cum)))
+GROUP BY 1, 2"""))
+def q_best_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-16: the first best-F1 threshold on the PR curve."""
+    return frames.round_doubles(ev.best_f1_threshold(static_predictions(spark, sf)))
+
+
+EPISODE_SQL = """lab1 AS (SELECT DISTINCT universe, pos, y FROM preds),
+st0 AS (
+  SELECT *, CASE WHEN y = 1 AND coalesce(lag(y) OVER (PARTITION BY universe ORDER BY pos), 0) <> 1
+                 THEN 1 ELSE 0 END AS st
+  FROM lab1),
+runs0 AS (
+  SELECT *, sum(st) OVER (PARTITION BY universe ORDER BY pos
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM st0),
+runs AS (SELECT universe, run, min(pos) AS s, max(pos) AS e FROM runs0 WHERE y = 1 GROUP BY 1, 2),
+runs1 AS (
+  SELECT *, CASE WHEN lag(e) OVER (PARTITION BY universe ORDER BY s) IS NULL
+                   OR s - lag(e) OVER (PARTITION BY universe ORDER BY s) >= 5 THEN 1 ELSE 0 END
+              AS new_ep
+  FROM runs),
+runs2 AS (
+  SELECT *, sum(new_ep) OVER (PARTITION BY universe ORDER BY s
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ep_id
+  FROM runs1),
+eps AS (SELECT universe, ep_id, min(s) AS start_pos, max(e) AS end_pos FROM runs2 GROUP BY 1, 2)"""
+
+
+@register("crisis_episodes", o.with_ctes(pred_ctes() + [EPISODE_SQL],
+                                         "SELECT universe, ep_id, start_pos, end_pos FROM eps"))
+def q_crisis_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-5: label episodes (runs of 1, merged when < 5 rows apart)."""
+    p = static_predictions(spark, sf)
+    return ev.crisis_episodes(p.select("universe", "pos", "y"), K)
+
+
+# Brute-force range match for the oracle: every alert inside the window.
+DELAY_SQL = """nrows AS (SELECT model, universe, count(*) AS n FROM preds GROUP BY 1, 2),
+ep_first AS (
+  SELECT p.model, e.universe, e.ep_id, e.start_pos,
+         min(CASE WHEN p.pred = 1 AND p.pos >= greatest(e.start_pos - 10, 0)
+                   AND p.pos < least(nr.n, e.end_pos + 5) THEN p.pos END) - e.start_pos AS delay
+  FROM eps e JOIN preds p ON p.universe = e.universe
+  JOIN nrows nr ON nr.model = p.model AND nr.universe = p.universe
+  GROUP BY 1, 2, 3, 4),
+dd AS (
+  SELECT s.model, s.universe, coalesce(x.n_ep, 0) AS n_episodes, coalesce(x.det, 0) AS detected,
+    coalesce(x.n_ep, 0) - coalesce(x.det, 0) AS missed,
+    round(coalesce(x.det, 0) / greatest(coalesce(x.n_ep, 0), 1), 4) AS event_detection_rate,
+    round(x.avg_d, 2) AS avg_delay_days,
+    round(coalesce(x.early, 0) / greatest(coalesce(x.n_ep, 0), 1), 4) AS early_warning_pct
+  FROM (SELECT DISTINCT model, universe FROM preds) s
+  LEFT JOIN (SELECT model, universe, count(*) AS n_ep, count(delay) AS det, avg(delay) AS avg_d,
+                    count_if(delay < 0) AS early FROM ep_first GROUP BY 1, 2) x
+    ON x.model = s.model AND x.universe = s.universe)"""
+
+
+@register("detection_delay", o.with_ctes(pred_ctes() + [EPISODE_SQL, DELAY_SQL],
+                                         "SELECT * FROM dd"))
+def q_detection_delay(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-6: detection rate and delay of alerts against label episodes."""
+    p = static_predictions(spark, sf)
+    eps = ev.crisis_episodes(p.select("universe", "pos", "y").distinct(), K)
+    return ev.detection_delay(p, eps)
+
+
+FALSE_SQL = """fa AS (
+  SELECT s.model, s.universe, coalesce(x.total, 0) AS total_alerts,
+    coalesce(x.tru, 0) AS true_alarms, coalesce(x.total, 0) - coalesce(x.tru, 0) AS false_alarms,
+    round((coalesce(x.total, 0) - coalesce(x.tru, 0)) / greatest(coalesce(x.total, 0), 1), 4)
+      AS false_alarm_rate,
+    round(coalesce(x.tru, 0) / greatest(coalesce(x.total, 0), 1), 4) AS precision_at_window
+  FROM (SELECT DISTINCT model, universe FROM preds) s
+  LEFT JOIN (
+    SELECT model, universe, count(*) AS total, count_if(fut > 0) AS tru FROM (
+      SELECT *, max(y) OVER (PARTITION BY model, universe ORDER BY pos
+                             ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS fut FROM preds)
+    WHERE pred = 1 GROUP BY 1, 2) x ON x.model = s.model AND x.universe = s.universe)"""
+
+
+@register("false_alarms", o.with_ctes(pred_ctes() + [FALSE_SQL], "SELECT * FROM fa"))
+def q_false_alarms(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-7: alerts with / without a labelled crisis in the next 5 rows."""
+    return ev.false_alarms(static_predictions(spark, sf))
+
+
+STAB_SQL = """stab AS (
+  SELECT model, universe,
+    CASE WHEN count(*) < 2 THEN CAST(1.0 AS DOUBLE) ELSE round(1 - avg(flip), 4) END
+      AS stability_score
+  FROM (SELECT *, CAST(pred <> lag(pred) OVER (PARTITION BY model, universe ORDER BY pos)
+                       AS DOUBLE) AS flip FROM preds WHERE pred IS NOT NULL)
+  GROUP BY 1, 2)"""
+
+
+@register("stability", o.with_ctes(pred_ctes() + [STAB_SQL], "SELECT * FROM stab"))
+def q_stability(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-9: 1 - share of prediction flips."""
+    return ev.stability(static_predictions(spark, sf))
+
+
+@register("transition_accuracy", o.with_ctes(
+    o.state_ctes(),
+    f"""SELECT universe,
+  round(tp / greatest(tp + fp, 1), 4) AS transition_precision,
+  round(tp / greatest(tp + fn, 1), 4) AS transition_recall,
+  round(2 * (tp / greatest(tp + fp, 1)) * (tp / greatest(tp + fn, 1))
+        / greatest(tp / greatest(tp + fp, 1) + tp / greatest(tp + fn, 1), 1e-9), 4)
+    AS transition_f1,
+  CAST(nt AS BIGINT) AS n_true_transitions, CAST(np AS BIGINT) AS n_pred_transitions
+FROM (SELECT universe, count_if(t = 1 AND p = 1) AS tp, count_if(t = 0 AND p = 1) AS fp,
+        count_if(t = 1 AND p = 0) AS fn, sum(t) AS nt, sum(p) AS np
+      FROM (SELECT universe,
+              CAST(market_state <> lag(market_state) OVER w AS INTEGER) AS t,
+              CAST(s8 <> lag(s8) OVER w AS INTEGER) AS p
+            FROM (SELECT *, {o.state_sql('round(risk_score, 1)')} AS s8 FROM states)
+            WINDOW w AS (PARTITION BY universe ORDER BY date))
+      WHERE t IS NOT NULL GROUP BY 1)"""))
+def q_transition_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-8: change points of the stateless map (SC-8) against the states
+    with Recovery (SC-7)."""
+    s = states_frame(spark, sf).withColumn("simple_state",
+                                           scr.state_of(F.round("risk_score", 1)))
+    return ev.transition_accuracy(s, "market_state", "simple_state", K)
+
+
+EVAL_SQL = [CLS_SQL, RANK_SQL, EPISODE_SQL, DELAY_SQL, FALSE_SQL, STAB_SQL]
+COMPARE_SELECT = """SELECT c.model, c.universe, c.precision, c.recall, c.f1, r.roc_auc,
+  d.event_detection_rate, d.avg_delay_days, f.false_alarm_rate, s.stability_score
+FROM cls c
+LEFT JOIN rank_m r ON r.model = c.model AND r.universe = c.universe
+LEFT JOIN dd d ON d.model = c.model AND d.universe = c.universe
+LEFT JOIN fa f ON f.model = c.model AND f.universe = c.universe
+LEFT JOIN stab s ON s.model = c.model AND s.universe = c.universe"""
+
+
+@register("model_comparison", o.with_ctes(pred_ctes() + EVAL_SQL, COMPARE_SELECT))
+def q_model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-10 + EV-11: the comparison table (rule-based model)."""
+    return ev.compare_models(ev.evaluate_models(static_predictions(spark, sf)))
+
+
+@register("best_model", o.with_ctes(
+    pred_ctes() + [CLS_SQL],
+    """SELECT universe, arg_min(model, (-f1, model)) AS model, max(f1) AS f1
+FROM cls GROUP BY 1"""))
+def q_best_model(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-14: best model by F1 per universe."""
+    return ev.best_model(ev.classification_metrics(static_predictions(spark, sf)))
+
+
+@register("state_distribution", o.with_ctes(
+    o.label_ctes(threshold=T, horizon=HORIZON),
+    """SELECT universe, market_state, count(*) AS n_days, round(avg(y), 6) AS crisis_rate
+FROM labelled GROUP BY 1, 2"""))
+def q_state_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-15: state counts and crisis-label rate per state."""
+    lab = labelled_frame(spark, sf)
+    return frames.round_doubles(lab.groupBy(*K, "market_state").agg(
+        F.count(F.lit(1)).alias("n_days"), F.avg("y").alias("crisis_rate")))
+
+
+@register("detection_timeline", o.with_ctes(
+    pred_ctes(),
+    f"""SELECT p.universe, p.date, {o.rnd('l.risk_score', 6, 'risk_score')}, p.y,
+  p.pred AS static_threshold
+FROM preds p JOIN labelled l ON l.universe = p.universe AND l.date = p.date"""))
+def q_detection_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-12: the table behind the detection timeline: score, truth and one
+    alert column per model (pivot over the known model names)."""
+    p = static_predictions(spark, sf)
+    lab = labelled_frame(spark, sf).select(*K, "date", "risk_score")
+    wide = (p.groupBy(*K, "date", "y").pivot("model", [STATIC_MODEL]).agg(F.first("pred"))
+            .withColumnRenamed(STATIC_MODEL, "static_threshold"))
+    return frames.round_doubles(wide.join(lab, [*K, "date"]).select(
+        *K, "date", "risk_score", "y", "static_threshold"))
