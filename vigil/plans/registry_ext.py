@@ -337,3 +337,102 @@ def q_detection_timeline(spark: SparkSession, sf: str) -> DataFrame:
             .withColumnRenamed(STATIC_MODEL, "static_threshold"))
     return frames.round_doubles(wide.join(lab, [*K, "date"]).select(
         *K, "date", "risk_score", "y", "static_threshold"))
+
+
+# --------------------------------------------------------------------------
+# Per-stock analysis
+# --------------------------------------------------------------------------
+
+from vigil.operators import stocks as stk  # noqa: E402
+from vigil.plans.catalog import scores_frame  # noqa: E402
+
+
+def stock_table(spark: SparkSession, sf: str, include_index: bool = False,
+                window: int = 20) -> DataFrame:
+    """ST-8 on the feature calendar: symbol returns (missing -> 0), index
+    return and the latest market score of each universe."""
+    scores = scores_frame(spark, sf)
+    cal = scores.select(*K, "date", F.col("bank_ret").alias("index_ret"))
+    market = scores.groupBy(*K).agg(F.max_by("risk_score", "date").alias("market_score"))
+    rets = frames.symbol_returns(spark, sf)
+    aligned = stk.align_returns(rets, cal, K, include_index=include_index)
+    return stk.score_all_stocks(aligned, market, K, window)
+
+
+def stock_sql(include_index: bool = False) -> str:
+    sq = o._dbl(252 ** 0.5)
+    idx = ("UNION ALL SELECT universe, 'INDEX' AS symbol, date, coalesce(index_ret, 0), "
+           "coalesce(index_ret, 0) FROM cal_f" if include_index else "")
+    clip = lambda e, lo, hi: f"CASE WHEN ({e}) IS NOT NULL THEN least(greatest({e}, {lo}), {hi}) END"
+    score = (f"market_score - {clip('greatest(0, ann_vol - 0.25) * 50', 0, 20)}"
+             f" - greatest(0, beta - 1.1) * 10 - {clip('abs(max_dd) * 50', 0, 20)}"
+             f" - greatest(0, corr - 0.7) * 10 + {clip('sharpe * 2', -10, 10)}"
+             f" + {clip('mom * 50', -10, 10)}")
+    reasons = f"""list_filter([
+        CASE WHEN ann_vol > 0.25 THEN printf('{stk.REASON_VOL}', ann_vol * 100) END,
+        CASE WHEN beta > 1.2 THEN printf('{stk.REASON_BETA}', beta) END,
+        CASE WHEN max_dd < -0.10 THEN printf('{stk.REASON_DD}', max_dd * 100, 20) END,
+        CASE WHEN corr > 0.85 THEN '{stk.REASON_CORR}' END,
+        CASE WHEN mom < 0 THEN '{stk.REASON_MOM}' END], lambda x: x IS NOT NULL)"""
+    ok = "n_rows >= 25"
+    body = f"""cal_f AS (SELECT universe, date, bank_ret AS index_ret FROM scores),
+sgrid AS (
+  SELECT c.universe, s.symbol, c.date, coalesce(r.ret, 0) AS ret,
+         coalesce(c.index_ret, 0) AS index_ret
+  FROM cal_f c JOIN (SELECT DISTINCT universe, symbol FROM sret) s ON s.universe = c.universe
+  LEFT JOIN sret r ON r.universe = c.universe AND r.symbol = s.symbol AND r.date = c.date
+  {idx}),
+sl AS (SELECT *, row_number() OVER (PARTITION BY universe, symbol ORDER BY date) AS rn,
+              count(*) OVER (PARTITION BY universe, symbol) AS n FROM sgrid),
+sl2 AS (SELECT *, sum(ret) OVER (PARTITION BY universe, symbol ORDER BY date
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+        FROM sl WHERE rn > n - 20),
+sl3 AS (SELECT *, cum - max(cum) OVER (PARTITION BY universe, symbol ORDER BY date
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gap
+        FROM sl2),
+ss AS (SELECT universe, symbol, any_value(n) AS n_rows, avg(ret) * 252 AS ann_ret,
+              stddev_samp(ret) * {sq} AS ann_vol, covar_samp(ret, index_ret) AS cv,
+              var_samp(index_ret) AS vr, stddev_samp(ret) AS sr, stddev_samp(index_ret) AS si,
+              sum(ret) AS mom, min(gap) AS max_dd
+       FROM sl3 GROUP BY 1, 2),
+mk AS (SELECT universe, arg_max(risk_score, date) AS market_score FROM scores GROUP BY 1),
+st AS (SELECT ss.*, ann_ret / (ann_vol + 1e-9) AS sharpe, cv / (vr + 1e-9) AS beta,
+              cv / nullif(sr * si, 0) AS corr, mk.market_score
+       FROM ss JOIN mk ON mk.universe = ss.universe),
+st2 AS (SELECT *, {clip(score, 0, 100)} AS score, {reasons} AS rs FROM st),
+st3 AS (SELECT *,
+    CASE WHEN score >= 70 AND market_score >= 50 THEN 'BUY' WHEN score >= 45 THEN 'HOLD'
+         ELSE 'AVOID' END AS rec FROM st2)
+SELECT universe, symbol, CASE WHEN NOT ({ok}) THEN 'insufficient data' END AS error,
+  CASE WHEN {ok} THEN round(score, 1) END AS stock_score,
+  CASE WHEN {ok} THEN rec END AS recommendation,
+  CASE WHEN {ok} THEN CASE WHEN rec = 'BUY' THEN CASE WHEN score >= 80 THEN 'HIGH'
+       ELSE 'MODERATE' END WHEN rec = 'HOLD' THEN 'MODERATE'
+       WHEN score < 25 THEN 'HIGH' ELSE 'MODERATE' END END AS confidence,
+  CASE WHEN {ok} THEN round(ann_ret * 100, 2) END AS ann_return,
+  CASE WHEN {ok} THEN round(ann_vol * 100, 2) END AS ann_volatility,
+  CASE WHEN {ok} THEN round(sharpe, 2) END AS sharpe,
+  CASE WHEN {ok} THEN round(beta, 2) END AS beta,
+  CASE WHEN {ok} THEN round(max_dd * 100, 2) END AS max_drawdown_pct,
+  CASE WHEN {ok} THEN round(mom * 100, 2) END AS momentum,
+  CASE WHEN {ok} THEN round(corr, 3) END AS corr_with_index,
+  CASE WHEN {ok} THEN CASE WHEN len(rs) > 0 THEN rs ELSE ['{stk.REASON_NONE}'] END END
+    AS reasons,
+  row_number() OVER (PARTITION BY universe ORDER BY CASE WHEN {ok} THEN round(score, 1) END
+                     DESC NULLS LAST, symbol) AS rank
+FROM st3"""
+    ctes = o.score_ctes()  # already holds the symbol CTEs
+    return "WITH " + ",\n".join(ctes) + ",\n" + body
+
+
+@register("stock_analysis", stock_sql())
+def q_stock_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-1 ... ST-8: per-symbol score, BUY / HOLD / AVOID, confidence,
+    rounded figures, reasons and rank."""
+    return stock_table(spark, sf)
+
+
+@register("stock_analysis_with_index", stock_sql(include_index=True))
+def q_stock_analysis_idx(spark: SparkSession, sf: str) -> DataFrame:
+    """ST-9: the same with the sector index ranked as one more asset."""
+    return stock_table(spark, sf, include_index=True)
