@@ -436,3 +436,134 @@ def q_stock_analysis(spark: SparkSession, sf: str) -> DataFrame:
 def q_stock_analysis_idx(spark: SparkSession, sf: str) -> DataFrame:
     """ST-9: the same with the sector index ranked as one more asset."""
     return stock_table(spark, sf, include_index=True)
+
+
+# --------------------------------------------------------------------------
+# Detectors (rows-only checks: iterative fits have no SQL form)
+# --------------------------------------------------------------------------
+
+from vigil.operators import detectors as det  # noqa: E402
+from vigil.session import cut_lineage  # noqa: E402
+
+
+def detector_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled features + scores with the train / test part, checkpointed to
+    the shared checkpoint folder: model fits scan their input many times and
+    must not replay the whole feature lineage on each pass (or on the loss
+    of an executor)."""
+    return cut_lineage(split_frame(spark, sf))
+
+
+def _preds(df: DataFrame) -> DataFrame:
+    return frames.round_doubles(ev.with_positions(df))
+
+
+@register("logistic_predictions", None)
+def q_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-1 + ML-2: scaled, class-balanced logistic regression (6 columns)."""
+    preds, _ = det.logistic(detector_input(spark, sf))
+    return _preds(preds)
+
+
+@register("logistic_all_columns_predictions", None)
+def q_logistic_all(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-3: unscaled logistic regression on all feature and score columns, cut 0.55."""
+    data = detector_input(spark, sf)
+    skip = {"universe", "date", "y", "part", "market_state", "bank_ret", "mkt_ret"}
+    cols = [c for c, t in data.dtypes if c not in skip and t in ("double", "int", "bigint")]
+    preds, _ = det.logistic(data, cols, scale=False, max_iter=1000, cut=0.55,
+                            model="Logistic (all columns)")
+    return _preds(preds)
+
+
+@register("forest_predictions", None)
+def q_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-4: balanced random forest, 200 trees of depth 8."""
+    preds, _, _ = det.random_forest(detector_input(spark, sf))
+    return _preds(preds)
+
+
+@register("forest_importances", None)
+def q_forest_importances(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-5 + EV-13: top-15 feature importances of the forest."""
+    _, _, imp = det.random_forest(detector_input(spark, sf))
+    return frames.round_doubles(det.top_importances(imp, 15))
+
+
+@register("walk_forward_predictions", None)
+def q_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-6: yearly back-test folds, each refitted on the previous 500 rows."""
+    return _preds(det.walk_forward(detector_input(spark, sf)))
+
+
+@register("sequence_windows", None)
+def q_sequence_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-14: 10 previous rows of the sequence inputs per (universe, date)."""
+    data = detector_input(spark, sf)
+    cols = det.pick_columns(data, det.SEQUENCE_COLUMNS, 8)
+    seq = det.sequences(det.filled(data, cols), cols)
+    return seq.select("universe", "date", "y", F.size("seq").alias("seq_len"),
+                      F.transform("seq", lambda r: F.transform(r, lambda v: F.round(v, 6)))
+                      .alias("seq"))
+
+
+@register("oversampled_training", None)
+def q_oversampled(spark: SparkSession, sf: str) -> DataFrame:
+    """PF-13: training rows with each positive repeated 11 times."""
+    train = detector_input(spark, sf).where(F.col("part") == "train")
+    return det.oversample(train).groupBy("universe", "y").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("sequence_predictions", None)
+def q_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-15 + ML-16: perceptron on 10-row histories, best-F1 cut from training rows."""
+    preds, _, _ = det.sequence_perceptron(detector_input(spark, sf))
+    return _preds(preds)
+
+
+@register("regime_predictions", None)
+def q_regime(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-10 ... ML-13 + ML-16: 2-state regime model on the binarised score."""
+    preds, _, _ = det.regime_model(detector_input(spark, sf), binarise_below=T + 2.0)
+    return _preds(preds)
+
+
+@register("regime_states", None)
+def q_regime_states(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-11 / ML-13: regime states labelled by ascending mean score, crisis state flagged."""
+    _, states, _ = det.regime_model(detector_input(spark, sf), n_states=3, binarise_below=None)
+    return frames.round_doubles(states)
+
+
+@register("regime_state_sweep", None)
+def q_regime_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-17: best F1 of the regime model for 2 and 3 states."""
+    return frames.round_doubles(det.state_count_sweep(detector_input(spark, sf),
+                                                     binarise_below=T + 2.0))
+
+
+@register("isolation_predictions", None)
+def q_isolation(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-7 + ML-8: isolation forest, 200 trees, contamination 0.1."""
+    preds, _ = det.isolation_forest(detector_input(spark, sf))
+    return _preds(preds)
+
+
+def all_predictions(spark: SparkSession, sf: str, forest_trees: int = 200) -> DataFrame:
+    data = detector_input(spark, sf)
+    parts = [static_predictions(spark, sf).drop("pos"),
+             det.logistic(data, cols=None)[0],
+             det.random_forest(data, n_trees=forest_trees)[0],
+             det.isolation_forest(data)[0],
+             det.regime_model(data, binarise_below=T + 2.0)[0],
+             det.sequence_perceptron(data)[0]]
+    out = parts[0].select(*det.OUT)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*det.OUT))
+    return ev.with_positions(out)
+
+
+@register("detector_comparison", None)
+def q_detector_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-10 / EV-11 over every detector: the model comparison table."""
+    return ev.compare_models(ev.evaluate_models(all_predictions(spark, sf)))
