@@ -98,7 +98,7 @@ def balanced_weight(train: DataFrame, label: str = "y") -> Column:
 
 
 def _emit(df: DataFrame, model: str, pred: Column, proba: Column) -> DataFrame:
-    return df.select(F.lit(model).alias("model"), "universe", "date", "y",
+    return df.select(F.lit(model).alias("model"), "universe", "date", F.col("y").cast("int").alias("y"),
                      pred.cast("int").alias("pred"), proba.cast("double").alias("proba"))
 
 

@@ -36,6 +36,14 @@ def static_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return ev.with_positions(p)
 
 
+def report_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """The prediction table, checkpointed once before a report fans out into
+    several metric branches (each branch would otherwise replay the whole
+    feature lineage)."""
+    from vigil.session import cut_lineage
+    return cut_lineage(static_predictions(spark, sf))
+
+
 def pred_ctes() -> list[str]:
     d = f"DATE '{SPLIT_DATE}'"
     return o.label_ctes(threshold=T, horizon=HORIZON) + [
@@ -127,7 +135,7 @@ rank_m AS (
 LEFT JOIN rank_m r ON r.model = cls.model AND r.universe = cls.universe"""))
 def q_classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """EV-1 + EV-2: precision, recall, F1, n, crisis rate, ROC-AUC, AP."""
-    return ev.classification_metrics(static_predictions(spark, sf))
+    return ev.classification_metrics(report_predictions(spark, sf))
 
 
 CURVE_SQL = """SELECT model, universe, round(proba, 6) AS threshold, tp, fp,
@@ -222,7 +230,7 @@ dd AS (
                                          "SELECT * FROM dd"))
 def q_detection_delay(spark: SparkSession, sf: str) -> DataFrame:
     """EV-6: detection rate and delay of alerts against label episodes."""
-    p = static_predictions(spark, sf)
+    p = report_predictions(spark, sf)
     eps = ev.crisis_episodes(p.select("universe", "pos", "y").distinct(), K)
     return ev.detection_delay(p, eps)
 
@@ -300,7 +308,7 @@ LEFT JOIN stab s ON s.model = c.model AND s.universe = c.universe"""
 @register("model_comparison", o.with_ctes(pred_ctes() + EVAL_SQL, COMPARE_SELECT))
 def q_model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """EV-10 + EV-11: the comparison table (rule-based model)."""
-    return ev.compare_models(ev.evaluate_models(static_predictions(spark, sf)))
+    return ev.compare_models(ev.evaluate_models(report_predictions(spark, sf)))
 
 
 @register("best_model", o.with_ctes(
@@ -309,7 +317,7 @@ def q_model_comparison(spark: SparkSession, sf: str) -> DataFrame:
 FROM cls GROUP BY 1"""))
 def q_best_model(spark: SparkSession, sf: str) -> DataFrame:
     """EV-14: best model by F1 per universe."""
-    return ev.best_model(ev.classification_metrics(static_predictions(spark, sf)))
+    return ev.best_model(ev.classification_metrics(report_predictions(spark, sf)))
 
 
 @register("state_distribution", o.with_ctes(
@@ -348,10 +356,10 @@ from vigil.plans.catalog import scores_frame  # noqa: E402
 
 
 def stock_table(spark: SparkSession, sf: str, include_index: bool = False,
-                window: int = 20) -> DataFrame:
+                window: int = 20, scores: DataFrame | None = None) -> DataFrame:
     """ST-8 on the feature calendar: symbol returns (missing -> 0), index
     return and the latest market score of each universe."""
-    scores = scores_frame(spark, sf)
+    scores = scores if scores is not None else scores_frame(spark, sf)
     cal = scores.select(*K, "date", F.col("bank_ret").alias("index_ret"))
     market = scores.groupBy(*K).agg(F.max_by("risk_score", "date").alias("market_score"))
     rets = frames.symbol_returns(spark, sf)
@@ -560,10 +568,169 @@ def all_predictions(spark: SparkSession, sf: str, forest_trees: int = 200) -> Da
     out = parts[0].select(*det.OUT)
     for p in parts[1:]:
         out = out.unionByName(p.select(*det.OUT))
-    return ev.with_positions(out)
+    from vigil.session import cut_lineage
+    return cut_lineage(ev.with_positions(out))
 
 
 @register("detector_comparison", None)
 def q_detector_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """EV-10 / EV-11 over every detector: the model comparison table."""
     return ev.compare_models(ev.evaluate_models(all_predictions(spark, sf)))
+
+
+# --------------------------------------------------------------------------
+# Export shaping and sinks
+# --------------------------------------------------------------------------
+
+from vigil.operators import export as exp  # noqa: E402
+from vigil.sources import files  # noqa: E402
+
+
+def _dec(x: str, d: int) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {d}) AS DOUBLE)"
+
+
+TIMELINE_SQL = f"""tl AS (
+  SELECT universe, date, strftime(date, '%b %d') AS label, {_dec('risk_score', 1)} AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY date DESC) AS r FROM scores)
+  WHERE r <= 90)"""
+
+
+@register("dashboard_timeline", o.with_ctes(
+    o.score_ctes() + [TIMELINE_SQL],
+    f"SELECT universe, date, label, score, {o.state_sql('score')} AS state FROM tl"))
+def q_dashboard_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    """EX-4 / EX-5 / SC-8: last 90 rows, 'MMM dd' labels, 1-decimal scores, states."""
+    return exp.timeline(scores_frame(spark, sf))
+
+
+SNAP_COMPS = ["stability_score", "volume_score", "network_score", "external_score"]
+
+
+@register("dashboard_snapshot", o.with_ctes(
+    o.score_ctes() + [
+        f"""sn AS (
+  SELECT *, {_dec('risk_score', 1)} AS s FROM (
+    SELECT *, row_number() OVER (PARTITION BY universe ORDER BY date DESC) AS r FROM scores)
+  WHERE r <= 90)""",
+        """sn2 AS (
+  SELECT *, lag(s) OVER (PARTITION BY universe ORDER BY date) AS prev,
+            lag(s, 5) OVER (PARTITION BY universe ORDER BY date) AS back5 FROM sn)""",
+        """fxl AS (SELECT universe, arg_max(fx, date) AS fx FROM panel WHERE fx IS NOT NULL
+            GROUP BY 1)"""],
+    f"""SELECT a.universe, a.date, a.latest_score, {o.state_sql('a.latest_score')} AS latest_state,
+  a.prev_score, {_dec('a.latest_score - a.prev_score', 2)} AS velocity,
+  {_dec('a.mom5', 2)} AS momentum5,
+  {', '.join(f'{o.rnd("a." + c, 6, c)}' for c in SNAP_COMPS)},
+  {_dec('coalesce(a.vix, 15.0)', 2)} AS vix, {_dec('coalesce(f.fx, 83.0)', 2)} AS usd_inr
+FROM (SELECT universe, max(date) AS date, arg_max(s, date) AS latest_score,
+        arg_max(coalesce(prev, s), date) AS prev_score,
+        arg_max(coalesce(s - back5, 0), date) AS mom5, arg_max(vix_level, date) AS vix,
+        {', '.join(f'arg_max({c}, date) AS {c}' for c in SNAP_COMPS)}
+      FROM sn2 GROUP BY 1) a LEFT JOIN fxl f ON f.universe = a.universe"""))
+def q_dashboard_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """EX-6 / EX-7: latest, previous, velocity, 5-row momentum, components,
+    fear and fx levels per universe."""
+    snap = exp.snapshot(scores_frame(spark, sf), frames.index_panel(spark, sf))
+    return frames.round_doubles(snap)
+
+
+@register("stocks_export", "WITH " + stock_sql().split("WITH ", 1)[1].replace(
+    "\nSELECT universe, symbol, CASE WHEN NOT", "\n, sa AS (SELECT universe, symbol, CASE WHEN NOT", 1)
+    + f""")
+SELECT universe, symbol AS name, symbol AS ticker,
+  CAST(round_even(CAST(stock_score AS DECIMAL(38,10)), 0) AS BIGINT) AS score,
+  recommendation AS rec, confidence AS conf, {_dec('ann_volatility', 1)} AS vol,
+  {_dec('beta', 2)} AS beta, {_dec('sharpe', 2)} AS sharpe, {_dec('momentum', 1)} AS mom,
+  -abs({_dec('max_drawdown_pct', 1)}) AS dd, {_dec('coalesce(corr_with_index, 0.85)', 2)} AS corr,
+  reasons
+FROM sa""")
+def q_stocks_export(spark: SparkSession, sf: str) -> DataFrame:
+    """EX-2: stock records of the dashboard document."""
+    return exp.stocks_payload(stock_table(spark, sf))
+
+
+@register("dashboard_document", None)
+def q_dashboard_document(spark: SparkSession, sf: str) -> DataFrame:
+    """EX-1 / EX-8 / EX-9: the nested document per universe (rule-based
+    model results, stocks, ordered timeline arrays, snapshot, macro data)."""
+    from vigil.session import cut_lineage
+    scores = cut_lineage(scores_frame(spark, sf))
+    tl = exp.timeline(scores)
+    snap = exp.snapshot(scores, frames.index_panel(spark, sf))
+    stocks = exp.stocks_payload(stock_table(spark, sf, scores=scores))
+    models = exp.models_payload(ev.compare_models(ev.evaluate_models(
+        report_predictions(spark, sf))))
+    return exp.document(tl, snap, stocks, models)
+
+
+@register("comparison_csv_roundtrip", None)
+def q_comparison_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-6 + IO-8: write the comparison table as CSV, read it back with its schema."""
+    cmp_df = ev.compare_models(ev.evaluate_models(report_predictions(spark, sf)))
+    path = files.output_dir(spark, "model_comparison_csv")
+    files.write_table(cmp_df.select(*[f.name for f in files.COMPARISON_SCHEMA.fields]),
+                      path, "csv")
+    return files.read_comparison_csv(spark, path)
+
+
+@register("stock_csv_roundtrip", None)
+def q_stock_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-7 + EX-3: stock table to CSV (reasons as JSON text), parsed back."""
+    path = files.output_dir(spark, "stock_analysis_csv")
+    files.write_table(stock_table(spark, sf), path, "csv")
+    back = spark.read.option("header", True).csv(path)
+    return back.select("universe", "symbol", "recommendation",
+                       exp.parse_reasons(F.col("reasons")).alias("reasons"))
+
+
+@register("features_parquet_roundtrip", None)
+def q_features_parquet(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-4 / IO-5: the feature matrix written as Parquet partitioned by
+    universe, read back with a pushed-down date range (IO-1 style)."""
+    path = files.output_dir(spark, "features_parquet")
+    files.write_table(frames.features(spark, sf), path, "parquet", partition_by=["universe"])
+    back = spark.read.parquet(path)
+    return back.where(F.col("date") >= F.to_date(F.lit("1996-01-01")))
+
+
+@register("prices_file_source", None)
+def q_prices_files(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-1: landed price files read with an explicit schema and a date range."""
+    path = files.output_dir(spark, "prices_parquet")
+    files.write_table(frames.round_doubles(panels_prices(spark, sf)), path, "parquet")
+    return files.read_prices(spark, path, start="1996-01-01", end="2001-01-01")
+
+
+def panels_prices(spark: SparkSession, sf: str) -> DataFrame:
+    from vigil.sources import panels
+    return panels.prices_panel(spark, sf).select(*[f.name for f in files.PRICE_SCHEMA.fields])
+
+
+@register("sweep_append", None)
+def q_sweep_append(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-10: sweep results appended to a table (fresh folder per call)."""
+    import uuid
+    path = files.output_dir(spark, f"sweep_{uuid.uuid4().hex}")
+    data = detector_input(spark, sf)
+    files.append_rows(det.state_count_sweep(data, (2,), binarise_below=T + 2.0), path)
+    files.append_rows(det.state_count_sweep(data, (3,), binarise_below=T + 2.0), path)
+    return frames.round_doubles(spark.read.parquet(path))
+
+
+@register("model_persistence", None)
+def q_model_persistence(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-11: a fitted logistic pipeline saved with Spark ML persistence,
+    loaded back and used to score the test rows."""
+    from pyspark.ml import PipelineModel
+    data = detector_input(spark, sf)
+    preds, fitted = det.logistic(data, scale=False)
+    path = files.output_dir(spark, "logistic_model")
+    files.save_model(fitted, path)
+    loaded = PipelineModel.load(path)
+    cols = det.pick_columns(data, det.LOGISTIC_COLUMNS)
+    scored = loaded.transform(det.filled(data, cols).where(F.col("part") == "test"))
+    from pyspark.ml.functions import vector_to_array as v2a
+    return frames.round_doubles(scored.select("universe", "date", "y",
+                                              F.col("prediction").cast("int").alias("pred"),
+                                              v2a("probability")[1].alias("proba")))
