@@ -92,17 +92,18 @@ def ewm_moments(df: DataFrame, lst: str, alpha: float, prefix: str) -> DataFrame
     """Add the decayed sums of a list column (oldest element first) as columns
     ``{prefix}_sw``, ``_sw2``, ``_swx``, ``_swxx``.
 
-    Each sum is one Horner pass, and each is materialised once: list lambdas
-    run interpreted, so a sum referenced twice in a formula would otherwise
-    be recomputed.
+    The weight sums have closed forms (geometric series in the list size);
+    the two data sums are one Horner pass each. Each is materialised once:
+    list lambdas run interpreted, so a sum referenced twice in a formula
+    would otherwise be recomputed.
     """
     r = 1.0 - alpha
-    ones = F.transform(lst, lambda x: F.lit(1.0))
+    n = F.size(lst).cast("double")
     return df.withColumns({
-        f"{prefix}_sw": _decayed_sum(ones, r),
-        f"{prefix}_sw2": _decayed_sum(ones, r * r),
+        f"{prefix}_sw": (F.lit(1.0) - F.pow(F.lit(r), n)) / F.lit(1.0 - r),
+        f"{prefix}_sw2": (F.lit(1.0) - F.pow(F.lit(r * r), n)) / F.lit(1.0 - r * r),
         f"{prefix}_swx": _decayed_sum(F.col(lst), r),
-        f"{prefix}_swxx": _decayed_sum(F.transform(lst, lambda x: x * x), r),
+        f"{prefix}_swxx": F.aggregate(lst, F.lit(0.0), lambda acc, x: acc * F.lit(r) + x * x),
     })
 
 
@@ -358,7 +359,7 @@ def cvar(df: DataFrame, ret: str, keys: Sequence[str], window: int = 60, alpha:
     tmp = f"_{out}"
     f = _frame(keys, window)
     df = df.withColumn(f"{tmp}_s", F.when(F.count(ret).over(f) == window,
-                                         F.array_sort(F.collect_list(ret).over(f))))
+                                         F.sort_array(F.collect_list(ret).over(f))))
     df = df.withColumn(f"{tmp}_q", list_quantile(F.col(f"{tmp}_s"), alpha))
     df = df.withColumn(f"{tmp}_t", F.filter(F.col(f"{tmp}_s"), lambda x: x <= F.col(f"{tmp}_q")))
     mean = safe_div(F.aggregate(f"{tmp}_t", F.lit(0.0), lambda a, x: a + x),
@@ -496,6 +497,6 @@ def clean_features(df: DataFrame, cols: Sequence[str], keys: Sequence[str],
     """PF-4, PF-5, PF-2: non-finite -> NULL, forward fill up to ``fill_limit``
     rows, drop rows with any NULL feature."""
     f = series_window(keys).rowsBetween(-fill_limit, 0)
-    filled = {c: F.last(nan_to_null(c), ignorenulls=True).over(f) for c in cols}
-    df = df.withColumns(filled)
+    df = df.withColumns({c: nan_to_null(c) for c in cols})
+    df = df.withColumns({c: F.last(c, ignorenulls=True).over(f) for c in cols})
     return df.dropna(subset=list(cols))

@@ -223,10 +223,8 @@ def feature_ctes(with_cross: bool = True) -> list[str]:
   FROM f1)""")
     ctes.append(f"""f3 AS (
   SELECT *,
-    list_reduce(list_transform(ewl, lambda x: CAST(1.0 AS DOUBLE)),
-                lambda acc, x: acc * {_dbl(r_ew)} + x) AS ew_sw,
-    list_reduce(list_transform(ewl, lambda x: CAST(1.0 AS DOUBLE)),
-                lambda acc, x: acc * {_dbl(r_ew * r_ew)} + x) AS ew_sw2,
+    (1 - pow({_dbl(r_ew)}, CAST(ewn AS DOUBLE))) / {_dbl(1.0 - r_ew)} AS ew_sw,
+    (1 - pow({_dbl(r_ew * r_ew)}, CAST(ewn AS DOUBLE))) / {_dbl(1.0 - r_ew * r_ew)} AS ew_sw2,
     list_reduce(ewl, lambda acc, x: acc * {_dbl(r_ew)} + x) AS ew_swx,
     list_reduce(list_transform(ewl, lambda x: x * x), lambda acc, x: acc * {_dbl(r_ew)} + x)
       AS ew_swxx,
