@@ -289,3 +289,52 @@ FROM (SELECT universe, from_state, to_state, count(*) AS n FROM (
 def q_estimated_transitions(spark: SparkSession, sf: str) -> DataFrame:
     """SC-12 (estimated from data): empirical next-state frequencies."""
     return frames.round_doubles(scr.estimated_transitions(states_frame(spark, sf), K))
+
+
+# --------------------------------------------------------------------------
+# Catalogue, alignment, volume
+# --------------------------------------------------------------------------
+
+@register("symbol_catalogue", o.with_ctes(
+    o.base_ctes() + o.symbol_ctes() + [
+        "cat AS (SELECT * FROM (VALUES ('AFRICA', 'stock'), ('AMERICA', 'stock'), "
+        "('ASIA', 'stock'), ('EUROPE', 'stock'), ('MIDDLE EAST', 'stock'), ('sector', 'index'), "
+        "('market', 'index'), ('fear', 'index'), ('fx', 'index')) t(symbol, role))"],
+    f"""SELECT p.universe, p.symbol, c.role, count(*) AS n_days, {o.rnd('avg(p.close)', D, 'avg_close')}
+FROM prices p JOIN cat c ON c.symbol = p.symbol GROUP BY 1, 2, 3"""))
+def q_symbol_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-3: prices joined with the symbol catalogue (a fixed, tiny table,
+    broadcast) and summarised per symbol."""
+    cat = F.broadcast(panels.symbol_catalogue(spark))
+    p = panels.prices_panel(spark, sf).join(cat, "symbol")
+    return frames.round_doubles(p.groupBy(*K, "symbol", "role").agg(
+        F.count(F.lit(1)).alias("n_days"), F.avg("close").alias("avg_close")))
+
+
+@register("aligned_panel", o.with_ctes(
+    o.base_ctes() + o.symbol_ctes(),
+    f"""SELECT p.universe, p.date, r.symbol, {o.rnd('p.sector', D, 'sector')},
+  {o.rnd('p.market', D, 'market')}, {o.rnd('r.ret', D, 'ret')}
+FROM panel p JOIN sret r ON r.universe = p.universe AND r.date = p.date
+WHERE r.ret IS NOT NULL"""))
+def q_aligned_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """JN-2 / JN-3: index panel and symbol returns on their common dates
+    (inner equi-join on universe and date)."""
+    panel = frames.index_panel(spark, sf)
+    rets = frames.symbol_returns(spark, sf, panel).where(F.col("ret").isNotNull())
+    out = panel.join(rets, [*K, "date"]).select(*K, "date", "symbol", "sector", "market", "ret")
+    return frames.round_doubles(out)
+
+
+@register("volume_stress", o.with_ctes(
+    o.base_ctes() + o.calendar_ctes(),
+    f"""SELECT universe, date, {o.rnd('z', D, 'vol_zscore')},
+  CASE WHEN z > 2 THEN 1 ELSE 0 END AS vol_spike
+FROM (SELECT universe, date,
+  {o._gate('(volume - avg(volume) OVER ' + o._w('universe', -19) + ') / (stddev_samp(volume) OVER '
+           + o._w('universe', -19) + ' + 1e-9)', 'volume', 'universe', 20)} AS z FROM cal)"""))
+def q_volume_stress(spark: SparkSession, sf: str) -> DataFrame:
+    """WF-8: volume z-score and spike flag of the sector index on the common calendar."""
+    cal = fe.common_calendar(frames.index_panel(spark, sf), K)
+    out = fe.volume_stress(cal, "volume", K)
+    return frames.round_doubles(out.select(*K, "date", "vol_zscore", "vol_spike"))
