@@ -11,6 +11,7 @@ from vigil.functions.columns import (
     row_mean,
     safe_div,
     series_window,
+    spread,
 )
 
 __all__ = [
@@ -24,4 +25,5 @@ __all__ = [
     "row_mean",
     "safe_div",
     "series_window",
+    "spread",
 ]

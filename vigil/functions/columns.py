@@ -85,3 +85,16 @@ def row_mean(cols: Iterable[Column], default: float | None = None) -> Column:
     present = sum((F.when(c.isNotNull(), 1).otherwise(0) for c in cols), F.lit(0))
     mean = F.try_divide(total, present.cast("double"))
     return F.coalesce(mean, F.lit(default)) if default is not None else mean
+
+
+def spread(df, keys: Sequence[str]):
+    """Hash-partition ``df`` by the series keys into the session's shuffle
+    partition count, before a chain of window operators.
+
+    Window stages are CPU-bound on few bytes; AQE would coalesce such a
+    small shuffle into a single partition and run every series in one task.
+    An explicit repartition is kept as is, and the windows reuse it (same
+    keys), so this adds no exchange of its own.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

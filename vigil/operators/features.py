@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions import clip, flag, gated, nan_to_null, safe_div, series_window
+from vigil.functions import clip, flag, gated, nan_to_null, safe_div, series_window, spread
 from vigil.functions.columns import SQRT_252
 
 UNB = Window.unboundedPreceding
@@ -248,9 +248,10 @@ def cross_symbol_corr(returns: DataFrame, calendar: DataFrame, keys: Sequence[st
     keys = list(keys)
     r = calendar.select(*keys, "date").join(returns.select(*keys, "symbol", "date", "ret"),
                                             [*keys, "date"])
+    r = spread(r, [*keys, "symbol"])
     by_symbol = Window.partitionBy(*keys, "symbol")
     r = r.withColumn("_has", F.max(F.col("ret").isNotNull().cast("int")).over(by_symbol))
-    r = r.where(F.col("_has") == 1)
+    r = spread(r.where(F.col("_has") == 1), [*keys, "symbol"])
     n_sym = r.groupBy(*keys).agg(F.countDistinct("symbol").alias("_n"))
     f = _frame([*keys, "symbol"], window)
     stats = r.select(*keys, "symbol", "date",
@@ -436,7 +437,7 @@ def common_calendar(panel: DataFrame, keys: Sequence[str] = ("universe",),
     the macro series are carried forward on those rows only (values on
     dropped days are never carried)."""
     keys = list(keys)
-    df = log_returns(panel, sector, keys, "bank_ret")
+    df = log_returns(spread(panel, keys), sector, keys, "bank_ret")
     df = log_returns(df, market, keys, "mkt_ret")
     cal = df.where(F.col("bank_ret").isNotNull() & F.col("mkt_ret").isNotNull())
     unb = series_window(keys).rowsBetween(UNB, 0)
@@ -463,7 +464,7 @@ def market_features(panel: DataFrame, returns: DataFrame | None = None,
     has_cross = returns is not None
     if has_cross:
         cross = cross_symbol_corr(returns, cal.select(*keys, "date"), keys)
-        cal = cal.join(cross, [*keys, "date"], "left")
+        cal = spread(cal.join(cross, [*keys, "date"], "left"), keys)
     df = rolling_volatility(cal, "bank_ret", keys)
     df = ewma_volatility(df, "bank_ret", keys)
     df = vol_of_vol(df, "bank_ret", keys)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions import clip, safe_div
+from vigil.functions import clip, safe_div, spread
 from vigil.functions.columns import SQRT_252
 
 EPS = 1e-9
@@ -60,7 +60,7 @@ def summary_stats(aligned: DataFrame, keys: Sequence[str] = ("universe",),
     cumulative return, peak starting at the first value), plus n_rows."""
     keys = [*keys, "symbol"]
     w = Window.partitionBy(*keys).orderBy("date")
-    d = aligned.withColumns({"_rn": F.row_number().over(w),
+    d = spread(aligned, keys).withColumns({"_rn": F.row_number().over(w),
                              "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
     last = d.where(F.col("_rn") > F.col("_n") - window)
     run = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -28,19 +28,22 @@ def index_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.index_panel(spark, sf_dir)
 
 
-def symbol_returns(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None) -> DataFrame:
+def symbol_returns(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None,
+                   daily: DataFrame | None = None) -> DataFrame:
     """(universe, symbol, date, ret) on the market calendar, complete-date rule applied."""
-    panel = panel if panel is not None else index_panel(spark, sf_dir)
-    prices = panels.prices_panel(spark, sf_dir)
-    closes = panels.carried_closes(prices, panels.market_calendar(panel, KEYS), KEYS)
-    return panels.symbol_returns(closes, KEYS)
+    daily = daily if daily is not None else panels.region_daily(spark, sf_dir)
+    panel = panel if panel is not None else panels.index_panel(spark, sf_dir, daily=daily)
+    obs = panels.symbol_closes(spark, sf_dir, daily)
+    closes = panels.carried_closes(obs, panels.market_calendar(panel, KEYS), KEYS)
+    return panels.symbol_returns(closes, KEYS, observed=obs.select(*KEYS, "symbol", "date"))
 
 
 def features(spark: SparkSession, sf_dir: str, use_volume: bool = False,
              with_cross: bool = True) -> DataFrame:
     """The cleaned market feature matrix per (universe, date)."""
-    panel = index_panel(spark, sf_dir)
-    rets = symbol_returns(spark, sf_dir, panel) if with_cross else None
+    daily = panels.region_daily(spark, sf_dir)
+    panel = panels.index_panel(spark, sf_dir, daily=daily)
+    rets = symbol_returns(spark, sf_dir, panel, daily) if with_cross else None
     return fe.market_features(panel, rets, KEYS, use_volume=use_volume)
 
 

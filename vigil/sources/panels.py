@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.functions import safe_div, series_window
+from vigil.functions import safe_div, series_window, spread
 from vigil.sources.tables import read_table
 
 # Which region's orders make up the "sector" index.
@@ -72,27 +72,52 @@ def macro_series(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.avg(safe_div("l_extendedprice", "l_quantity")).alias("fx")))
 
 
-def index_panel(spark: SparkSession, sf_dir: str, sector_region: str = SECTOR_REGION) -> DataFrame:
+def region_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders reduced once to one row per (universe, region, day): price sum,
+    count, max, min and the price of the first order key. Both the index
+    panel and the symbol closes are derived from this small frame, so the
+    orders x customer join runs once per job."""
+    o = segment_orders(spark, sf_dir)
+    return (o.groupBy("universe", "region", "date")
+            .agg(F.sum("price").alias("p_sum"), F.count("price").alias("p_n"),
+                 F.max("price").alias("high"), F.min("price").alias("low"),
+                 F.min_by("price", "o_orderkey").alias("open"),
+                 F.min("o_orderkey").alias("first_key")))
+
+
+def index_panel(spark: SparkSession, sf_dir: str, sector_region: str = SECTOR_REGION,
+                daily: DataFrame | None = None) -> DataFrame:
     """IO-2 / JN-1: the wide index panel per (universe, date).
 
-    One aggregation produces market and sector together (conditional
-    averages), so no outer join of two series is needed; the calendar is the
-    set of days with any order in the universe, and the sector is NULL on
-    days without sector orders. The global fear / fx series join by date.
+    One aggregation of the per-region daily sums produces market and sector
+    together (conditional sums), so no outer join of two series is needed;
+    the calendar is the set of days with any order in the universe, and the
+    sector is NULL on days without sector orders. The global fear / fx
+    series join by date.
     """
-    o = segment_orders(spark, sf_dir)
+    d = daily if daily is not None else region_daily(spark, sf_dir)
     in_sector = F.col("region") == F.lit(sector_region)
-    daily = (o.groupBy("universe", "date")
-             .agg(F.avg(F.when(in_sector, F.col("price"))).alias("sector"),
-                  F.avg("price").alias("market"),
-                  F.count(F.when(in_sector, F.lit(1))).alias("n_sector")))
-    daily = daily.select("universe", "date", "sector", "market",
-                         F.when(F.col("n_sector") > 0, F.col("n_sector").cast("double"))
-                         .alias("volume"))
-    return (daily.join(macro_series(spark, sf_dir), "date", "left")
+    agg = (d.groupBy("universe", "date")
+           .agg(F.sum("p_sum").alias("m_sum"), F.sum("p_n").alias("m_n"),
+                F.sum(F.when(in_sector, F.col("p_sum"))).alias("s_sum"),
+                F.sum(F.when(in_sector, F.col("p_n"))).alias("s_n")))
+    daily_panel = agg.select(
+        "universe", "date",
+        safe_div(F.col("s_sum"), F.col("s_n").cast("double")).alias("sector"),
+        safe_div(F.col("m_sum"), F.col("m_n").cast("double")).alias("market"),
+        F.when(F.col("s_n") > 0, F.col("s_n").cast("double")).alias("volume"))
+    return (daily_panel.join(macro_series(spark, sf_dir), "date", "left")
             .select("universe", "date", "sector", "market", "fear", "fx", "volume"))
 
 
+def symbol_closes(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    """Daily close per (universe, symbol = region): the average order price.
+    Needs no line items."""
+    d = daily if daily is not None else region_daily(spark, sf_dir)
+    return d.select("universe", F.col("region").alias("symbol"), "date",
+                    safe_div(F.col("p_sum"), F.col("p_n").cast("double")).alias("close"))
+
+
 def prices_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO-1: daily OHLCV per (universe, symbol = region)."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_quantity"])
@@ -138,21 +163,34 @@ def carried_closes(prices: DataFrame, calendar: DataFrame,
     """
     symbols = prices.select(*keys, "symbol").distinct()
     grid = calendar.join(symbols, list(keys))
-    g = grid.join(prices.select(*keys, "symbol", "date", "close"),
-                  [*keys, "symbol", "date"], "left")
+    g = spread(grid.join(prices.select(*keys, "symbol", "date", "close"),
+                         [*keys, "symbol", "date"], "left"), [*keys, "symbol"])
     w = series_window([*keys, "symbol"]).rowsBetween(Window.unboundedPreceding, 0)
     return g.select(*keys, "symbol", "date",
                     F.last("close", ignorenulls=True).over(w).alias("close"))
 
 
-def symbol_returns(closes: DataFrame, keys: tuple[str, ...] = ("universe",)) -> DataFrame:
+def symbol_returns(closes: DataFrame, keys: tuple[str, ...] = ("universe",),
+                   observed: DataFrame | None = None) -> DataFrame:
     """WF-1 per symbol plus the complete-date rule of the wide return frame:
-    a date keeps its returns only if every symbol of the universe has one."""
+    a date keeps its returns only if every symbol of the universe has one.
+
+    With closes carried forward on the calendar, a symbol has a return on
+    every calendar day after its first observation, so a day is complete
+    exactly when it is later than the universe's last first-observation
+    day. That day comes from a per-symbol minimum (one row per universe)
+    instead of a window over (universe, date), which would shuffle the panel
+    again. ``observed`` is (keys..., symbol, date) of the observations; by
+    default the non-NULL carried closes are used.
+    """
     w = series_window([*keys, "symbol"])
     r = closes.withColumn("ret", F.ln(safe_div(F.col("close"), F.lag("close").over(w))))
-    day = Window.partitionBy(*keys, "date")
-    complete = F.count("ret").over(day) == F.count(F.lit(1)).over(day)
-    return r.select(*keys, "symbol", "date", F.when(complete, F.col("ret")).alias("ret"))
+    obs = observed if observed is not None else closes.where(F.col("close").isNotNull())
+    started = (obs.groupBy(*keys, "symbol").agg(F.min("date").alias("_first"))
+               .groupBy(*keys).agg(F.max("_first").alias("_all_started")))
+    r = r.join(started, list(keys), "left")
+    return r.select(*keys, "symbol", "date",
+                    F.when(F.col("date") > F.col("_all_started"), F.col("ret")).alias("ret"))
 
 
 def symbol_catalogue(spark: SparkSession, symbols: list[tuple[str, str]] | None = None) -> DataFrame:
