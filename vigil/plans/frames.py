@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.operators import features as fe
+from vigil.session import cut_lineage
 from vigil.sources import panels
 
 KEYS = ("universe",)
@@ -39,12 +40,20 @@ def symbol_returns(spark: SparkSession, sf_dir: str, panel: DataFrame | None = N
 
 
 def features(spark: SparkSession, sf_dir: str, use_volume: bool = False,
-             with_cross: bool = True) -> DataFrame:
-    """The cleaned market feature matrix per (universe, date)."""
+             with_cross: bool = True, materialize: bool = True) -> DataFrame:
+    """The cleaned market feature matrix per (universe, date).
+
+    With ``materialize`` the matrix (one row per universe and day) is
+    checkpointed to the shared checkpoint folder: later stages (scores,
+    states, stocks, evaluation) then plan against a small leaf instead of
+    re-analysing and re-optimising the whole raw-table lineage after every
+    adaptive stage, and a lost executor does not replay the raw scans.
+    """
     daily = panels.region_daily(spark, sf_dir)
     panel = panels.index_panel(spark, sf_dir, daily=daily)
     rets = symbol_returns(spark, sf_dir, panel, daily) if with_cross else None
-    return fe.market_features(panel, rets, KEYS, use_volume=use_volume)
+    out = fe.market_features(panel, rets, KEYS, use_volume=use_volume)
+    return cut_lineage(out) if materialize else out
 
 
 def col_or_null(df: DataFrame, name: str) -> Column:
