@@ -734,3 +734,13 @@ def q_model_persistence(spark: SparkSession, sf: str) -> DataFrame:
     return frames.round_doubles(scored.select("universe", "date", "y",
                                               F.col("prediction").cast("int").alias("pred"),
                                               v2a("probability")[1].alias("proba")))
+
+
+@register("dashboard_json", None)
+def q_dashboard_json(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-9 / EX-9: the nested document written as JSON (one object per
+    universe) and read back with its declared schema."""
+    doc = q_dashboard_document(spark, sf)
+    path = files.output_dir(spark, "dashboard_json")
+    files.write_table(doc, path, "json")
+    return spark.read.schema(doc.schema).json(path)
