@@ -264,7 +264,8 @@ def with_ctes(ctes: list[str], body: str) -> str:
 
 
 def rnd(expr: str, digits: int = R_DIGITS, alias: str | None = None) -> str:
-    out = f"round({expr}, {digits})"
+    # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's decimal rounding does.
+    out = f"(round({expr}, {digits}) + 0.0)"
     return f"{out} AS {alias}" if alias else out
 
 

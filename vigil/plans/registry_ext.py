@@ -218,7 +218,7 @@ dd AS (
   SELECT s.model, s.universe, coalesce(x.n_ep, 0) AS n_episodes, coalesce(x.det, 0) AS detected,
     coalesce(x.n_ep, 0) - coalesce(x.det, 0) AS missed,
     round(coalesce(x.det, 0) / greatest(coalesce(x.n_ep, 0), 1), 4) AS event_detection_rate,
-    round(x.avg_d, 2) AS avg_delay_days,
+    (round(x.avg_d, 2) + 0.0) AS avg_delay_days,
     round(coalesce(x.early, 0) / greatest(coalesce(x.n_ep, 0), 1), 4) AS early_warning_pct
   FROM (SELECT DISTINCT model, universe FROM preds) s
   LEFT JOIN (SELECT model, universe, count(*) AS n_ep, count(delay) AS det, avg(delay) AS avg_d,
@@ -412,18 +412,18 @@ st3 AS (SELECT *,
     CASE WHEN score >= 70 AND market_score >= 50 THEN 'BUY' WHEN score >= 45 THEN 'HOLD'
          ELSE 'AVOID' END AS rec FROM st2)
 SELECT universe, symbol, CASE WHEN NOT ({ok}) THEN 'insufficient data' END AS error,
-  CASE WHEN {ok} THEN round(score, 1) END AS stock_score,
+  CASE WHEN {ok} THEN round(score, 1) + 0.0 END AS stock_score,
   CASE WHEN {ok} THEN rec END AS recommendation,
   CASE WHEN {ok} THEN CASE WHEN rec = 'BUY' THEN CASE WHEN score >= 80 THEN 'HIGH'
        ELSE 'MODERATE' END WHEN rec = 'HOLD' THEN 'MODERATE'
        WHEN score < 25 THEN 'HIGH' ELSE 'MODERATE' END END AS confidence,
-  CASE WHEN {ok} THEN round(ann_ret * 100, 2) END AS ann_return,
-  CASE WHEN {ok} THEN round(ann_vol * 100, 2) END AS ann_volatility,
-  CASE WHEN {ok} THEN round(sharpe, 2) END AS sharpe,
-  CASE WHEN {ok} THEN round(beta, 2) END AS beta,
-  CASE WHEN {ok} THEN round(max_dd * 100, 2) END AS max_drawdown_pct,
-  CASE WHEN {ok} THEN round(mom * 100, 2) END AS momentum,
-  CASE WHEN {ok} THEN round(corr, 3) END AS corr_with_index,
+  CASE WHEN {ok} THEN round(ann_ret * 100, 2) + 0.0 END AS ann_return,
+  CASE WHEN {ok} THEN round(ann_vol * 100, 2) + 0.0 END AS ann_volatility,
+  CASE WHEN {ok} THEN round(sharpe, 2) + 0.0 END AS sharpe,
+  CASE WHEN {ok} THEN round(beta, 2) + 0.0 END AS beta,
+  CASE WHEN {ok} THEN round(max_dd * 100, 2) + 0.0 END AS max_drawdown_pct,
+  CASE WHEN {ok} THEN round(mom * 100, 2) + 0.0 END AS momentum,
+  CASE WHEN {ok} THEN round(corr, 3) + 0.0 END AS corr_with_index,
   CASE WHEN {ok} THEN CASE WHEN len(rs) > 0 THEN rs ELSE ['{stk.REASON_NONE}'] END END
     AS reasons,
   row_number() OVER (PARTITION BY universe ORDER BY CASE WHEN {ok} THEN round(score, 1) END
