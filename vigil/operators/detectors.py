@@ -19,7 +19,6 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -262,7 +261,7 @@ def _forward_backward(x: np.ndarray, means, covs, weights, trans, start):
     n = x.shape[0]
     logb = np.zeros((n, k))
     for j in range(k):
-        cov = covs[j] + 1e-6 * np.eye(covs[j].shape[0])
+        cov = covs[j]
         inv = np.linalg.inv(cov)
         _, logdet = np.linalg.slogdet(cov)
         d = x - means[j]
@@ -298,12 +297,105 @@ def _forward_backward(x: np.ndarray, means, covs, weights, trans, start):
     return post, path
 
 
+def fit_mixture(df: DataFrame, cols: Sequence[str], k: int, max_iter: int = 100,
+                tol: float = 1e-7, reg: float = 1e-3):
+    """Gaussian mixture (full covariance) by EM, one DataFrame aggregate per
+    iteration: responsibilities are column expressions of the current
+    parameters, and the M-step uses the aggregated weighted sums and outer
+    products (k x (1 + d + d^2) numbers). Components start at evenly spaced
+    points between the minimum and maximum of the first input, the others at
+    their mean, with the global covariance; ``reg`` is added to every
+    covariance diagonal (a floor, so a component on identical points keeps
+    a proper density). Returns (weights, means, covariances, log-likelihood).
+    """
+    d = len(cols)
+    x = [F.col(c) for c in cols]
+    first = df.agg(F.min(cols[0]), F.max(cols[0]), F.count(F.lit(1)),
+                   *[F.avg(c) for c in cols],
+                   *[F.covar_pop(a, b) for a in cols for b in cols]).first()
+    lo, hi, n = first[0], first[1], first[2]
+    mu = np.array(first[3:3 + d], dtype=float)
+    cov0 = np.array(first[3 + d:], dtype=float).reshape(d, d) + reg * np.eye(d)
+    means = []
+    for j in range(k):
+        m = mu.copy()
+        m[0] = lo + (hi - lo) * (j / (k - 1) if k > 1 else 0.5)
+        means.append(m)
+    covs = [cov0.copy() for _ in range(k)]
+    weights = np.full(k, 1.0 / k)
+    prev = None
+    ll = float("nan")
+    for _ in range(max_iter):
+        logp = []
+        for j in range(k):
+            inv = np.linalg.inv(covs[j])
+            _, logdet = np.linalg.slogdet(covs[j])
+            dev = [x[a] - F.lit(float(means[j][a])) for a in range(d)]
+            quad = sum((dev[a] * dev[b] * F.lit(float(inv[a, b])) for a in range(d)
+                        for b in range(d)), F.lit(0.0))
+            logp.append(F.lit(float(math.log(weights[j] + 1e-300)
+                                    - 0.5 * (d * math.log(2 * math.pi) + logdet))) - quad / 2)
+        top = F.greatest(*logp) if k > 1 else logp[0]
+        expo = [F.exp(lp - top) for lp in logp]
+        tot = sum(expo[1:], expo[0])
+        resp = [e / tot for e in expo]
+        # Responsibilities are materialised once per row; the aggregate then
+        # only references columns (no copy of the density per weighted sum).
+        step = df.select(*[c.alias(f"_x{a}") for a, c in enumerate(x)],
+                         *[r.alias(f"_r{j}") for j, r in enumerate(resp)],
+                         (F.log(tot) + top).alias("_ll"))
+        xr = [F.col(f"_x{a}") for a in range(d)]
+        aggs = [F.sum("_ll").alias("ll")]
+        for j in range(k):
+            rj = F.col(f"_r{j}")
+            aggs.append(F.sum(rj).alias(f"n{j}"))
+            aggs += [F.sum(rj * xr[a]).alias(f"s{j}_{a}") for a in range(d)]
+            aggs += [F.sum(rj * xr[a] * xr[b]).alias(f"q{j}_{a}_{b}")
+                     for a in range(d) for b in range(d)]
+        row = step.agg(*aggs).first()
+        ll = float(row["ll"])
+        for j in range(k):
+            nj = max(float(row[f"n{j}"]), 1e-12)
+            m = np.array([row[f"s{j}_{a}"] for a in range(d)], dtype=float) / nj
+            q = np.array([[row[f"q{j}_{a}_{b}"] for b in range(d)] for a in range(d)],
+                         dtype=float) / nj
+            weights[j] = nj / n
+            means[j] = m
+            covs[j] = q - np.outer(m, m) + reg * np.eye(d)
+        if prev is not None and abs(ll - prev) <= tol * max(1.0, abs(prev)):
+            break
+        prev = ll
+    return weights, means, covs, ll
+
+
+def mixture_component(cols: Sequence[str], weights, means, covs) -> Column:
+    """Index of the most likely component for each row (expression)."""
+    d = len(cols)
+    x = [F.col(c) for c in cols]
+    best_val, best_idx = None, None
+    for j in range(len(weights)):
+        inv = np.linalg.inv(covs[j])
+        _, logdet = np.linalg.slogdet(covs[j])
+        dev = [x[a] - F.lit(float(means[j][a])) for a in range(d)]
+        quad = sum((dev[a] * dev[b] * F.lit(float(inv[a, b])) for a in range(d)
+                    for b in range(d)), F.lit(0.0))
+        lp = F.lit(float(math.log(weights[j] + 1e-300) - 0.5 * logdet)) - quad / 2
+        if best_val is None:
+            best_val, best_idx = lp, F.lit(0)
+        else:
+            better = lp > best_val
+            best_idx = F.when(better, F.lit(j)).otherwise(best_idx)
+            best_val = F.greatest(lp, best_val)
+    return best_idx
+
+
 def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float | None = 42.0,
                  seed: int = 42, fit_on: str = "all", tune_on: str = "train",
                  model: str = "Regime"):
     """ML-10 ... ML-13, ML-16 (re-aimed regime model).
 
-    Emissions: ``GaussianMixture`` on the (optionally binarised) score inputs,
+    Emissions: a Gaussian mixture fitted by EM (:func:`fit_mixture`, one
+    aggregate per iteration) on the (optionally binarised) score inputs,
     fitted on all rows (``fit_on='all'``, as the reference) or the training
     part. Transitions: counts of consecutive most-likely components
     (``lag`` + ``groupBy``). Per series, smoothed posteriors and the Viterbi
@@ -322,12 +414,9 @@ def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float |
         data = filled(labelled, cols)
     params = fit_scaler(data, cols)
     data = apply_scaler(filled(data, cols), params)
-    asm = VectorAssembler(inputCols=cols, outputCol="features")
-    data = asm.transform(data)
     fit_rows = data if fit_on == "all" else data.where(F.col("part") == "train")
-    gmm = GaussianMixture(featuresCol="features", k=n_states, seed=seed, maxIter=200,
-                          probabilityCol="gprob", predictionCol="comp").fit(fit_rows)
-    comp = gmm.transform(data)
+    weights, means, covs, _ = fit_mixture(fit_rows, cols, n_states)
+    comp = data.withColumn("comp", mixture_component(cols, weights, means, covs))
     w = Window.partitionBy("universe").orderBy("date")
     pairs = (comp.select(F.lag("comp").over(w).alias("a"), F.col("comp").alias("b"))
              .where(F.col("a").isNotNull()).groupBy("a", "b").count().collect())
@@ -335,17 +424,14 @@ def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float |
     for r in pairs:
         trans[r["a"], r["b"]] += r["count"]
     trans /= trans.sum(axis=1, keepdims=True)
-    start = np.asarray(gmm.weights)
-    g = gmm.gaussiansDF.collect()
-    means = [np.asarray(r["mean"].toArray()) for r in g]
-    covs = [np.asarray(r["cov"].toArray()) for r in g]
+    start = np.asarray(weights, dtype=float)
     bc = spark.sparkContext.broadcast((means, covs, list(start), trans, start))
 
     flag_col = "r0" if binarise_below is not None else "risk_score"
     raw = labelled.select("universe", "date", "y", "part", "risk_score")
     if binarise_below is not None:
         raw = raw.withColumn("r0", (F.col("risk_score") < binarise_below).cast("double"))
-    xs = comp.select("universe", "date", vector_to_array("features").alias("x"))
+    xs = comp.select("universe", "date", F.array(*[F.col(c) for c in cols]).alias("x"))
     series = raw.join(xs, ["universe", "date"])
     k = n_states
 
