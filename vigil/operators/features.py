@@ -249,10 +249,10 @@ def cross_symbol_corr(returns: DataFrame, calendar: DataFrame, keys: Sequence[st
     r = calendar.select(*keys, "date").join(returns.select(*keys, "symbol", "date", "ret"),
                                             [*keys, "date"])
     r = spread(r, [*keys, "symbol"])
-    by_symbol = Window.partitionBy(*keys, "symbol")
-    r = r.withColumn("_has", F.max(F.col("ret").isNotNull().cast("int")).over(by_symbol))
-    r = r.where(F.col("_has") == 1)
-    n_sym = r.groupBy(*keys).agg(F.countDistinct("symbol").alias("_n"))
+    # PF-3: only symbols with some return on the calendar count; the others
+    # never produce a full frame, so they need no filtering of their rows.
+    n_sym = (r.where(F.col("ret").isNotNull()).groupBy(*keys)
+             .agg(F.countDistinct("symbol").alias("_n")))
     f = _frame([*keys, "symbol"], window)
     stats = r.select(*keys, "symbol", "date",
                      F.collect_list("ret").over(f).alias("_lst"),
