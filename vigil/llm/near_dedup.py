@@ -307,16 +307,16 @@ WITH RECURSIVE w AS (
     'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
     WHEN len(w) = 1 THEN [w[1]]
-    ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS sh FROM w),
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b
     ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-    WHERE 100 * both >= 80 * (x.n + y.n - both)),
+    WHERE 100 * inter >= 80 * (x.n + y.n - inter)),
 l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT DISTINCT a AS doc_id, a AS at FROM l UNION
-    SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.at),
-m AS (SELECT doc_id, min(at) AS root FROM r GROUP BY doc_id)
+r AS (SELECT DISTINCT a AS doc_id, a AS seen FROM l UNION
+    SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen),
+m AS (SELECT doc_id, min(seen) AS root FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.root, w.doc_id) AS component_id,
   w.doc_id = coalesce(m.root, w.doc_id) AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id

@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, quality_rules
+from . import exact_dedup, mixing, near_dedup, pieces, quality_rules
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +33,21 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.mark_near(docs, carry=["doc_id"]).drop("first_row")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    out = mixing.sample(docs, carry=["doc_id"])
+    return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return pieces.encode_texts(docs, carry=["doc_id"])
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_exact_dedup": (op1_exact_dedup, exact_dedup.ORACLE),
+    "op3_mixing": (op3_mixing, mixing.oracle()),
     "op4_quality_rules": (op4_quality_rules, None),
     "op5_near_dedup": (op5_near_dedup, near_dedup.ORACLE),
+    "op10_sentencepiece": (op10_sentencepiece, None),
 }
