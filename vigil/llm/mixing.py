@@ -72,14 +72,15 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         off = None
         for dim, goal in targets.items():
             sums = now.groupBy(F.col(dim).alias("m_" + dim)).agg(F.sum("weight").alias("sum"))
-            factor = sums.join(goal, F.col("m_" + dim).eqNullSafe(F.col("t_" + dim))).select(
-                "m_" + dim, (F.col("goal") / F.col("sum")).alias("factor"))
+            # Written, or plan and constraints would grow with every margin.
+            factor = materialise(sums.join(goal, F.col("m_" + dim).eqNullSafe(F.col("t_" + dim))).select(
+                "m_" + dim, (F.col("goal") / F.col("sum")).alias("factor")), "factor")
             now = now.join(factor, F.col(dim).eqNullSafe(F.col("m_" + dim)), "left").withColumn(
                 "weight", F.col("weight") * F.coalesce("factor", F.lit(0.0)))
             gap = F.coalesce(F.abs(F.col("factor") - 1), F.lit(0.0))
             off = gap if off is None else F.greatest(F.col("off"), gap)
             now = now.withColumn("off", off).drop("m_" + dim, "factor")
-        now = now.checkpoint(eager=True)
+        now = materialise(now, "raked")
         worst = now.agg(F.max("off")).first()[0]
         now = now.drop("off")
         if worst is None or worst < TOLERANCE:
