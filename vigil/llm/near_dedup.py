@@ -145,9 +145,10 @@ def indexed_values(nodes: DataFrame, k: int, need: int, threshold: float) -> Dat
     counted = nodes.select(F.explode("x_sketch").alias("v")).groupBy(
         F.col("v").bitwiseAND(slots - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     # Fixed size: at most 2**ORDER_BITS counters leave the executors.
-    at = counted.where("n > 1").toPandas()
+    at = counted.where("n > 1").toArrow()
     table = np.ones(slots, np.int64)
     table[at["slot"].to_numpy()] = at["n"].to_numpy()
+    del at
     shared = nodes.sparkSession.sparkContext.broadcast(table)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
