@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, pieces, quality_rules
+from . import (exact_dedup, licences, mixing, near_dedup, pieces, quality_rules, sharding,
+               url_lists)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,21 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
 
 
+def op6_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "url")
+    return url_lists.screen(url_lists.derived_captures(pages), url_lists.derived_changes(pages))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return licences.scan_texts(docs, carry=["doc_id"])
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars")
+    return sharding.placement(docs, fallback=("source", "lang", "n_chars"), carry=["doc_id"])
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return pieces.encode_texts(docs, carry=["doc_id"])
@@ -49,5 +65,8 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op3_mixing": (op3_mixing, mixing.oracle()),
     "op4_quality_rules": (op4_quality_rules, None),
     "op5_near_dedup": (op5_near_dedup, near_dedup.ORACLE),
+    "op6_url_lists": (op6_url_lists, url_lists.oracle()),
+    "op7_licences": (op7_licences, None),
+    "op9_sharding": (op9_sharding, sharding.oracle()),
     "op10_sentencepiece": (op10_sentencepiece, None),
 }
