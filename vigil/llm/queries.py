@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, licences, mixing, near_dedup, pieces, quality_rules, sharding,
-               url_lists)
+from . import (exact_dedup, licences, mixing, near_dedup, pieces, quality_rules, repeats,
+               sharding, url_lists)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_texts(docs, carry=["doc_id"])
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return repeats.remove_repeats(docs, carry=["doc_id"])
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars")
     return sharding.placement(docs, fallback=("source", "lang", "n_chars"), carry=["doc_id"])
@@ -67,6 +72,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op5_near_dedup": (op5_near_dedup, near_dedup.ORACLE),
     "op6_url_lists": (op6_url_lists, url_lists.oracle()),
     "op7_licences": (op7_licences, None),
+    "op8_repeats": (op8_repeats, None),
     "op9_sharding": (op9_sharding, sharding.oracle()),
     "op10_sentencepiece": (op10_sentencepiece, None),
 }
