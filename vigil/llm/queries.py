@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, licences, mixing, near_dedup, pieces, quality_rules, repeats,
+from . import (exact_dedup, html_blocks, licences, mixing, near_dedup, pieces, quality_rules, repeats,
                sharding, url_lists)
 from .common import read
 
@@ -34,6 +34,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.mark_near(docs, carry=["doc_id"]).drop("first_row")
 
 
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return html_blocks.extract(pages, carry=["page_id", "url"])
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     out = mixing.sample(docs, carry=["doc_id"])
@@ -67,6 +72,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_exact_dedup": (op1_exact_dedup, exact_dedup.ORACLE),
+    "op2_html_blocks": (op2_html_blocks, None),
     "op3_mixing": (op3_mixing, mixing.oracle()),
     "op4_quality_rules": (op4_quality_rules, None),
     "op5_near_dedup": (op5_near_dedup, near_dedup.ORACLE),
