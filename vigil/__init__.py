@@ -7,7 +7,6 @@ functions/  column-expression helpers (safe division, warm-up gates, clips)
 operators/  DataFrame -> DataFrame operators (features, scoring, stocks,
             evaluation, detectors, export)
 plans/      compositions of operators and the query registry
-streaming/  (no streaming surface; see its docstring)
 
 Every operator takes and returns a DataFrame and is keyed by ``universe``
 (and ``symbol`` for per-symbol series), so the work partitions by series.

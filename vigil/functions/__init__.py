@@ -1,9 +1,7 @@
 """Column-expression helpers shared by all operators."""
 
 from vigil.functions.columns import (
-    annualise,
     clip,
-    clip_keep_null,
     flag,
     full_frame,
     gated,
@@ -15,9 +13,7 @@ from vigil.functions.columns import (
 )
 
 __all__ = [
-    "annualise",
     "clip",
-    "clip_keep_null",
     "flag",
     "full_frame",
     "gated",

@@ -52,10 +52,6 @@ def gated(value: Column, x: Column | str, spec: WindowSpec, width: int) -> Colum
     return F.when(F.count(_col(x)).over(frame) == width, value)
 
 
-def annualise(c: Column, factor: float = SQRT_252) -> Column:
-    return c * F.lit(factor)
-
-
 def clip(c: Column | str, lo: float | None = None, hi: float | None = None) -> Column:
     """Bound a value; NULL stays NULL (``greatest``/``least`` would skip it)."""
     c = _col(c)
@@ -67,10 +63,6 @@ def clip(c: Column | str, lo: float | None = None, hi: float | None = None) -> C
     return F.when(c.isNotNull(), out)
 
 
-# Same thing under the name used where the distinction matters in a formula.
-clip_keep_null = clip
-
-
 def flag(cond: Column) -> Column:
     """Boolean condition as 0/1 INT with NULL counted as 0."""
     return F.coalesce(cond.cast("int"), F.lit(0))

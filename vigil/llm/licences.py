@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, small_batches
 
 # Phrases of the contract and their labels.
 BASE = {
@@ -185,6 +185,7 @@ FOUND = [("n_words", T.LongType(), pa.int64()), ("n_base", T.LongType(), pa.int6
 
 def scan_texts(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns (all by default) with the columns of FOUND."""
+    small_batches(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     inner = [T.StructField(f"c{i}_", docs.schema[c].dataType) for i, c in enumerate(carry)]
     schema = T.StructType(inner + [T.StructField(f"x{i}_", k) for i, (_, k, _) in enumerate(FOUND)])

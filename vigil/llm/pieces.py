@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, small_batches
 
 #: Bytes of text that are segmented together, and longest chunk of the column
 #: pass (longer chunks go byte by byte through the same automaton).
@@ -346,6 +346,7 @@ def encode_texts(docs: DataFrame, vocabulary: str | None = None, text_col: str =
                  carry: list[str] | None = None, check: bool = True) -> DataFrame:
     """``carry`` columns (all by default) with n_pieces, piece_ids, score and
     round_trip (decoding gives the text back)."""
+    small_batches(docs.sparkSession, 2000)
     carry = docs.columns if carry is None else carry
     with open(vocabulary or default_vocabulary(), "rb") as f:
         made = Pieces.from_model(f.read())

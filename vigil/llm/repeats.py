@@ -43,10 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, free_name, materialise
+from .common import BROADCAST_ROWS, free_name, materialise, small_batches
 
 WINDOW = 200
-GRAM = 32
+GRAM = 80
 #: Strings of a bucket on average, and most strings of one anchor in a bucket.
 BUCKET_STRINGS = 600
 HOT = 2000
@@ -362,6 +362,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
                    carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """``carry`` columns (all by default) with n_bytes, n_removed, n_spans,
     kept_sha256 and, if asked for, kept_bytes (what is left, as binary)."""
+    small_batches(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     names = {c: f"c{i}_" for i, c in enumerate(carry)}
     rows = docs.select(*[F.col(c).alias(a) for c, a in names.items()],

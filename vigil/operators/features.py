@@ -14,6 +14,7 @@ raw volume behind it, so a window partition is bounded by the calendar.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,63 +84,75 @@ def rolling_volatility(df: DataFrame, ret: str, keys: Sequence[str],
                            for w in windows})
 
 
-def _decayed_sum(lst: Column, r: float) -> Column:
-    """sum_i r^(n-1-i) * lst[i] by Horner's recurrence (oldest element first)."""
-    return F.aggregate(lst, F.lit(0.0), lambda acc, x: acc * F.lit(r) + x)
+#: Natural log of the growth of a block's scale: terms two blocks back weigh
+#: less than e^-69 (1e-30), far below a double's precision.
+_BLOCK_LOG = 69.0
 
 
-def ewm_moments(df: DataFrame, lst: str, alpha: float, prefix: str) -> DataFrame:
-    """Add the decayed sums of a list column (oldest element first) as columns
-    ``{prefix}_sw``, ``_sw2``, ``_swx``, ``_swxx``.
+def decayed_sums(df: DataFrame, terms: dict[str, tuple[Column, float]], keys: Sequence[str],
+                 block: int) -> DataFrame:
+    """For every ``name: (x, r)`` add ``name`` = sum over all earlier rows i of
+    r^(t-i) * x_i (this row included, NULL x counting as 0), over the whole
+    history of a series.
 
-    The weight sums have closed forms (geometric series in the list size);
-    the two data sums are one Horner pass each. Each is materialised once:
-    list lambdas run interpreted, so a sum referenced twice in a formula
-    would otherwise be recomputed.
+    Rows are cut into blocks of ``block`` positions. Within a block the sum is
+    a running sum of x_i * r^-i, scaled back by r^t; the block before adds its
+    final value times the decay since. Two running windows for any span, no
+    list of past rows, and nothing is truncated.
     """
-    r = 1.0 - alpha
-    n = F.size(lst).cast("double")
-    return df.withColumns({
-        f"{prefix}_sw": (F.lit(1.0) - F.pow(F.lit(r), n)) / F.lit(1.0 - r),
-        f"{prefix}_sw2": (F.lit(1.0) - F.pow(F.lit(r * r), n)) / F.lit(1.0 - r * r),
-        f"{prefix}_swx": _decayed_sum(F.col(lst), r),
-        f"{prefix}_swxx": F.aggregate(lst, F.lit(0.0), lambda acc, x: acc * F.lit(r) + x * x),
-    })
-
-
-def ewm_std_from_moments(prefix: str) -> Column:
-    """Bias-corrected weighted sd from the sums of :func:`ewm_moments`:
-    var = (swxx/sw - m^2) * sw^2 / (sw^2 - sw2), m = swx / sw."""
-    sw, sw2 = F.col(f"{prefix}_sw"), F.col(f"{prefix}_sw2")
-    mean = F.col(f"{prefix}_swx") / sw
-    biased = F.greatest(F.col(f"{prefix}_swxx") / sw - mean * mean, F.lit(0.0))
-    return F.sqrt(safe_div(biased * sw * sw, sw * sw - sw2))
-
-
-def ewm_mean_column(df: DataFrame, lst: str, alpha: float, out: str) -> DataFrame:
-    """Adjusted exponentially weighted mean of a list column (oldest first)."""
-    r = 1.0 - alpha
-    tmp = f"_{out}_w"
+    w = series_window(keys)
+    df = df.withColumn("_ew_pos", F.row_number().over(w) - 1)
+    df = df.withColumns({"_ew_blk": F.floor(F.col("_ew_pos") / F.lit(block)),
+                         "_ew_off": (F.col("_ew_pos") % F.lit(block)).cast("double")})
+    inside = series_window([*keys, "_ew_blk"]).rowsBetween(UNB, 0)
+    off = F.col("_ew_off")
     df = df.withColumns({
-        tmp: _decayed_sum(F.transform(lst, lambda x: F.lit(1.0)), r),
-        f"{tmp}x": _decayed_sum(F.col(lst), r),
-    })
-    return df.withColumn(out, F.col(f"{tmp}x") / F.col(tmp)).drop(tmp, f"{tmp}x")
-
-
-def ewma_volatility(df: DataFrame, ret: str, keys: Sequence[str], span: int = 20,
-                    horizon: int = 400, out: str = "ewma_vol") -> DataFrame:
-    """WF-3: exponentially weighted volatility, annualised.
-
-    The infinite exponential sum is truncated to the last ``horizon`` rows;
-    at span 20 the dropped weight is below 1e-17 of the total.
-    """
-    alpha = 2.0 / (span + 1.0)
-    tmp = f"_{out}"
-    df = df.withColumn(f"{tmp}_list", F.collect_list(ret).over(_frame(keys, horizon)))
-    df = ewm_moments(df, f"{tmp}_list", alpha, tmp)
-    df = df.withColumn(out, ewm_std_from_moments(tmp) * F.lit(SQRT_252))
-    return df.drop(f"{tmp}_list", f"{tmp}_sw", f"{tmp}_sw2", f"{tmp}_swx", f"{tmp}_swxx")
+        f"_ew_{n}": F.pow(F.lit(r), off) * F.sum(
+            F.coalesce(x * F.pow(F.lit(r), -off), F.lit(0.0))).over(inside)
+        for n, (x, r) in terms.items()})
+    closed = off == F.lit(float(block - 1))
+    before = w.rowsBetween(UNB, -1)
+    df = df.withColumns({
+        n: F.col(f"_ew_{n}") + F.pow(F.lit(r), off + 1) * F.coalesce(
+            F.last(F.when(closed, F.col(f"_ew_{n}")), ignorenulls=True).over(before), F.lit(0.0))
+        for n, (_, r) in terms.items()})
+    return df.drop("_ew_pos", "_ew_blk", "_ew_off", *[f"_ew_{n}" for n in terms])
+
+
+def ewm_block(span: float) -> int:
+    """Rows of a block for :func:`decayed_sums`: as many as the scale allows."""
+    return max(2, math.ceil(_BLOCK_LOG / -math.log(1.0 - 2.0 / (span + 1.0))))
+
+
+def ewm_mean(df: DataFrame, x: Column | str, keys: Sequence[str], span: float, out: str) -> DataFrame:
+    """Adjusted exponentially weighted mean; weights follow row positions, so a
+    NULL ages the rows before it and takes no weight itself."""
+    x, r = _c(x), 1.0 - 2.0 / (span + 1.0)
+    one = F.when(x.isNotNull(), F.lit(1.0))
+    df = decayed_sums(df, {"_em_w": (one, r), "_em_x": (x, r)}, keys, ewm_block(span))
+    return df.withColumn(out, safe_div(F.col("_em_x"), F.col("_em_w"))).drop("_em_w", "_em_x")
+
+
+def ewm_std(df: DataFrame, x: Column | str, keys: Sequence[str], span: float, out: str) -> DataFrame:
+    """Bias-corrected exponentially weighted standard deviation:
+    var = (sxx/sw - m^2) * sw^2 / (sw^2 - sw2) with m = sx/sw."""
+    x, r = _c(x), 1.0 - 2.0 / (span + 1.0)
+    one = F.when(x.isNotNull(), F.lit(1.0))
+    df = decayed_sums(df, {"_es_w": (one, r), "_es_w2": (one, r * r), "_es_x": (x, r),
+                           "_es_xx": (x * x, r)}, keys, ewm_block(span))
+    sw, mean = F.col("_es_w"), safe_div(F.col("_es_x"), F.col("_es_w"))
+    biased = F.greatest(safe_div(F.col("_es_xx"), sw) - mean * mean, F.lit(0.0))
+    # One value has no spread: its denominator is zero up to rounding.
+    free = sw * sw - F.col("_es_w2")
+    var = F.when(free > sw * sw * F.lit(1e-12), biased * sw * sw / free)
+    return df.withColumn(out, F.sqrt(var)).drop("_es_w", "_es_w2", "_es_x", "_es_xx")
+
+
+def ewma_volatility(df: DataFrame, ret: str, keys: Sequence[str], span: float = 20,
+                    out: str = "ewma_vol") -> DataFrame:
+    """WF-3: exponentially weighted volatility over the whole history, annualised."""
+    df = ewm_std(df, ret, keys, span, f"_{out}")
+    return df.withColumn(out, F.col(f"_{out}") * F.lit(SQRT_252)).drop(f"_{out}")
 
 
 def vol_of_vol(df: DataFrame, ret: str, keys: Sequence[str], window: int = 20,

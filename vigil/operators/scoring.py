@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import clip, flag, full_frame, row_mean, safe_div, series_window
-from vigil.operators.features import ewm_mean_column
+from vigil.operators.features import ewm_mean
 
 # State bounds (score >= bound), component weights, colours and
 # the rule-based transition matrix.
@@ -29,7 +29,6 @@ STATE_COLORS = {
     "Recovery": "#00b8d4",
 }
 DEFAULT_COLOR = "#9e9e9e"
-STATES = ["Stable", "Low Risk", "Stress", "Crisis", "Recovery"]
 TRANSITION_MATRIX = {
     "Stable":   {"Stable": 0.90, "Low Risk": 0.08, "Stress": 0.02, "Crisis": 0.00, "Recovery": 0.00},
     "Low Risk": {"Stable": 0.15, "Low Risk": 0.70, "Stress": 0.13, "Crisis": 0.02, "Recovery": 0.00},
@@ -114,11 +113,10 @@ def component_scores(df: DataFrame, keys: Sequence[str] = ("universe",)) -> Data
     return df.drop(*prepared)
 
 
-def risk_score(df: DataFrame, keys: Sequence[str] = ("universe",), span: int = 3,
-               horizon: int = 64) -> DataFrame:
+def risk_score(df: DataFrame, keys: Sequence[str] = ("universe",), span: float = 3) -> DataFrame:
     """SC-6: weighted composite, smoothed by an adjusted exponential mean of
-    span 3 (truncated at ``horizon`` rows: dropped weight < 2^-64), then
-    ``risk_velocity`` (1-row difference) and ``risk_momentum`` (5 rows)."""
+    ``span`` over the whole history, then ``risk_velocity`` (1-row difference)
+    and ``risk_momentum`` (5 rows)."""
     keys = list(keys)
     w = COMPONENT_WEIGHTS
     composite = (F.lit(w["stability"]) * F.col("stability_score")
@@ -126,9 +124,8 @@ def risk_score(df: DataFrame, keys: Sequence[str] = ("universe",), span: int = 3
                  + F.lit(w["network"]) * F.col("network_score")
                  + F.lit(w["external"]) * F.col("external_score"))
     spec = series_window(keys)
-    df = df.withColumn("_rs_list", F.collect_list(composite).over(
-        spec.rowsBetween(-(horizon - 1), 0)))
-    df = ewm_mean_column(df, "_rs_list", 2.0 / (span + 1.0), "risk_score").drop("_rs_list")
+    df = ewm_mean(df.withColumn("_composite", composite), "_composite", keys, span,
+                  "risk_score").drop("_composite")
     rs = F.col("risk_score")
     return df.withColumns({
         "risk_velocity": rs - F.lag(rs, 1).over(spec),

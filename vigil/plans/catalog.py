@@ -108,6 +108,37 @@ def q_rolling_volatility(spark: SparkSession, sf: str) -> DataFrame:
     return frames.round_doubles(df.select(*K, "date", *FLAGSHIP_COLS, "underwater_dur"))
 
 
+EWMA_SPANS = [3, 20, 120, 400]
+
+
+def _ewma_sql() -> str:
+    """Whole-history weights by pairing every row with all rows up to it."""
+    sums, cols = [], []
+    for n in EWMA_SPANS:
+        r = 1.0 - 2.0 / (n + 1.0)
+        sums.append(f"""sum(pow({r!r}::DOUBLE, t.i - p.i)) AS w{n}, sum(pow({r * r!r}::DOUBLE, t.i - p.i)) AS v{n},
+    sum(pow({r!r}::DOUBLE, t.i - p.i) * p.x) AS x{n}, sum(pow({r!r}::DOUBLE, t.i - p.i) * p.x * p.x) AS y{n}""")
+        var = f"(y{n} / w{n} - (x{n} / w{n}) * (x{n} / w{n})) * w{n} * w{n} / (w{n} * w{n} - v{n})"
+        cols.append(o.rnd(f"CASE WHEN k > 1 THEN sqrt(greatest({var}, 0)) * sqrt(252) END", D, f"ewma_{n}"))
+    return f"""SELECT universe, date, {', '.join(cols)} FROM (
+  SELECT t.universe, t.date, count(p.x) AS k, {', '.join(sums)}
+  FROM num t LEFT JOIN num p ON p.universe = t.universe AND p.i <= t.i AND p.x IS NOT NULL
+  GROUP BY 1, 2)"""
+
+
+@register("ewma_spans", o.with_ctes(
+    o.base_ctes() + o.calendar_ctes()[:1] + [
+        """num AS (SELECT universe, date, bank_ret AS x,
+  row_number() OVER (PARTITION BY universe ORDER BY date) AS i FROM rets)"""], _ewma_sql()))
+def q_ewma_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """WF-3 for short and long spans on series with gaps (sector returns are
+    NULL on days without sector orders)."""
+    df = fe.log_returns(frames.index_panel(spark, sf), "sector", K, "bank_ret")
+    for n in EWMA_SPANS:
+        df = fe.ewma_volatility(df, "bank_ret", K, n, out=f"ewma_{n}")
+    return frames.round_doubles(df.select(*K, "date", *[f"ewma_{n}" for n in EWMA_SPANS]))
+
+
 @register("cross_symbol_corr", o.with_ctes(
     o.base_ctes() + o.calendar_ctes() + o.symbol_ctes() + o.cross_ctes(),
     f"SELECT universe, date, {o.rnd('cross_bank_corr', D, 'cross_bank_corr')} FROM cross_c"))
@@ -297,18 +328,18 @@ def q_estimated_transitions(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("symbol_catalogue", o.with_ctes(
     o.base_ctes() + o.symbol_ctes() + [
-        "cat AS (SELECT * FROM (VALUES ('AFRICA', 'stock'), ('AMERICA', 'stock'), "
-        "('ASIA', 'stock'), ('EUROPE', 'stock'), ('MIDDLE EAST', 'stock'), ('sector', 'index'), "
-        "('market', 'index'), ('fear', 'index'), ('fx', 'index')) t(symbol, role))"],
+        "cat AS (SELECT r_name AS symbol, 'stock' AS role FROM region UNION ALL "
+        "SELECT * FROM (VALUES ('sector', 'index'), ('market', 'index'), ('fear', 'index'), "
+        "('fx', 'index')) t(symbol, role))"],
     f"""SELECT p.universe, p.symbol, c.role, count(*) AS n_days, {o.rnd('avg(p.close)', D, 'avg_close')}
-FROM prices p JOIN cat c ON c.symbol = p.symbol GROUP BY 1, 2, 3"""))
+FROM prices p LEFT JOIN cat c ON c.symbol = p.symbol GROUP BY 1, 2, 3"""))
 def q_symbol_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    """IO-3: prices joined with the symbol catalogue (a fixed, tiny table,
-    broadcast) and summarised per symbol."""
-    cat = F.broadcast(panels.symbol_catalogue(spark))
-    p = panels.prices_panel(spark, sf).join(cat, "symbol")
-    return frames.round_doubles(p.groupBy(*K, "symbol", "role").agg(
-        F.count(F.lit(1)).alias("n_days"), F.avg("close").alias("avg_close")))
+    """IO-3: prices summarised per symbol, with the role of the symbol
+    catalogue (NULL for a symbol it lacks)."""
+    p = panels.prices_panel(spark, sf).groupBy(*K, "symbol").agg(
+        F.count(F.lit(1)).alias("n_days"), F.avg("close").alias("avg_close"))
+    out = p.join(panels.symbol_catalogue(spark, sf), "symbol", "left")
+    return frames.round_doubles(out.select(*K, "symbol", "role", "n_days", "avg_close"))
 
 
 @register("aligned_panel", o.with_ctes(

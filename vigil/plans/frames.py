@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +32,18 @@ def index_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_returns(spark: SparkSession, sf_dir: str, panel: DataFrame | None = None,
                    daily: DataFrame | None = None) -> DataFrame:
     """(universe, symbol, date, ret) on the market calendar, complete-date rule applied."""
-    daily = daily if daily is not None else panels.region_daily(spark, sf_dir)
+    daily = daily if daily is not None else daily_orders(spark, sf_dir)
     panel = panel if panel is not None else panels.index_panel(spark, sf_dir, daily=daily)
     obs = panels.symbol_closes(spark, sf_dir, daily)
     closes = panels.carried_closes(obs, panels.market_calendar(panel, KEYS), KEYS)
-    return panels.symbol_returns(closes, KEYS, observed=obs.select(*KEYS, "symbol", "date"))
+    return panels.symbol_returns(closes, KEYS)
+
+
+def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders reduced to one row per (universe, region, day), written once:
+    panel, closes and calendar read it, so the raw orders are scanned once a job
+    (each consumer prunes other columns, and Spark would scan for each)."""
+    return cut_lineage(panels.region_daily(spark, sf_dir))
 
 
 def features(spark: SparkSession, sf_dir: str, use_volume: bool = False,
@@ -49,12 +56,8 @@ def features(spark: SparkSession, sf_dir: str, use_volume: bool = False,
     re-analysing and re-optimising the whole raw-table lineage after every
     adaptive stage, and a lost executor does not replay the raw scans.
     """
-    daily = panels.region_daily(spark, sf_dir)
+    daily = daily_orders(spark, sf_dir) if with_cross else panels.region_daily(spark, sf_dir)
     panel = panels.index_panel(spark, sf_dir, daily=daily)
     rets = symbol_returns(spark, sf_dir, panel, daily) if with_cross else None
     out = fe.market_features(panel, rets, KEYS, use_volume=use_volume)
     return cut_lineage(out) if materialize else out
-
-
-def col_or_null(df: DataFrame, name: str) -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast("double")

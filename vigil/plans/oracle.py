@@ -171,7 +171,7 @@ def feature_ctes(with_cross: bool = True) -> list[str]:
     {_roll('stddev_samp', 'bank_ret', u, 5)} * {sq} AS vol_5d,
     {_roll('stddev_samp', 'bank_ret', u, 10)} * {sq} AS vol_10d,
     {_roll('stddev_samp', 'bank_ret', u, 20)} * {sq} AS vol_20d,
-    list(bank_ret) OVER {_w(u, -399)} AS ewl,
+    list(bank_ret) OVER {_w(u, 'unb')} AS ewl,
     {_roll('stddev_samp', 'bank_ret', u, 5)} AS sd5,
     (price - max(price) OVER {_w(u, -59)}) / nullif(max(price) OVER {_w(u, -59)}, 0)
       AS max_drawdown,
@@ -296,7 +296,7 @@ def score_ctes() -> list[str]:
   FROM feat)""",
         f"""s2 AS (
   SELECT *, list(0.4 * stability_score + 0.2 * volume_score + 0.2 * network_score
-                 + 0.2 * external_score) OVER {_w(u, -63)} AS rsl
+                 + 0.2 * external_score) OVER {_w(u, 'unb')} AS rsl
   FROM s1)""",
         f"""s3 AS (
   SELECT * EXCLUDE (rsl),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +65,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     re-read frame (reliable checkpoint, never a local one)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def data_dir(default: str = "/root/testdata/sf0.01") -> str:
-    return os.environ.get("VIGIL_DATA_DIR", default)

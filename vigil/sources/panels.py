@@ -158,47 +158,66 @@ def carried_closes(prices: DataFrame, calendar: DataFrame,
     """PF-6 / JN-4: each symbol's close on every calendar day of its universe,
     the last close carried forward (NULL before the first one).
 
-    The dense grid is built by an equi-join of the calendar with the
-    universe's symbol list on the universe key; its size is the panel itself.
+    Calendar days get positions; an observed close covers the positions up to
+    the symbol's next observation (see :func:`on_calendar`), so no join of days
+    with symbols on the universe alone is needed.
     """
-    symbols = prices.select(*keys, "symbol").distinct()
-    grid = calendar.join(symbols, list(keys))
-    g = spread(grid.join(prices.select(*keys, "symbol", "date", "close"),
-                         [*keys, "symbol", "date"], "left"), [*keys, "symbol"])
-    w = series_window([*keys, "symbol"]).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(*keys, "symbol", "date",
-                    F.last("close", ignorenulls=True).over(w).alias("close"))
+    seen = prices.where(F.col("close").isNotNull())
+    dense = on_calendar(seen.select(*keys, "symbol", "date", "close"), calendar, keys)
+    return dense.select(*keys, "symbol", "date", F.when(~F.col("before"), F.col("close")).alias("close"))
 
 
-def symbol_returns(closes: DataFrame, keys: tuple[str, ...] = ("universe",),
-                   observed: DataFrame | None = None) -> DataFrame:
+def on_calendar(observed: DataFrame, calendar: DataFrame, keys: tuple[str, ...] = ("universe",)) -> DataFrame:
+    """Every (symbol, calendar day) with the latest row of ``observed`` (keys,
+    symbol, date, values) on the calendar: adds ``fresh`` (the row is of that
+    day) and ``before`` (no row yet: the values are those of the first one).
+
+    Each observed row is exploded over the positions it covers. The joins are on
+    (universe, date) and (universe, position); the number of days joins as one
+    row per universe. A symbol never seen on a calendar day has no rows.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("date")
+    days = calendar.select(*keys, "date").distinct().withColumn("pos", F.row_number().over(w))
+    last = days.groupBy(*keys).agg(F.max("pos").alias("n_days"))
+    at = spread(observed.join(days, [*keys, "date"]).join(last, keys), [*keys, "symbol"])
+    s = Window.partitionBy(*keys, "symbol").orderBy("pos")
+    until = F.coalesce(F.lead("pos").over(s) - 1, F.col("n_days"))
+    first = F.when(F.lag("pos").over(s).isNull(), F.lit(1)).otherwise(F.col("pos"))
+    spans = at.withColumns({"own": F.col("pos"), "from_": first, "to_": until}).drop("date", "pos", "n_days")
+    out = spans.withColumn("pos", F.explode(F.sequence("from_", "to_")))
+    return out.join(days, [*keys, "pos"]).withColumns({
+        "fresh": F.col("pos") == F.col("own"), "before": F.col("pos") < F.col("own")}).drop(
+        "own", "from_", "to_", "pos")
+
+
+def symbol_returns(closes: DataFrame, keys: tuple[str, ...] = ("universe",)) -> DataFrame:
     """WF-1 per symbol plus the complete-date rule of the wide return frame:
     a date keeps its returns only if every symbol of the universe has one.
 
-    With closes carried forward on the calendar, a symbol has a return on
-    every calendar day after its first observation, so a day is complete
-    exactly when it is later than the universe's last first-observation
-    day. That day comes from a per-symbol minimum (one row per universe)
-    instead of a window over (universe, date), which would shuffle the panel
-    again. ``observed`` is (keys..., symbol, date) of the observations; by
-    default the non-NULL carried closes are used.
+    ``closes`` is dense (every symbol on every calendar day). A zero close
+    gives no return on its day and the next, which then are not complete; the
+    days' counts of missing returns are a grouped sum, combined before its
+    shuffle, and join back on (universe, date).
     """
+    keys = list(keys)
     w = series_window([*keys, "symbol"])
-    r = closes.withColumn("ret", F.ln(safe_div(F.col("close"), F.lag("close").over(w))))
-    obs = observed if observed is not None else closes.where(F.col("close").isNotNull())
-    started = (obs.groupBy(*keys, "symbol").agg(F.min("date").alias("_first"))
-               .groupBy(*keys).agg(F.max("_first").alias("_all_started")))
-    r = r.join(started, list(keys), "left")
-    return r.select(*keys, "symbol", "date",
-                    F.when(F.col("date") > F.col("_all_started"), F.col("ret")).alias("ret"))
-
-
-def symbol_catalogue(spark: SparkSession, symbols: list[tuple[str, str]] | None = None) -> DataFrame:
-    """IO-3: (symbol, role). Default: the five regions as stocks plus the
-    sector and market indices."""
-    # Region names of the TPC-H-like region table, and index roles.
-    rows = symbols or [("AFRICA", "stock"), ("AMERICA", "stock"), ("ASIA", "stock"),
-                       ("EUROPE", "stock"), ("MIDDLE EAST", "stock"),
-                       ("sector", "index"), ("market", "index"), ("fear", "index"),
-                       ("fx", "index")]
-    return spark.createDataFrame(rows, "symbol string, role string")
+    ratio = safe_div(F.col("close"), F.lag("close").over(w))
+    r = closes.withColumn("ret", F.when(ratio > 0, F.ln(ratio)))
+    open_days = r.groupBy(*keys, "date").agg(
+        F.max(F.col("ret").isNull()).alias("_missing"))
+    return r.join(open_days, [*keys, "date"]).select(
+        *keys, "symbol", "date", F.when(~F.col("_missing"), F.col("ret")).alias("ret"))
+
+
+# Names of the index series.
+INDEX_SERIES = ["sector", "market", "fear", "fx"]
+
+
+def symbol_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-3: (symbol, role): the regions of the region table as stocks, and the
+    index series."""
+    stocks = read_table(spark, sf_dir, "region", ["r_name"]).select(
+        F.col("r_name").alias("symbol"), F.lit("stock").alias("role"))
+    indices = spark.createDataFrame([(s, "index") for s in INDEX_SERIES], "symbol string, role string")
+    return stocks.unionByName(indices)
