@@ -12,7 +12,9 @@ numbers returned to the driver, never data rows.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -160,29 +162,51 @@ def top_importances(importances: DataFrame, n: int = 15) -> DataFrame:
     return importances.orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
+def fold_rows(labelled: DataFrame, stride: int, min_train: int,
+              horizon: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``day`` (position of their date among all dates of all series),
+    ``fold`` (NULL before ``min_train`` days) and ``label_end`` (the date up to
+    which the label looks), and the calendar (date, day). Folds are cut by date,
+    so that at a cut no series is ahead of another. The calendar holds one row
+    per date, whatever the number of series."""
+    days = labelled.select("date").distinct().withColumn(
+        "day", F.row_number().over(Window.orderBy("date")) - 1)
+    w = Window.partitionBy("universe").orderBy("date")
+    rows = labelled.withColumn("label_end", F.lead("date", horizon).over(w)).join(days, "date")
+    fold = F.floor((F.col("day") - min_train) / F.lit(stride)).cast("int")
+    return rows.withColumn("fold", F.when(F.col("day") >= min_train, fold)), days
+
+
+def fold_training(rows: DataFrame, start: int, cut, train_window: int) -> DataFrame:
+    """Training rows of the fold that starts at day ``start`` (date ``cut``):
+    the days before it whose labels end before it too."""
+    return rows.where((F.col("day") >= start - train_window) & (F.col("day") < start)
+                      & (F.col("label_end") < F.lit(cut)))
+
+
 def walk_forward(labelled: DataFrame, stride: int = 252, min_train: int = 252,
                  train_window: int = 500, n_trees: int = 50, max_depth: int = 8,
-                 seed: int = 42, model: str = "Walk-forward RF") -> DataFrame:
-    """ML-6 (re-aimed): back-test folds of ``stride`` rows. Fold k predicts
-    rows [k*stride, (k+1)*stride) of every series from a forest fitted on
-    the preceding ``train_window`` rows; folds whose training rows hold no
-    positive are skipped. Fold membership is a column, one fit per fold."""
+                 seed: int = 42, model: str = "Walk-forward RF", horizon: int = 3) -> DataFrame:
+    """ML-6 (re-aimed): back-test folds of ``stride`` days. Fold k predicts its
+    days for every series from a forest fitted on the preceding
+    ``train_window`` days, less the rows whose label looks past the cut; folds
+    whose training rows hold no positive are skipped. One fit per fold."""
     cols = pick_columns(labelled, FOREST_COLUMNS)
-    w = Window.partitionBy("universe").orderBy("date")
-    data = filled(labelled, cols).withColumn("pos", F.row_number().over(w) - 1)
+    data, days = fold_rows(filled(labelled, cols), stride, min_train, horizon)
     data = data.withColumn("y", F.col("y").cast("double"))
-    max_pos = data.agg(F.max("pos")).first()[0] or 0
+    cuts = days.where((F.col("day") >= min_train) & ((F.col("day") - min_train) % stride == 0))
     outs = []
     asm = VectorAssembler(inputCols=cols, outputCol="features")
-    for start in range(min_train, max_pos + 1, stride):
-        train = data.where((F.col("pos") >= start - train_window) & (F.col("pos") < start))
+    for row in cuts.orderBy("day").collect():
+        start = row["day"]
+        train = fold_training(data, start, row["date"], train_window)
         if train.where(F.col("y") == 1).limit(1).count() == 0:
             continue
         train = train.withColumn("w", balanced_weight(train))
         rf = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="w",
                                     numTrees=n_trees, maxDepth=max_depth, seed=seed)
         fitted = Pipeline(stages=[asm, rf]).fit(train)
-        fold = data.where((F.col("pos") >= start) & (F.col("pos") < start + stride))
+        fold = data.where((F.col("day") >= start) & (F.col("day") < start + stride))
         scored = fitted.transform(fold)
         outs.append(_emit(scored, model, F.col("prediction"),
                           vector_to_array("probability")[1]))
@@ -297,7 +321,16 @@ def _forward_backward(x: np.ndarray, means, covs, weights, trans, start):
     return post, path
 
 
-def fit_mixture(df: DataFrame, cols: Sequence[str], k: int, max_iter: int = 100,
+class MixtureFit(NamedTuple):
+    weights: np.ndarray
+    means: list
+    covariances: list
+    log_likelihood: float
+    converged: bool
+    iterations: int
+
+
+def fit_mixture(df: DataFrame, cols: Sequence[str], k: int, max_iter: int = 200,
                 tol: float = 1e-7, reg: float = 1e-3):
     """Gaussian mixture (full covariance) by EM, one DataFrame aggregate per
     iteration: responsibilities are column expressions of the current
@@ -306,7 +339,8 @@ def fit_mixture(df: DataFrame, cols: Sequence[str], k: int, max_iter: int = 100,
     points between the minimum and maximum of the first input, the others at
     their mean, with the global covariance; ``reg`` is added to every
     covariance diagonal (a floor, so a component on identical points keeps
-    a proper density). Returns (weights, means, covariances, log-likelihood).
+    a proper density). Returns a :class:`MixtureFit`, which tells whether the
+    likelihood settled within ``max_iter`` steps.
     """
     d = len(cols)
     x = [F.col(c) for c in cols]
@@ -325,7 +359,7 @@ def fit_mixture(df: DataFrame, cols: Sequence[str], k: int, max_iter: int = 100,
     weights = np.full(k, 1.0 / k)
     prev = None
     ll = float("nan")
-    for _ in range(max_iter):
+    for n_steps in range(1, max_iter + 1):
         logp = []
         for j in range(k):
             inv = np.linalg.inv(covs[j])
@@ -363,9 +397,9 @@ def fit_mixture(df: DataFrame, cols: Sequence[str], k: int, max_iter: int = 100,
             means[j] = m
             covs[j] = q - np.outer(m, m) + reg * np.eye(d)
         if prev is not None and abs(ll - prev) <= tol * max(1.0, abs(prev)):
-            break
+            return MixtureFit(weights, means, covs, ll, True, n_steps)
         prev = ll
-    return weights, means, covs, ll
+    return MixtureFit(weights, means, covs, ll, False, max_iter)
 
 
 def mixture_component(cols: Sequence[str], weights, means, covs) -> Column:
@@ -415,7 +449,10 @@ def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float |
     params = fit_scaler(data, cols)
     data = apply_scaler(filled(data, cols), params)
     fit_rows = data if fit_on == "all" else data.where(F.col("part") == "train")
-    weights, means, covs, _ = fit_mixture(fit_rows, cols, n_states)
+    fit = fit_mixture(fit_rows, cols, n_states)
+    if not fit.converged:
+        warnings.warn(f"mixture not settled after {fit.iterations} steps", RuntimeWarning, stacklevel=2)
+    weights, means, covs = fit.weights, fit.means, fit.covariances
     comp = data.withColumn("comp", mixture_component(cols, weights, means, covs))
     w = Window.partitionBy("universe").orderBy("date")
     pairs = (comp.select(F.lag("comp").over(w).alias("a"), F.col("comp").alias("b"))

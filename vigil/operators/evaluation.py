@@ -183,16 +183,7 @@ def detection_delay(preds: DataFrame, episodes: DataFrame, before: int = 10,
     ``next_alert`` (first alert at or after each row) is a reverse running
     minimum, so each episode needs one equi-join row per model.
     """
-    w = _w(MK).rowsBetween(0, Window.unboundedFollowing)
-    p = preds.select(*MK, "pos",
-                     F.min(F.when(F.col("pred") == 1, F.col("pos"))).over(w).alias("next_alert"),
-                     F.count(F.lit(1)).over(Window.partitionBy(*MK)).alias("n_rows"))
-    ep = episodes.select("universe", "ep_id", "start_pos", "end_pos",
-                         F.greatest(F.col("start_pos") - before, F.lit(0)).alias("pos"))
-    j = ep.join(p, ["universe", "pos"])
-    win_end = F.least(F.col("n_rows"), F.col("end_pos") + after)
-    delay = F.when(F.col("next_alert") < win_end, F.col("next_alert") - F.col("start_pos"))
-    per_ep = j.select(*MK, "ep_id", "start_pos", "end_pos", delay.alias("delay"))
+    per_ep = episode_delays(preds, episodes, before, after)
     summary = per_ep.groupBy(*MK).agg(
         F.count(F.lit(1)).alias("n_episodes"),
         F.count("delay").alias("detected"),

@@ -105,7 +105,9 @@ def parse_reasons(text: Column) -> Column:
 
 def document(timeline_df: DataFrame, snap: DataFrame, stocks: DataFrame, models: DataFrame,
              keys: Sequence[str] = ("universe",)) -> DataFrame:
-    """EX-8 / EX-9: one nested document per universe."""
+    """EX-8 / EX-9: one nested document per universe; stocks by falling score
+    (then name), models by their columns in order. A document holds every
+    symbol of its universe, so it grows with them."""
     keys = list(keys)
     tl = timeline_df.groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct("date", "label", "score", "state"))).alias("_tl"))
@@ -113,11 +115,12 @@ def document(timeline_df: DataFrame, snap: DataFrame, stocks: DataFrame, models:
         F.transform("_tl", lambda r: r["score"]).alias("scores"),
         F.transform("_tl", lambda r: r["state"]).alias("states"),
         F.transform("_tl", lambda r: r["label"]).alias("dates")).alias("timeline"))
-    st = stocks.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in stocks.columns
-                                                             if c not in keys])).alias("STOCKS"))
-    md = models.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in models.columns
-                                                             if c not in keys]))
-                                   .alias("MODEL_RESULTS"))
+    own = [c for c in stocks.columns if c not in keys]
+    best = F.struct((-F.col("score")).alias("_order"), F.col("name").alias("_name"), F.struct(*own).alias("v"))
+    st = stocks.groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(best)), lambda r: r["v"]).alias("STOCKS"))
+    md = models.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        *[c for c in models.columns if c not in keys]))).alias("MODEL_RESULTS"))
     s = snap.select(
         *keys, F.col("latest_score").alias("latestScore"),
         F.col("latest_state").alias("latestState"), F.col("prev_score").alias("prevScore"),

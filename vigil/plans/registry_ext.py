@@ -9,7 +9,7 @@ from vigil.operators import evaluation as ev
 from vigil.operators import scoring as scr
 from vigil.plans import frames
 from vigil.plans import oracle as o
-from vigil.plans.catalog import K, register, states_frame
+from vigil.plans.catalog import K, REGISTRY, register, states_frame
 from vigil.plans.params import EVAL_THRESHOLD, HORIZON, SPLIT_DATE, STATIC_MODEL
 
 T = EVAL_THRESHOLD
@@ -498,9 +498,22 @@ def q_forest_importances(spark: SparkSession, sf: str) -> DataFrame:
     return frames.round_doubles(det.top_importances(imp, 15))
 
 
+@register("walk_forward_folds", o.with_ctes(
+    o.label_ctes(threshold=T, horizon=HORIZON) + [
+        """cal_n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k
+  FROM (SELECT DISTINCT date FROM labelled))"""],
+    """SELECT l.universe, l.date, CAST((k - 252) // 252 AS INTEGER) AS fold,
+  lead(l.date, 3) OVER (PARTITION BY l.universe ORDER BY l.date) AS label_end
+FROM labelled l JOIN cal_n c ON c.date = l.date QUALIFY k >= 252"""))
+def q_walk_forward_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-6: which fold tests each row, and up to which day its label looks."""
+    rows, _ = det.fold_rows(labelled_frame(spark, sf), 252, 252, HORIZON)
+    return rows.where(F.col("fold").isNotNull()).select(*K, "date", "fold", "label_end")
+
+
 @register("walk_forward_predictions", None)
 def q_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-6: yearly back-test folds, each refitted on the previous 500 rows."""
+    """ML-6: yearly back-test folds, each refitted on the previous 500 days."""
     return _preds(det.walk_forward(detector_input(spark, sf)))
 
 
@@ -684,14 +697,14 @@ def q_stock_csv(spark: SparkSession, sf: str) -> DataFrame:
                        exp.parse_reasons(F.col("reasons")).alias("reasons"))
 
 
-@register("features_parquet_roundtrip", None)
+@register("features_parquet_roundtrip", REGISTRY["market_features"][1])
 def q_features_parquet(spark: SparkSession, sf: str) -> DataFrame:
     """IO-4 / IO-5: the feature matrix written as Parquet partitioned by
-    universe, read back with a pushed-down date range (IO-1 style)."""
+    universe and read back."""
     path = files.output_dir(spark, "features_parquet")
-    files.write_table(frames.features(spark, sf), path, "parquet", partition_by=["universe"])
-    back = spark.read.parquet(path)
-    return back.where(F.col("date") >= F.to_date(F.lit("1996-01-01")))
+    made = REGISTRY["market_features"][0](spark, sf)
+    files.write_table(made, path, "parquet", partition_by=["universe"])
+    return spark.read.parquet(path).select(*made.columns)
 
 
 @register("prices_file_source", None)
