@@ -53,38 +53,46 @@ def test_ewma_matches_pandas(spark):
     _close([None if math.isnan(v) else v for v in exp], _col(out, "ewma_vol"), 1e-8)
 
 
+def test_ewma_ages_over_gaps_and_long_spans(spark):
+    """Calm after an early storm, with missing rows: no row is forgotten. The
+    expectation sums the weights of all earlier rows directly."""
+    rng = np.random.default_rng(9)
+    vals = list(rng.normal(0, 0.05, 40)) + list(rng.normal(0, 0.001, 700))
+    vals[5] = vals[300] = vals[301] = None
+    for span in (3, 400):
+        got = _col(fe.ewma_volatility(_frame(spark, vals), "x", K, span), "ewma_vol")
+        r = 1 - 2 / (span + 1)
+        for t in (1, 6, 39, 300, 500, 739):
+            x = np.array([v for v in vals[:t + 1] if v is not None])
+            w = np.array([r ** (t - i) for i in range(t + 1) if vals[i] is not None])
+            mean = (w * x).sum() / w.sum()
+            var = (w * (x - mean) ** 2).sum() / w.sum() / (1 - (w * w).sum() / w.sum() ** 2)
+            assert got[t] == pytest.approx(math.sqrt(var * 252), rel=1e-7), (span, t)
+        assert got[0] is None
+
+
 def test_drawdown_and_streak(spark):
     prices = [10, 11, 10, 9, 12, 12, 11, 10, 13]
     out = fe.drawdown(_frame(spark, prices, col="p"), "p", K, window=3)
-    s = _pd(prices)
-    m = s.rolling(3, min_periods=1).max()
-    dd = ((s - m) / m).tolist()
-    under = [1 if d < 0 else 0 for d in dd]
-    streak, run = [], 0
-    for u in under:
-        run = run + 1 if u else 0
-        streak.append(run)
-    _close(dd, _col(out, "max_drawdown"))
-    assert _col(out, "underwater_dur") == streak
-    peak = s.cummax()
-    _close(((s - peak) / peak).tolist(), _col(out, "current_drawdown"))
+    worked = [0, 0, -1 / 11, -2 / 11, 0, 0, -1 / 12, -2 / 12, 0]
+    _close(worked, _col(out, "max_drawdown"))
+    _close(worked, _col(out, "current_drawdown"))
+    assert _col(out, "underwater_dur") == [0, 0, 1, 2, 0, 0, 1, 2, 0]
+    # A peak that has left the window still counts for the running gap only.
+    out = fe.drawdown(_frame(spark, [20, 10, 11, 12], col="p"), "p", K, window=2)
+    _close([0, -0.5, 0, 0], _col(out, "max_drawdown"))
+    _close([0, -0.5, -0.45, -0.4], _col(out, "current_drawdown"))
 
 
 def test_rsi_roc_ma(spark):
-    rng = np.random.default_rng(3)
-    prices = list(100 + np.cumsum(rng.normal(0, 1, 70)))
+    """Two up, one down in turn: 100, 102, 101, 103, 102, ... (50 rows)."""
+    prices = [100 + i / 2 + (1.5 if i % 2 else 0) for i in range(50)]
     df = _frame(spark, prices, col="p")
-    out = fe.moving_avg_spread(fe.rate_of_change(fe.rsi(df, "p", K), "p", K), "p", K)
-    s = _pd(prices)
-    d = s.diff()
-    gain = d.clip(lower=0).rolling(14).mean()
-    loss = (-d.clip(upper=0)).rolling(14).mean()
-    rsi = (100 - 100 / (1 + gain / (loss + 1e-9))).tolist()
-    _close([None if math.isnan(v) else v for v in rsi], _col(out, "rsi"), 1e-8)
-    roc = ((s / s.shift(5)) - 1).tolist()
-    _close([None if math.isnan(v) else v for v in roc], _col(out, "roc_5d"))
-    ma = ((s.rolling(10).mean() - s.rolling(50).mean()) / (s.rolling(50).mean() + 1e-9)).tolist()
-    _close([None if math.isnan(v) else v for v in ma], _col(out, "ma_spread"), 1e-8)
+    out = fe.moving_avg_spread(fe.rate_of_change(fe.rsi(df, "p", K), "p", K), "p", K).cache()
+    rsi, roc, ma = (_col(out, c) for c in ("rsi", "roc_5d", "ma_spread"))
+    assert rsi[13] is None and rsi[14] == pytest.approx(200 / 3, abs=1e-6)  # 14 of gain, 7 of loss
+    assert roc[4] is None and roc[5] == pytest.approx(0.04) and roc[6] == pytest.approx(1 / 102)
+    assert ma[48] is None and ma[49] == pytest.approx(10 / 113, abs=1e-9)  # means 123 and 113
 
 
 def test_cvar_and_moments(spark):

@@ -29,11 +29,24 @@ def test_date_filter_is_pushed_into_the_scan(spark, tmp_path):
     assert "PushedFilters" in plan and "date" in plan.split("PushedFilters")[1][:300]
 
 
-@pytest.mark.parametrize("name", ["market_features", "cross_symbol_corr", "stock_analysis",
-                                  "detection_delay"])
-def test_no_cartesian_or_nested_loop_join(spark, name):
-    import __spark_entry__ as entry
-    df = entry.queries()[name](spark, SF)
+def test_orders_and_line_items_are_scanned_once(spark, monkeypatch):
+    """The whole feature plan, but for its last write, from the raw tables."""
+    from vigil.plans import frames
+    scanned = []
+    plain = frames.cut_lineage
+    monkeypatch.setattr(frames, "cut_lineage", lambda df: (scanned.append(_plan(df)), plain(df))[1])
+    scanned.append(_plan(frames.features(spark, SF, materialize=False)))
+    whole = "\n".join(scanned)
+    assert whole.count("o_orderdate") and sum("orders.parquet" in ln and "Location" in ln
+                                              for ln in whole.splitlines()) == 1
+    assert sum("lineitem.parquet" in ln and "Location" in ln for ln in whole.splitlines()) == 1
+
+
+@pytest.mark.parametrize("build", ["features", "symbol_returns"])
+def test_no_cartesian_or_nested_loop_join(spark, build):
+    from vigil.plans import frames
+    how = {"materialize": False} if build == "features" else {}
+    df = getattr(frames, build)(spark, SF, **how)
     plan = df._jdf.queryExecution().optimizedPlan().toString() + _plan(df)
-    assert "CartesianProduct" not in plan
+    assert "Window" in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan

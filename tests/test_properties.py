@@ -1,12 +1,12 @@
-"""Hypothesis properties: islands-based operators equal their sequential loops."""
+"""Hypothesis properties: islands-based operators equal pattern and look-back forms."""
 
 import datetime as dt
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tests.test_evaluation import loop_episodes
-from tests.test_scoring import loop_states
+from tests.test_evaluation import episode_spans
+from tests.test_scoring import states
 from vigil.operators import evaluation as ev
 from vigil.operators import scoring as scr
 
@@ -20,7 +20,7 @@ CFG = settings(max_examples=15, deadline=None,
 
 @CFG
 @given(series=st.lists(SCORES, min_size=1, max_size=3))
-def test_states_equal_loop(spark, series):
+def test_states_equal_look_back(spark, series):
     rows = [(f"U{u}", dt.date(2020, 1, 1) + dt.timedelta(days=i), v)
             for u, vals in enumerate(series) for i, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "universe string, date date, risk_score double")
@@ -28,17 +28,17 @@ def test_states_equal_loop(spark, series):
     for r in scr.classify_state(df, ["universe"]).orderBy("universe", "date").collect():
         got.setdefault(r["universe"], []).append(r["market_state"])
     for u, vals in enumerate(series):
-        assert got[f"U{u}"] == loop_states(vals)
+        assert got[f"U{u}"] == states(vals)
 
 
 @CFG
 @given(y=LABELS)
-def test_episodes_equal_loop(spark, y):
+def test_episodes_equal_pattern(spark, y):
     df = spark.createDataFrame([("U", i, v) for i, v in enumerate(y)],
                                "universe string, pos int, y int")
     got = [(r["start_pos"], r["end_pos"]) for r in
            ev.crisis_episodes(df, ["universe"]).orderBy("start_pos").collect()]
-    assert got == loop_episodes(y)
+    assert got == episode_spans(y)
 
 
 @CFG

@@ -1,4 +1,4 @@
-"""States, labels and scaling against plain loops (reference semantics)."""
+"""States against a look back per row; labels and scaling by hand."""
 
 import datetime as dt
 import random
@@ -8,29 +8,26 @@ from vigil.operators import scoring as scr
 K = ["universe"]
 
 
-def loop_states(scores, window_recovery=5):
-    out, prev_crisis, count = [], False, 0
-    for i, s in enumerate(scores):
-        if i > 0 and s is not None and scores[i - 1] is not None:
-            vel = s - scores[i - 1]
-        else:
-            vel = 0 if i == 0 else float("nan")
-        if s is not None and s >= 80:
-            st, prev_crisis, count = "Stable", False, 0
-        elif s is not None and s >= 65:
-            st, prev_crisis, count = "Low Risk", False, 0
-        elif s is not None and s >= 40:
-            st = "Stress"
-            if prev_crisis and vel > 0:
-                count += 1
-                if count >= window_recovery:
-                    st = "Recovery"
-            else:
-                count, prev_crisis = 0, False
-        else:
-            st, prev_crisis, count = "Crisis", True, 0
-        out.append(st)
-    return out
+def state_at(v, i):
+    """State of row i by a look back: length of the unbroken rise inside the
+    stress band that ends here, and the row before that rise."""
+    bands = [(80, "Stable"), (65, "Low Risk")]
+    if v[i] is None or v[i] < 40:
+        return "Crisis"
+    for low, name in bands:
+        if v[i] >= low:
+            return name
+
+    def rises(j):
+        return j > 0 and None not in (v[j], v[j - 1]) and 40 <= v[j] < 65 and v[j] > v[j - 1]
+
+    n = next(k for k in range(i + 2) if not rises(i - k))
+    before = v[i - n]
+    return "Recovery" if n >= 5 and before is not None and before < 40 else "Stress"
+
+
+def states(v):
+    return [state_at(v, i) for i in range(len(v))]
 
 
 def _scores_df(spark, series):
@@ -41,7 +38,7 @@ def _scores_df(spark, series):
     return spark.createDataFrame(rows, "universe string, date date, risk_score double")
 
 
-def test_states_match_loop_with_nulls(spark):
+def test_states_match_look_back_with_nulls(spark):
     rnd = random.Random(7)
     series = {}
     for u in range(12):
@@ -55,14 +52,14 @@ def test_states_match_loop_with_nulls(spark):
     for r in out.orderBy("universe", "date").collect():
         got.setdefault(r["universe"], []).append(r["market_state"])
     for u, vals in series.items():
-        assert got[u] == loop_states(vals), u
+        assert got[u] == states(vals), u
 
 
 def test_recovery_on_fifth_rising_row_then_cancelled(spark):
     vals = [35.0, 41.0, 42.0, 43.0, 44.0, 45.0, 44.0]
     out = scr.classify_state(_scores_df(spark, {"U": vals}), K)
-    states = [r["market_state"] for r in out.orderBy("date").collect()]
-    assert states == ["Crisis", "Stress", "Stress", "Stress", "Stress", "Recovery", "Stress"]
+    got = [r["market_state"] for r in out.orderBy("date").collect()]
+    assert got == ["Crisis", "Stress", "Stress", "Stress", "Stress", "Recovery", "Stress"]
 
 
 def test_crisis_label_drops_tail(spark):
