@@ -210,12 +210,12 @@ SCORE_COLS = ["stability_score", "volume_score", "network_score", "external_scor
               "risk_score", "risk_velocity", "risk_momentum"]
 
 
-def scores_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return scr.compute_scores(frames.features(spark, sf), K)
+def scores_frame(spark: SparkSession, sf: str, use_volume: bool = False) -> DataFrame:
+    return scr.compute_scores(frames.features(spark, sf, use_volume=use_volume), K)
 
 
-def states_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return scr.classify_state(scores_frame(spark, sf), K)
+def states_frame(spark: SparkSession, sf: str, use_volume: bool = False) -> DataFrame:
+    return scr.classify_state(scores_frame(spark, sf, use_volume), K)
 
 
 @register("risk_scores", o.with_ctes(
@@ -225,6 +225,22 @@ def q_risk_scores(spark: SparkSession, sf: str) -> DataFrame:
     return frames.round_doubles(scores_frame(spark, sf).select(*K, "date", *SCORE_COLS))
 
 
+@register("risk_scores_with_volume", o.with_ctes(
+    o.score_ctes(use_volume=True), f"SELECT universe, date, {_round_sql(SCORE_COLS)} FROM scores"))
+def q_risk_scores_volume(spark: SparkSession, sf: str) -> DataFrame:
+    """SC-3 with WF-8: the volume component from volume stress, not its neutral value."""
+    return frames.round_doubles(scores_frame(spark, sf, use_volume=True).select(*K, "date", *SCORE_COLS))
+
+
+@register("market_states_with_volume", o.with_ctes(
+    o.state_ctes(use_volume=True),
+    f"SELECT universe, date, {o.rnd('risk_score', D, 'risk_score')}, market_state FROM states"))
+def q_market_states_volume(spark: SparkSession, sf: str) -> DataFrame:
+    """SC-7 on the scores with volume."""
+    return frames.round_doubles(states_frame(spark, sf, use_volume=True).select(
+        *K, "date", "risk_score", "market_state"))
+
+
 @register("market_states", o.with_ctes(
     o.state_ctes(), f"""SELECT universe, date, {o.rnd('risk_score', D, 'risk_score')},
   market_state, {o.state_sql('round(risk_score, 1)')} AS simple_state,
@@ -262,8 +278,17 @@ def _latest_sql() -> str:
 
 
 def _transition_values_sql() -> str:
-    rows = ", ".join(f"('{a}', '{b}', {_p!r})" for a, row in scr.TRANSITION_MATRIX.items()
-                     for b, _p in row.items())
+    """Fixed values, written out apart from the Spark module: probability of the
+    next state, columns Stable, Low Risk, Stress, Crisis, Recovery."""
+    names = ["Stable", "Low Risk", "Stress", "Crisis", "Recovery"]
+    table = """
+        0.90 0.08 0.02 0.00 0.00
+        0.15 0.70 0.13 0.02 0.00
+        0.05 0.15 0.55 0.20 0.05
+        0.00 0.05 0.30 0.45 0.20
+        0.10 0.35 0.35 0.05 0.15"""
+    rows = ", ".join(f"('{a}', '{b}', CAST({p} AS DOUBLE))"
+                     for a, line in zip(names, table.split("\n")[1:]) for b, p in zip(names, line.split()))
     return f"tm AS (SELECT * FROM (VALUES {rows}) t(from_state, to_state, prob))"
 
 

@@ -150,7 +150,7 @@ FEATURES = [
 ]
 
 
-def feature_ctes(with_cross: bool = True) -> list[str]:
+def feature_ctes(with_cross: bool = True, use_volume: bool = False) -> list[str]:
     """CTEs ending in ``feat`` (cleaned feature matrix per universe, date)."""
     u = "universe"
     uw = f"(PARTITION BY {u} ORDER BY date)"
@@ -186,6 +186,8 @@ def feature_ctes(with_cross: bool = True) -> list[str]:
     price / nullif(lag(price, 5) OVER {uw}, 0) - 1 AS roc_5d,
     {_roll('avg', 'price', u, 10)} AS ma10,
     {_roll('avg', 'price', u, 50)} AS ma50,
+    {_gate(f"(volume - avg(volume) OVER {w20}) / (stddev_samp(volume) OVER {w20} + 1e-9)", 'volume', u, 20)}
+      AS vol_zscore,
     vix AS vix_level, vix - lag(vix) OVER {uw} AS vix_change,
     {_gate(f"(vix - avg(vix) OVER {w20}) / (stddev_samp(vix) OVER {w20} + 1e-9)", 'vix', u, 20)}
       AS vix_zscore,
@@ -218,6 +220,7 @@ def feature_ctes(with_cross: bool = True) -> list[str]:
       AS loss,
     (ma10 - ma50) / (ma50 + 1e-9) AS ma_spread,
     CASE WHEN vix_zscore > 1.5 THEN 1 ELSE 0 END AS vix_spike,
+    CASE WHEN vol_zscore > 2.0 THEN 1 ELSE 0 END AS vol_spike,
     (len(cvl) - 1) * {_dbl(0.05)} AS qpos,
     list_avg(skl) AS skm
   FROM f1)""")
@@ -248,13 +251,14 @@ def feature_ctes(with_cross: bool = True) -> list[str]:
     ctes.append(f"""f5 AS (
   SELECT *, sqrt(ew_vb * ew_sw * ew_sw / nullif(ew_sw * ew_sw - ew_sw2, 0)) * {sq} AS ewma_vol
   FROM f4)""")
+    names = FEATURES + (["vol_zscore", "vol_spike"] if use_volume else [])
     fill = ",\n    ".join(
-        f"last_value({c} IGNORE NULLS) OVER {_w(u, -5)} AS {c}" for c in FEATURES)
+        f"last_value({c} IGNORE NULLS) OVER {_w(u, -5)} AS {c}" for c in names)
     ctes.append(f"""f6 AS (
   SELECT universe, date, bank_ret, mkt_ret,
     {fill}
   FROM f5)""")
-    notnull = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in names)
     ctes.append(f"""feat AS (SELECT * FROM f6 WHERE {notnull})""")
     return ctes
 
@@ -276,7 +280,7 @@ def _scaled(x: str, part: str = "universe") -> str:
             f"ELSE (1 - (({x}) - {lo}) / ({hi} - {lo})) * 100 END")
 
 
-def score_ctes() -> list[str]:
+def score_ctes(use_volume: bool = False) -> list[str]:
     """CTEs ending in ``scores`` (features + component and risk scores)."""
     u = "universe"
     uw = f"(PARTITION BY {u} ORDER BY date)"
@@ -285,12 +289,15 @@ def score_ctes() -> list[str]:
     net = [_scaled(x) for x in ("abs(bank_market_corr)", "abs(cross_bank_corr)", "corr_trend")]
     ext = [_scaled("vix_level"), _scaled("vix_zscore"), "100 - vix_spike * CAST(30.0 AS DOUBLE)",
            _scaled("fx_zscore")]
+    vol = [_scaled("abs(vol_zscore)"), "100 - vol_spike * CAST(30.0 AS DOUBLE)"]
+    volume = (f"least(greatest(({' + '.join(vol)}) / 2.0, 0), 100)" if use_volume
+              else "CAST(50.0 AS DOUBLE)")
     half = _dbl(0.5)
-    return feature_ctes() + [
+    return feature_ctes(use_volume=use_volume) + [
         f"""s1 AS (
   SELECT *,
     ({' + '.join(stab)}) / {len(stab)}.0 AS stability_score,
-    CAST(50.0 AS DOUBLE) AS volume_score,
+    {volume} AS volume_score,
     ({' + '.join(net)}) / {len(net)}.0 AS network_score,
     least(greatest(({' + '.join(ext)}) / {len(ext)}.0, 0), 100) AS external_score
   FROM feat)""",
@@ -316,10 +323,10 @@ def state_sql(score: str = "risk_score") -> str:
             f"WHEN {score} >= 40 THEN 'Stress' ELSE 'Crisis' END")
 
 
-def state_ctes(window_recovery: int = 5) -> list[str]:
+def state_ctes(window_recovery: int = 5, use_volume: bool = False) -> list[str]:
     """CTEs ending in ``states``: scores + market_state (with Recovery)."""
     uw = "(PARTITION BY universe ORDER BY date)"
-    return score_ctes() + [
+    return score_ctes(use_volume) + [
         f"""st1 AS (
   SELECT *, coalesce(risk_score >= 40 AND risk_score < 65
                      AND risk_score > lag(risk_score) OVER {uw}, false) AS rising
