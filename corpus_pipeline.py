@@ -11,26 +11,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm import exact_dedup, mixing, near_dedup, pieces, quality_rules
-from vigil.llm.common import materialise, read
+from vigil.llm.common import materialise, read, release, scratch
 
+#: Scratch tables of the stage before; its output is written once the next begins.
+_BEFORE: list[str] = []
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def _stage(work):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _BEFORE)
+        with scratch() as made:
+            out = work(docs)
+        _BEFORE.extend(made)
+        return out
+
+    run_stage.__doc__ = work.__doc__
+    return run_stage
+
+
+@_stage
+def quality(docs: DataFrame) -> DataFrame:
+    """Documents that pass the quality rules."""
     return quality_rules.keep_good(docs)
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def exact(docs: DataFrame) -> DataFrame:
+    """One document of each group of copies."""
     return exact_dedup.drop_copies(docs)
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def near(docs: DataFrame) -> DataFrame:
+    """One document of each component of near-copies."""
     return near_dedup.drop_near(docs, width=5, percent=80)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def mix(docs: DataFrame) -> DataFrame:
+    """A sample with the target mixture."""
     return mixing.keep_mixture(docs)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+@_stage
+def encode(docs: DataFrame) -> DataFrame:
+    """All documents with their pieces."""
     return pieces.encode_texts(docs)
 
 

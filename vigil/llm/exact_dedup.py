@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, materialise
+from .common import SPACE, free_name, materialise, release, scratch, without
 
 #: Digests that one bucket's filter holds on average, and least buckets.
 BUCKET_KEYS = 50_000
@@ -185,10 +185,26 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     snapshot from incoming ones (default: by a hash of the id)."""
     carry = docs.columns if carry is None else carry
     names = {c: f"c{i}_" for i, c in enumerate(carry)}
+    rows = _digests(docs, id_col, text_col, in_snapshot, names)
+    groups = _copied(rows)
+    out = rows.join(groups, "x_digest", "left")
+    taken = list(carry)
+    keep, size, kept, sha = (free_name(taken, c) for c in (
+        "keep_id", "group_size", "kept", "text_sha256"))
+    return out.select(
+        *[F.col(a).alias(c) for c, a in names.items()],
+        F.when(F.col("x_n").isNull(), F.col("x_id")).otherwise(-F.col("x_best.x_neg")).alias(keep),
+        F.coalesce("x_n", F.lit(1).cast("long")).alias(size),
+        F.coalesce(F.col("x_row") == -F.col("x_best.x_first"), F.lit(True)).alias(kept),
+        F.lower(F.hex("x_digest")).alias(sha))
+
+
+def _digests(docs: DataFrame, id_col: str, text_col: str, in_snapshot: Column | None,
+             names: dict[str, str]) -> DataFrame:
     split = F.pmod(F.xxhash64(id_col), F.lit(2)) == 0 if in_snapshot is None else in_snapshot
     own = docs.select(*[F.col(c).alias(a) for c, a in names.items()], F.col(id_col).alias("x_id"),
                       split.alias("x_old"), F.coalesce(F.col(text_col), F.lit("")).alias("x_text"))
-    rows = materialise(
+    return materialise(
         own.withColumn("x_body", normalised(F.col("x_text"))).select(
             *names.values(), "x_id", "x_old",
             F.unhex(F.sha2(F.encode("x_body", "UTF-8"), 256)).alias("x_digest"),
@@ -196,25 +212,27 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.xxhash64("x_body").alias("x_second"),
             F.length("x_text").cast("long").alias("x_points"),
             F.monotonically_increasing_id().alias("x_row")), "digests")
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    """(x_digest, x_n, x_best) of groups with more than one row."""
     found = rows.select("x_id", "x_old", "x_digest", "x_bytes", "x_second", "x_points", "x_row")
-    groups = exact_groups(found, F.col("x_old")).where(F.col("x_n") > 1)
-    out = rows.join(groups, "x_digest", "left")
-    taken = list(carry)
-    keep, size, kept, sha = (free_name(taken, c) for c in (
-        "keep_id", "group_size", "kept", "text_sha256"))
-    return out.select(
-        *[F.col(a).alias(c) for c, a in names.items()],
-        F.when(F.col("x_n").isNull(), F.col("x_id")).otherwise(-F.col("x_best.x_neg")).alias(keep),
-        F.coalesce("x_n", F.lit(1).cast("long")).alias(size),
-        F.coalesce(F.col("x_row") == -F.col("x_best.x_first"), F.lit(True)).alias(kept),
-        F.lower(F.hex("x_digest")).alias(sha))
+    with scratch() as made:
+        groups = exact_groups(found, F.col("x_old")).where(F.col("x_n") > 1)
+        spark = rows.sparkSession
+    groups = materialise(groups, "groups")
+    release(spark, made)
+    return groups
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of ``docs``."""
-    out = mark_copies(docs, id_col, text_col)
-    kept = out.columns[len(docs.columns) + 2]
-    return out.where(F.col(kept)).select(*docs.columns)
+    """The rows that stay, with the columns of ``docs``. Texts are not shuffled
+    but for very many copies: the rows that go are found first."""
+    names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
+    rows = _digests(docs, id_col, text_col, None, names)
+    gone = materialise(rows.select("x_digest", "x_row").join(_copied(rows), "x_digest").where(
+        F.col("x_row") != -F.col("x_best.x_first")).select("x_row"), "gone")
+    return without(rows, gone, "x_row").select(*[F.col(a).alias(c) for c, a in names.items()])
 
 
 def records(filters: DataFrame) -> Iterator[FuseFilter]:
