@@ -241,11 +241,19 @@ def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_size(keys: DataFrame, rows: DataFrame, on: str, how: str) -> DataFrame:
-    """``rows`` joined to ``keys``, broadcast only behind a count of them."""
+    """``rows`` filtered by ``keys`` (only column ``on``), broadcast only behind a
+    count of them, at 8 bytes each."""
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(keys) if few else keys.hint("merge"), on, how)
 
 
+def _with_spans(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """``texts`` (row, text) joined with ``places`` (row and a list): texts
+    without places leave before the shuffle."""
+    touched = _by_size(places.select("row"), texts, "row", "left_semi")
+    return touched.join(places.hint("merge"), "row")
+
+
 def segments(texts: DataFrame, window: int) -> DataFrame:
     """(row, start, windows, anchor, string) of texts (row, text binary)."""
 
@@ -272,7 +280,7 @@ def string_bytes(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """(anchor, string, body) of strings ``wanted`` (row, start, windows, anchor,
     string), cut from the texts that hold them."""
     places = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "string")).alias("at"))
-    held = _by_size(materialise(places, "places"), texts, "row", "inner")
+    held = _with_spans(texts, materialise(places, "places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,7 +409,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
                 [pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 5, kinds)],
                 names=["row", "gone", "parts", "kept", "rest"])
 
-    changed = _by_size(cover, rows.select("row", "text"), "row", "inner").select("row", "text", "cover").mapInArrow(
+    changed = _with_spans(rows.select("row", "text"), cover).select("row", "text", "cover").mapInArrow(
         run, "row long, gone long, parts long, kept string, rest binary")
     changed = materialise(changed, "changed")
     slim = rows if keep_text else rows.drop("text")
