@@ -39,6 +39,15 @@ def rows_of_documents() -> list[tuple]:
     return rows
 
 
+@pytest.fixture(scope="session", autouse=True)
+def few_partitions(spark):
+    """The fixtures are small: two shuffle partitions while these tests run."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def documents(spark):
     return spark.createDataFrame(rows_of_documents(), SCHEMA).repartition(3).cache()

@@ -86,6 +86,23 @@ def test_near_links_of_small_sets_are_never_missed(spark):
     assert got == brute.components(texts, 2, 80)
 
 
+def test_near_nodes_meet_big_components_in_blocks(spark, monkeypatch):
+    """Many variants of one text, some linked to the typical one, some only to
+    others, some to none."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = {}
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 5, 8, 11, 13])):
+            w[rng.randrange(len(w))] = rng.choice(["x", "y", "z", f"q{rng.randrange(30)}"])
+        texts[i] = " ".join(w)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.mark_near(docs).collect()}
+    assert got == brute.components(texts, 2, 80)
+
+
 def test_near_edges(documents, none):
     out = near_dedup.mark_near(documents.withColumn("kept", F.lit(1)).withColumn("x_set", F.lit(2))).cache()
     assert out.count() == documents.count() and "kept_" in out.columns
