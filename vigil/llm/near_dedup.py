@@ -9,18 +9,18 @@ and filters, and the exact Jaccard similarity of the full sets decides.
 
 Which values are indexed. Two sets at the threshold agree in at least ``need``
 of the bottom k of their union, so each node indexes only its rarest
-k - need + 1 values in an order common to all nodes; any linked pair then
-meets in at least one list. For sets up to k the bound is exact; for larger
-ones the agreement is a hypergeometric count around k * threshold, and ``need``
-lies so far below (28 of 64 at 0.8) that a link at the threshold is missed with
-a chance of about 1e-11. The order is by a table of ``2**ORDER_BITS`` counters
-of values: a fixed size at any corpus, and any order is a valid one.
+k - need + 1 values in an order common to all nodes (by the number of nodes that
+retain them); any linked pair then meets in at least one list. For sets up to k
+the bound is exact; for larger ones the agreement is a hypergeometric count
+around k * threshold, and ``need`` lies so far below (28 of 64 at 0.8) that a link
+at the threshold is missed with a chance of about 1e-11.
 
 Lists of any length. Nothing is paired within a list at first: every node is
-compared with the least node of each of its lists. The links found join nodes
-into components, and only nodes of different components that share a list are
-then paired (with sizes compatible with the threshold), which is what is needed
-to find every component; a list held by one component makes no pair.
+compared with the most typical node of each of its lists. The links found join
+nodes into components, and only nodes of different components that share a list
+are compared further: with each other if both components are small (and sizes
+compatible), and in blocks with the members of a big component, where a node's
+first link is all that is needed. A list held by one component makes no pair.
 
 Defined cases: null text and text without words have an empty set, no link and
 their own component; a null id never is the component's id unless all are null;
@@ -33,17 +33,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, free_name, materialise
+from .common import (BROADCAST_ROWS, free_name, materialise, release, scratch, small_batches,
+                     without)
 from .graph import components
 
 K = 64
 NEED = 28
-ORDER_BITS = 20
+#: Members from which a component counts as big, and nodes of a block.
+BIG = 8
+BLOCK = 256
 #: Sketches whose estimate falls this far below the threshold are dropped:
 #: five standard errors at k = 64 and 0.8.
 MARGIN = 0.25
@@ -140,40 +144,22 @@ def prefix_length(n: int, k: int, need: int, threshold: float) -> int:
 
 
 def indexed_values(nodes: DataFrame, k: int, need: int, threshold: float) -> DataFrame:
-    """(value, node, size) of every node's rarest retained values."""
-    slots = 1 << ORDER_BITS
-    counted = nodes.select(F.explode("x_sketch").alias("v")).groupBy(
-        F.col("v").bitwiseAND(slots - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    # Fixed size: at most 2**ORDER_BITS counters leave the executors.
-    at = counted.where("n > 1").toArrow()
-    table = np.ones(slots, np.int64)
-    table[at["slot"].to_numpy()] = at["n"].to_numpy()
-    del at
-    shared = nodes.sparkSession.sparkContext.broadcast(table)
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
-        for batch in batches:
-            nodes_, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            lists = batch.column(2)
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            ends = ends - ends[0]
-            value, owner = [], []
-            for i, n in enumerate(sizes):
-                v = flat[ends[i]:ends[i + 1]]
-                most = prefix_length(int(n), k, need, threshold)
-                v = v[np.lexsort((v, order[v & (slots - 1)]))[:most]]
-                value.append(v)
-                owner.append(np.full(len(v), i))
-            if not value:
-                continue
-            i = np.concatenate(owner).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(value)), pa.array(nodes_[i]), pa.array(sizes[i])],
-                names=["value", "node", "size"])
-
-    return nodes.select("node", "x_size", "x_sketch").mapInArrow(
-        rarest, "value long, node long, size long")
+    """(value, node, size, score) of every node's rarest retained values that
+    another node retains too. Rarity is a value's exact number of nodes; score
+    sums these, so it is highest for the most typical node of a group."""
+    each = nodes.select("node", "x_size", F.explode("x_sketch").alias("value"))
+    counts = each.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # At most k values a node.
+    held = each.join(counts, "value").groupBy("node", "x_size").agg(
+        F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"), F.sum("n").alias("score"))
+    most = F.when(F.col("x_size") > k, F.lit(k - need + 1)).otherwise(F.get(
+        F.array(*[F.lit(prefix_length(n, k, need, threshold)) for n in range(k + 1)]),
+        F.col("x_size").cast("int")))
+    alone = F.least(F.col("x_size"), F.lit(k)) - F.size("v")  # rarest of all, and of no use
+    left = F.greatest(most - alone, F.lit(0)).cast("int")
+    return held.where(left > 0).select(
+        F.explode(F.slice("v", F.lit(1), left)).alias("v"), "node", F.col("x_size").alias("size"),
+        "score").select("v.value", "node", "size", "score")
 
 
 def _compatible(a: Column, b: Column, percent: int) -> Column:
@@ -224,25 +210,42 @@ def link_classes(rows: DataFrame, width: int = 2, percent: int = 80, k: int = K,
     """(x_set, root): component of every set that is linked to another one.
     ``rows``: x_row, x_text (binary), x_size, x_set, x_sketch."""
     threshold = percent / 100
-    first = rows.where("x_size > 0").groupBy("x_set").agg(F.min("x_row").alias("node"))
-    keyed = rows.select("x_row", "x_set", "x_size", "x_sketch")
-    nodes = materialise(keyed.join(first.select(F.col("node").alias("x_row")), "x_row", "left_semi")
-                        .withColumnRenamed("x_row", "node"), "nodes")
+    # Of equal sets the first row is the node; the others are set aside.
+    named = rows.where("x_size > 0").select("x_row", "x_set")
+    same = named.groupBy("x_set").agg(F.min("x_row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    extra = materialise(named.join(same, "x_set").where("x_row <> first").select("x_row"), "extra")
+    nodes = without(rows.where("x_size > 0").select("x_row", "x_set", "x_size", "x_sketch"), extra,
+                    "x_row").withColumnRenamed("x_row", "node")
     full = rows.select(F.col("x_row").alias("node"), "x_text")
     values = indexed_values(nodes, k, need, threshold)
-    # A value of one node alone links nothing.
     lists = materialise(values, "values")
-    heads = lists.groupBy("value").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(lists.join(heads.select("value", "head"), "value"), "lists")
-    star = met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    # The most typical node of a list, for the first comparisons.
+    heads = lists.groupBy("value").agg(F.max(F.struct(
+        "score", (-F.col("node")).alias("neg"), "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(lists.join(heads.select(
+        "value", (-F.col("head.neg")).alias("head"), F.col("head.size").alias("head_size")), "value"), "lists")
+    star = materialise(met.where(
+        (F.col("node") != F.col("head")) & _compatible(F.col("size"), F.col("head_size"), percent)).select(
+            F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "star")
     links = confirm(star, nodes, full, width, k, percent)
     roots = components(links)
-    # What still lies in different components of one list, sizes compatible.
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    roots = materialise(roots.join(sizes, "root"), "roots")
+    # What still lies in different components of one list.
     at = met.join(roots, "node", "left").select(
-        "value", "node", "size", F.coalesce("root", "node").alias("root"))
+        "value", "node", "size", F.coalesce("root", "node").alias("root"),
+        (F.coalesce("members", F.lit(1)) > BIG).alias("big"))
     mixed = at.groupBy("value").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
     rest = materialise(at.join(mixed.select("value"), "value"), "mixed")
-    step = float(np.log(1 / threshold))
+    links = links.unionByName(_small_pairs(rest.where("NOT big"), star, nodes, full, width, k, percent))
+    links = links.unionByName(_against_big(rest, roots, full, width, percent))
+    return nodes.select("node", "x_set").join(components(links), "node").select("x_set", "root")
+
+
+def _small_pairs(rest: DataFrame, done: DataFrame, nodes: DataFrame, full: DataFrame, width: int,
+                 k: int, percent: int) -> DataFrame:
+    """Links between nodes of different small components that share a list."""
+    step = float(np.log(100 / percent))
     rest = rest.withColumn("cls", F.floor(F.log("size") / step).cast("long"))
     left = rest.select("value", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"),
                        F.col("node").alias("a"), F.col("size").alias("n_1"), F.col("root").alias("r_1"))
@@ -253,14 +256,60 @@ def link_classes(rows: DataFrame, width: int = 2, percent: int = 80, k: int = K,
         (F.col("r_1") != F.col("r_2"))
         & ((F.col("n_1") < F.col("n_2")) | ((F.col("n_1") == F.col("n_2")) & (F.col("a") < F.col("b"))))
         & (100 * F.col("n_1") >= percent * F.col("n_2")))
-    # Pairs with a list's head were compared before.
-    again = cross.select("a", "b").distinct().join(
-        star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b"))),
-        ["a", "b"], "left_anti")
-    more = confirm(again, nodes, full, width, k, percent)
-    all_roots = roots if more.isEmpty() else components(
-        links.unionByName(more))
-    return nodes.select("node", "x_set").join(all_roots, "node").select("x_set", "root")
+    pairs = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return confirm(pairs.join(done, ["a", "b"], "left_anti"), nodes, full, width, k, percent)
+
+
+def _against_big(rest: DataFrame, roots: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of nodes with big components they share a list with. One link joins
+    a node to a component, so blocks of nodes meet blocks of members, and each
+    gives at most one link a node: no pair is written but links."""
+    big = rest.where("big").select("value", F.col("root").alias("to")).distinct()
+    asks = materialise(rest.join(big, "value").where(
+        (F.col("root") != F.col("to")) & (~F.col("big") | (F.col("root") > F.col("to")))).select(
+            "node", "to").distinct(), "asks")
+    if asks.isEmpty():
+        return asks.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    meant = asks.groupBy("to").agg(F.count(F.lit(1)).alias("n_asks"))
+    members = roots.join(meant, roots["root"] == meant["to"]).select(
+        "to", F.col("node").alias("node"), "members", "n_asks")
+    wanted = asks.select(F.col("node").alias("a"), F.col("node").alias("b")).unionByName(
+        members.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    whole = full_sets(wanted, full, width)
+
+    def blocks(n: str):
+        return F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+
+    def own(n: str):
+        return F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    shape = members.select("to", "members", "n_asks").distinct()
+    left = asks.join(shape, "to").withColumn("i", own("n_asks")).withColumn("j", every("members")).join(whole, "node")
+    right = members.withColumn("j", own("members")).withColumn("i", every("n_asks")).join(whole, "node")
+
+    def meet(u: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(u) and len(m):
+            sizes = np.array([len(x) for x in m["set"]])
+            codes, place = np.unique(np.concatenate(m["set"].to_list()), return_inverse=True)
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            for node, s in zip(u["node"], u["set"]):
+                at = np.searchsorted(codes, s)
+                at = at[at < len(codes)]
+                has = np.zeros(len(codes), bool)
+                has[at[np.isin(codes[at], s)]] = True
+                both = np.add.reduceat(has[place].astype(np.int64), starts)
+                good = 100 * both >= percent * (sizes + len(s) - both)
+                if good.any():
+                    found.append((int(m["node"].iloc[int(np.argmax(good))]), int(node)))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    # Aliased, as both sides hold columns of the same tables.
+    left, right = (x.select(*[F.col(c).alias(f"{c}_{side}") for c in ("to", "i", "j", "node", "set")]).toDF(
+        "to", "i", "j", "node", "set") for x, side in ((left, "l"), (right, "r")))
+    return materialise(left.groupBy("to", "i", "j").cogroup(
+        right.groupBy("to", "i", "j")).applyInPandas(meet, "a long, b long"), "met")
 
 
 def mark_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2,
@@ -268,16 +317,41 @@ def mark_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
               need: int = NEED) -> DataFrame:
     """``carry`` columns (all by default) with n_shingles, component_id, kept
     and ``first_row`` (exactly one row of each component)."""
+    small_batches(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     names = {c: f"c{i}_" for i, c in enumerate(carry)}
+    rows = _rows(docs, id_col, text_col, width, k, names)
+    keyed, least = _classes(rows, width, percent, k, need, list(names.values()))
+    out = keyed.join(least.where("x_n > 1"), "x_class", "left")
+    taken = list(carry)
+    id_ = F.when(F.col("x_n").isNull(), F.col("x_id")).otherwise(F.col("x_least"))
+    return out.select(
+        *[F.col(a).alias(c) for c, a in names.items()],
+        F.col("x_size").alias(free_name(taken, "n_shingles")), id_.alias(free_name(taken, "component_id")),
+        F.col("x_id").eqNullSafe(id_).alias(free_name(taken, "kept")),
+        F.coalesce(F.col("x_first.x_row") == F.col("x_row"), F.lit(True)).alias(free_name(taken, "first_row")))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, k: int,
+          names: dict[str, str]) -> DataFrame:
+    """Rows with their text, set size, set digest and sketch, written once."""
     own = docs.select(*[F.col(c).alias(a) for c, a in names.items()], F.col(id_col).alias("x_id"),
                       F.col(text_col).cast("binary").alias("x_copy"),
                       F.monotonically_increasing_id().alias("x_row"))
-    rows = materialise(with_sets(own.withColumn("x_text", F.col("x_copy")), width, k)
+    return materialise(with_sets(own.withColumn("x_text", F.col("x_copy")), width, k)
                        .withColumnRenamed("x_copy", "x_text"), "rows")
-    linked = link_classes(rows, width, percent, k, need)
+
+
+def _classes(rows: DataFrame, width: int, percent: int, k: int, need: int,
+             carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with their class (component, or set) and, per class, its size and
+    its least id and row."""
+    with scratch() as made:
+        linked = link_classes(rows, width, percent, k, need)
+    linked = materialise(linked, "linked")
+    release(rows.sparkSession, made)
     # A class: the component's root, or the set itself if it has no link.
-    keyed = rows.drop("x_text", "x_sketch").join(linked, "x_set", "left").withColumn(
+    keyed = rows.select(*carried, "x_id", "x_row", "x_size", "x_set").join(linked, "x_set", "left").withColumn(
         "x_class", F.when(F.col("x_size") == 0, F.concat(F.lit("r"), F.col("x_row")))
         .when(F.col("root").isNotNull(), F.concat(F.lit("n"), F.col("root")))
         .otherwise(F.concat(F.lit("s"), F.hex("x_set"))))
@@ -285,21 +359,20 @@ def mark_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     least = keyed.groupBy("x_class").agg(
         F.count(F.lit(1)).alias("x_n"), F.min("x_id").alias("x_least"),
         F.min(F.struct(F.col("x_id").isNull().alias("z"), "x_id", "x_row")).alias("x_first"))
-    out = keyed.join(least.where("x_n > 1"), "x_class", "left")
-    taken = list(carry)
-    id_ = F.when(F.col("x_n").isNull(), F.col("x_id")).otherwise(F.col("x_least"))
-    return out.select(
-        *[F.col(a).alias(c) for c, a in names.items()],
-        F.col("x_size").alias(free_name(taken, "n_shingles")), id_.alias(free_name(taken, "component_id")),
-        F.col("x_id").eqNullSafe(id_).alias(free_name(taken, "kept")),
-        F.coalesce(F.col("x_first.x_row") == F.col("x_row"), F.lit(True)).alias(free_name(taken, "first_row")))
+    return keyed, least
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
               percent: int = 80) -> DataFrame:
     """One row of each component, with the columns of ``docs``."""
-    out = mark_near(docs, id_col, text_col, width, percent)
-    return out.where(F.col(out.columns[-1])).select(*docs.columns)
+    small_batches(docs.sparkSession)
+    names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
+    rows = _rows(docs, id_col, text_col, width, K, names)
+    keyed, least = _classes(rows, width, percent, K, NEED, [])
+    gone = materialise(keyed.join(least.where("x_n > 1"), "x_class").where(
+        F.col("x_first.x_row") != F.col("x_row")).select("x_row"), "gone")
+    return without(rows.select(*names.values(), "x_row"), gone, "x_row").select(
+        *[F.col(a).alias(c) for c, a in names.items()])
 
 
 ORACLE = """
