@@ -35,6 +35,22 @@ def test_outliers_of_a_group_are_rejected_and_clean_rows_stay(spark):
     assert {r["doc_id"] for r in out.where("not kept").collect()} == {i for i in range(0, 300, 10)}
 
 
+def test_outliers_of_small_groups_are_rejected(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join("abcdefgh"[:rng.randint(2, 8)] + str(rng.randrange(10 ** 5)) for _ in range(rng.randint(60, 400)))
+    junk = lambda: re.sub(" ", lambda m: rng.choice([" ", "#*$ ", "%% &&& "]), text())
+    rows = [(text(), "en", "big") for _ in range(120)]
+    rows += [(text() if i else junk(), "en", "five") for i in range(5)] + [(text(), "en", f"one{i}") for i in range(4)]
+    rows += [(junk(), "en", "lonely"), (junk(), "fr", None), (text(), "fr", "s"), (junk(), None, "s"), (text(), None, "t")]
+    rows += [(text() if i > 1 else junk(), "de", "nine") for i in range(9)]
+    # Three junk rows of a language in 29 and in 31 rows: no size turns the method off.
+    rows += [(text() if i > 2 else junk(), f"l{n}", "s") for n in (29, 31) for i in range(n)]
+    bad = {i for i, r in enumerate(rows) if "#*$" in r[0]}
+    out = quality_rules.judge(spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string"), carry=["doc_id"])
+    assert len(bad) == 12 and {r["doc_id"] for r in out.where("not kept").collect()} == bad
+
+
 def test_quality_edges(documents, none):
     out = quality_rules.judge(documents.withColumn("n_words", F.lit("x")))
     assert out.count() == documents.count() and "n_words_" in out.columns

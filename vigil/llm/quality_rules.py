@@ -9,15 +9,21 @@ and the moments inside it. Groups are only ever aggregated, so a source with a
 third of all rows costs no more than its partial sums, and what the steps join
 back is one row per group.
 
+Languages and the whole table are fitted in the same steps, as groups of their
+own. A group's moments are then drawn towards its language's, and those towards
+the table's, with the weight n^2 / (n^2 + half_rows^2) on the own side: a source
+of few rows is judged by its language, a large one by itself, without a size at
+which the method goes on or off.
+
 A document is rejected when its squared Mahalanobis distance from its group's
 estimate exceeds the cut of a chi-squared with as many degrees, and at least
 one of its rates is worse than the group's centre by more than its spread.
 
 Defined cases: null or blank text has no words, zero statistics and
-base_failed; null language or source form groups of their own; a group with
-fewer rows than ``least_rows`` gives no verdict (its rows keep the base rule's
-result), as its estimate would be arbitrary; repeated rows get equal verdicts;
-an empty table gives an empty result; further columns are carried along, and
+base_failed; null language or source form groups of their own; every document
+that passes the base rule is judged, whatever its group's size; a group none of
+whose rows lies in its mid half starts from all its rows; repeated rows get
+equal verdicts; an empty table gives an empty result; further columns are carried along, and
 result columns whose names clash get underscores.
 """
 
@@ -44,7 +50,8 @@ VECTOR = list(FLOOR)
 #: Sign of a worse value; 0: either direction.
 WORSE = {"v1": 0, "v2": 1, "v3": 1, "v4": 1}
 STEPS = 4
-LEAST_ROWS = 30
+#: Rows at which a group's own estimate has half the weight.
+HALF_ROWS = 30
 #: Histogram bins a unit of ln(distance).
 FINE = 32
 #: E[d^2 | d^2 < q]/4 for 4 degrees of freedom at the 0.75 quantile, inverted:
@@ -138,44 +145,91 @@ def _distance() -> Column:
     return total
 
 
-def _with_model(rows: DataFrame, model: DataFrame) -> DataFrame:
-    m = small_or_plain(model.withColumnsRenamed({"g_lang": "h_lang", "g_source": "h_source"}))
-    return rows.join(m, F.col("g_lang").eqNullSafe(F.col("h_lang"))
-                     & F.col("g_source").eqNullSafe(F.col("h_source")), "left")
+def _same(a: str, b: str, names: list[str]) -> Column:
+    """Null-safe equality of the columns ``a`` + name and ``b`` + name."""
+    out = F.lit(True)
+    for x in names:
+        out = out & F.col(a + x).eqNullSafe(F.col(b + x))
+    return out
+
+
+def _renamed(df: DataFrame, prefix: str, names: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({f"g_{x}": prefix + x for x in names})
+
+
+def _with_model(rows: DataFrame, model: DataFrame, names: list[str]) -> DataFrame:
+    m = small_or_plain(_renamed(model, "h_", names))
+    return rows.join(m, _same("g_", "h_", names), "left")
+
+
+#: Levels of groups: 0 language and source, 1 language, 2 the whole table.
+LEVELS = ["level", "lang", "source"]
+
+
+def _levels(rows: DataFrame) -> DataFrame:
+    """Every row once a level, with the keys of its group there."""
+    none = F.lit(None).cast("string")
+    lang, source = F.col("g_lang"), F.col("g_source")
+    keys = [F.struct(F.lit(n).alias("level"), a.alias("lang"), b.alias("source"))
+            for n, (a, b) in enumerate([(lang, source), (lang, none), (none, none)])]
+    return rows.select(F.explode(F.array(*keys)).alias("k"), *VECTOR).select(
+        *[F.col(f"k.{x}").alias(f"g_{x}") for x in LEVELS], *VECTOR)
+
+
+def _drawn(model: DataFrame, half_rows: float) -> DataFrame:
+    """Moments of the groups of level 0, drawn towards those of their language,
+    which are drawn towards the table's."""
+    moments = [c for c in model.columns if c[:2] in ("m_", "c_") and c != "m_n"]
+    weight = F.pow("g_n", F.lit(2.0)) / (F.pow("g_n", F.lit(2.0)) + float(half_rows) ** 2)
+    blend = {c: weight * F.col(c) + (1 - weight) * F.col(f"up_{c}") for c in moments}
+
+    def level(n: int) -> DataFrame:
+        return model.where(F.col("g_level") == n)
+
+    def above(df: DataFrame, *keys: str) -> DataFrame:
+        return df.select(*[F.col(f"g_{k}").alias(f"up_{k}") for k in keys],
+                         *[F.col(c).alias(f"up_{c}") for c in moments])
+
+    langs = level(1).crossJoin(F.broadcast(above(level(2)))).withColumns(blend)
+    langs = small_or_plain(above(langs, "lang").checkpoint(eager=True))
+    return level(0).join(langs, _same("g_", "up_", ["lang"])).withColumns(blend).select(
+        "g_lang", "g_source", "g_n", *moments)
 
 
-def fit_groups(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimate of every group of ``rows``
-    (g_lang, g_source, v1..v4): the start is the group's mid half of each
-    rate, then ``steps`` concentration steps."""
-    by = ["g_lang", "g_source"]
+def fit_groups(rows: DataFrame, steps: int = STEPS, half_rows: float = HALF_ROWS) -> DataFrame:
+    """Estimate of every group of ``rows`` (g_lang, g_source, v1..v4): minimum
+    covariance determinant by group, language and table, where the start is the
+    mid half of each rate, then ``steps`` concentration steps; the groups' drawn
+    towards the wider ones' by size."""
+    by = [f"g_{x}" for x in LEVELS]
     checkpoint_dir(rows.sparkSession)
+    rows = _levels(rows)
     middle = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("g_n"),
         *[F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000)).alias(f"q_{v}")
-          for v in VECTOR]).withColumnsRenamed({"g_lang": "k_lang", "g_source": "k_source"})
-    middle = small_or_plain(middle.checkpoint(eager=True))
-    same = (F.col("g_lang").eqNullSafe(F.col("k_lang"))
-            & F.col("g_source").eqNullSafe(F.col("k_source")))
+          for v in VECTOR])
+    middle = small_or_plain(_renamed(middle, "k_", LEVELS).checkpoint(eager=True))
     # Start: rows within the quartiles of at least three of the four rates.
     near = sum((F.col(v).between(F.col(f"q_{v}")[0], F.col(f"q_{v}")[1])).cast("int")
                for v in VECTOR) >= 3
-    model = _spread(rows.join(middle, same).groupBy(*by).agg(*_moments(by, near)), 2.0)
-    for _ in range(steps):
+    every = _moments(by, F.lit(True))
+    first = rows.join(middle, _same("g_", "k_", LEVELS)).groupBy(*by).agg(
+        *_moments(by, near), F.struct(*every).alias("every"))
+    first = first.withColumns({c: F.when(F.col("m_n") > 0, F.col(c)).otherwise(F.col(f"every.{c}"))
+                               for c in first.columns if c[:2] in ("m_", "c_")}).drop("every")
+    model = _spread(first, 2.0)
+    for n in range(steps):
         model = model.checkpoint(eager=True)
-        placed = _with_model(rows, model).select(
+        placed = _with_model(rows, model, LEVELS).select(
             *by, *VECTOR, F.floor(F.log(_distance() + 1e-6) * FINE).cast("long").alias("bin"))
         counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
         radius = _radius(counts, by).checkpoint(eager=True)
-        inside = placed.join(
-            small_or_plain(radius), F.col("g_lang").eqNullSafe(F.col("r_lang"))
-            & F.col("g_source").eqNullSafe(F.col("r_source"))).where("bin <= r_bin")
-        model = _spread(inside.groupBy(*by).agg(*_moments(by, F.lit(True))), CONSISTENT)
-    sizes = rows.groupBy(F.col("g_lang").alias("n_lang"), F.col("g_source").alias("n_source")).agg(
-        F.count(F.lit(1)).alias("g_n"))
-    return model.join(sizes, F.col("g_lang").eqNullSafe(F.col("n_lang"))
-                      & F.col("g_source").eqNullSafe(F.col("n_source"))).drop(
-        "n_lang", "n_source").checkpoint(eager=True)
+        inside = placed.join(small_or_plain(radius), _same("g_", "r_", LEVELS)).where("bin <= r_bin")
+        found = inside.groupBy(*by).agg(*every)
+        model = found if n == steps - 1 else _spread(found, CONSISTENT)
+    sizes = middle.select(*[f"k_{x}" for x in LEVELS], "g_n")
+    model = model.join(sizes, _same("g_", "k_", LEVELS)).checkpoint(eager=True)
+    return _spread(_drawn(model, half_rows), CONSISTENT).checkpoint(eager=True)
 
 
 def _radius(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -188,31 +242,30 @@ def _radius(counts: DataFrame, by: list[str]) -> DataFrame:
         lambda a, x: F.struct(
             (a["seen"] + x["n"]).alias("seen"),
             F.when(a["seen"] < F.ceil(F.col("all") * INSIDE), x["bin"]).otherwise(a["bin"]).alias("bin")))
-    return g.select(F.col("g_lang").alias("r_lang"), F.col("g_source").alias("r_source"),
-                    found["bin"].alias("r_bin"))
+    return g.select(*[F.col(f"g_{x}").alias(f"r_{x}") for x in LEVELS], found["bin"].alias("r_bin"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
           source_col: str = "source", carry: list[str] | None = None,
-          cut: float = CUT, least_rows: int = LEAST_ROWS) -> DataFrame:
+          cut: float = CUT, half_rows: float = HALF_ROWS) -> DataFrame:
     """``carry`` columns (all by default) with the base statistics,
     base_failed, kept and the squared distance."""
     carry = docs.columns if carry is None else carry
     names = {c: f"c{i}_" for i, c in enumerate(carry)}
     own = docs.select(*[F.col(c).alias(a) for c, a in names.items()],
-                      F.col(text_col).alias("s_text"), F.col(lang_col).alias("g_lang"),
-                      F.col(source_col).alias("g_source"))
+                      F.col(text_col).alias("s_text"), F.col(lang_col).cast("string").alias("g_lang"),
+                      F.col(source_col).cast("string").alias("g_source"))
     stats = text_statistics(own, "s_text").drop("s_text").withColumns(vector())
     rows = materialise(stats, "statistics")
-    model = fit_groups(rows.where(~base_failed()).select("g_lang", "g_source", *VECTOR))
+    model = fit_groups(rows.where(~base_failed()).select("g_lang", "g_source", *VECTOR), half_rows=half_rows)
     worse = F.lit(False)
     for v, sign in WORSE.items():
         off = F.col(v) - F.col(f"m_{v}")
         worse = worse | ((F.abs(off) if not sign else off * sign) > 3 * F.col(f"l_{v}{v}"))
     far = _distance()
-    out = _with_model(rows, model)
+    out = _with_model(rows, model, ["lang", "source"])
     verdict = ~base_failed() & ~F.coalesce(
-        (F.col("g_n") >= least_rows) & (far > cut) & worse, F.lit(False))
+        (far > cut) & worse, F.lit(False))
     taken = list(carry)
     found = {**{b: F.col(f"s_{b}") for b in BASE}, "base_failed": base_failed(),
              "kept": verdict, "distance": far}
