@@ -51,6 +51,31 @@ def test_outliers_of_small_groups_are_rejected(spark):
     assert len(bad) == 12 and {r["doc_id"] for r in out.where("not kept").collect()} == bad
 
 
+def test_heavy_line_and_word_repeaters_are_rejected(spark):
+    rng = random.Random(22)
+    prose = lambda n: " ".join("abcdefgh"[:rng.randint(2, 8)] + str(rng.randrange(10 ** 5)) for _ in range(n))
+    lines = lambda n: "\n".join(prose(rng.randint(8, 14)) for _ in range(n))
+    texts = [lines(rng.randint(6, 30)) for _ in range(100)]
+    # Two lines of one word behind each other line: no window of three words twice.
+    heavy_lines = ["\n".join(f"{prose(4)}\nalpha\nbeta" for _ in range(n)) for n in (15, 40)]
+    heavy_words = []
+    for n in (48, 240):
+        part = prose(n // 4)
+        heavy_words.append(f"{prose(n // 4)} {part} {prose(n // 4)} {part} {prose(3)}")
+    said_again = []
+    for n in (30, 60):
+        first = prose(n)
+        said_again.append(f"{first}\n{prose(2 * n)}\n{first}\n{prose(2 * n)}")
+    bad = heavy_lines + heavy_words
+    assert not any(brute.base_failed(t) for t in bad + said_again)
+    assert all(brute.statistics(t)[3] > 0.6 * t.count("\n") and brute.statistics(t)[4] == 0 for t in heavy_lines)
+    assert all(brute.statistics(t)[3] == 0 for t in heavy_words)
+    rows = [(i, t, "en", "s") for i, t in enumerate(bad + said_again + texts)]
+    out = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"),
+                              carry=["doc_id"])
+    assert {r["doc_id"] for r in out.where("not kept").collect()} == set(range(len(bad)))
+
+
 def test_quality_edges(documents, none):
     out = quality_rules.judge(documents.withColumn("n_words", F.lit("x")))
     assert out.count() == documents.count() and "n_words_" in out.columns
