@@ -101,6 +101,25 @@ def test_mixing_reaches_margins_and_matches_brute_force(clean, clean_rows):
     assert expected == pytest.approx(mixing.BUDGET * sum(g["n_tokens"] for g in got.values()), rel=1e-6)
 
 
+@pytest.mark.parametrize("cells", [
+    [("a", "x", "t", 10), ("b", "y", "t", 20)],
+    [(f"s{i}", "en", "t", 30) for i in range(9)] + [("s9", "fr", "t", 30)],
+    [(f"s{i}", lang, "t", 20 + i) for i in range(9) for lang in ("en", "de")] + [("own", "fr", "u", 25)],
+])
+def test_mixing_of_margins_that_contradict_each_other(spark, cells):
+    rows = [(i, " ".join(["w"] * n), s, lang, t) for i, (s, lang, t, n) in enumerate(cells)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, t string")
+    gaps: dict = {}
+    with pytest.warns(UserWarning, match="margins not all met"):
+        got = {r["doc_id"]: r for r in mixing.sample(docs, topic=F.col("t"), gaps=gaps).collect()}
+    want = brute.probabilities({c[:3]: c[3] for c in cells}, mixing.TEMPER, mixing.DIMS, mixing.BUDGET)
+    for i, c in enumerate(cells):
+        assert got[i]["probability"] == pytest.approx(want[c[:3]], abs=1e-6)
+    assert set(gaps) == set(mixing.DIMS) and max(gaps.values()) > 0.01 and gaps["topic"] < 1e-9
+    assert sum(r["probability"] * r["n_tokens"] for r in got.values()) == pytest.approx(
+        mixing.BUDGET * sum(c[3] for c in cells))
+
+
 def test_mixing_edges(documents, none):
     out = mixing.sample(documents.withColumn("topic", F.lit(1)))
     assert out.count() == documents.count() and "topic_" in out.columns

@@ -12,6 +12,14 @@ Only the cell table (one row per cell, made by partial sums) is iterated, as
 grouped sums and joins; nothing about single documents is gathered, and no
 group of documents ever meets in a task, however large a source is.
 
+Targets that no weights can meet together (a source in one language whose
+target is not the language's) are an ordinary case: tempering by different
+powers makes them. Rounds then end once a full round leaves every factor as it
+was, and the last raked weights are used: topics hold, the other margins are as
+near as the rounds bring them. Whatever ends the rounds (``MOST_ROUNDS`` too,
+for margins that only a limit meets), the remaining gap of every margin is
+measured, put in ``gaps`` and, if it is more than rounding, given as a warning.
+
 Defined cases: null source, language or topic are categories of their own; null
 or blank text has no tokens, and a cell without tokens keeps its documents
 (probability 1); documents with a null id draw from their text; rows repeated
@@ -21,6 +29,8 @@ columns are carried along.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +45,8 @@ TEMPER = {"source": 0.7, "lang": 0.5, "topic": 0.7}
 BUDGET = 0.5
 TOLERANCE = 1e-10
 MOST_ROUNDS = 200
+#: Relative gap of a margin that counts as not met.
+MET = 1e-6
 
 
 def n_tokens(text: Column) -> Column:
@@ -65,45 +77,63 @@ def _targets(cells: DataFrame, dim: str, shares: dict | None) -> DataFrame:
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """``cells`` with their raked weight (a share of one). A round scales the
-    weights to each margin in turn; rounds go on until the margins hold."""
+    weights to each margin in turn; rounds go on until the margins hold or, with
+    some of them still off, a round's factors are those of the round before."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
-    for n in range(MOST_ROUNDS):
-        off = None
+    now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total))).withColumns(
+        {f"f_{dim}": F.lit(0.0) for dim in targets})
+    for _ in range(MOST_ROUNDS):
+        now = now.withColumns({"off": F.lit(0.0), "change": F.lit(0.0)})
         for dim, goal in targets.items():
             sums = now.groupBy(F.col(dim).alias("m_" + dim)).agg(F.sum("weight").alias("sum"))
             # Written, or plan and constraints would grow with every margin.
             factor = materialise(sums.join(goal, F.col("m_" + dim).eqNullSafe(F.col("t_" + dim))).select(
-                "m_" + dim, (F.col("goal") / F.col("sum")).alias("factor")), "factor")
-            now = now.join(factor, F.col(dim).eqNullSafe(F.col("m_" + dim)), "left").withColumn(
-                "weight", F.col("weight") * F.coalesce("factor", F.lit(0.0)))
-            gap = F.coalesce(F.abs(F.col("factor") - 1), F.lit(0.0))
-            off = gap if off is None else F.greatest(F.col("off"), gap)
-            now = now.withColumn("off", off).drop("m_" + dim, "factor")
+                "m_" + dim, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor")),
+                "factor")
+            now = now.join(factor, F.col(dim).eqNullSafe(F.col("m_" + dim)), "left").withColumns({
+                "weight": F.col("weight") * F.coalesce("factor", F.lit(0.0)),
+                "off": F.greatest("off", F.coalesce(F.abs(F.col("factor") - 1), F.lit(0.0))),
+                "change": F.greatest("change", F.coalesce(F.abs(F.col("factor") - F.col(f"f_{dim}")), F.lit(0.0))),
+                f"f_{dim}": F.col("factor")}).drop("m_" + dim, "factor")
         now = materialise(now, "raked")
-        worst = now.agg(F.max("off")).first()[0]
-        now = now.drop("off")
-        if worst is None or worst < TOLERANCE:
-            return now
-    raise ArithmeticError(f"margins not reached in {MOST_ROUNDS} rounds (worst factor off by {worst})")
+        worst, change = now.agg(F.max("off"), F.max("change")).first()
+        now = now.drop("off", "change")
+        # Factors that stay with gaps left: no weights meet these margins together.
+        if worst is None or worst < TOLERANCE or (change < TOLERANCE and worst > MET):
+            break
+    return now.drop(*[f"f_{dim}" for dim in targets])
+
+
+def remaining_gaps(raked: DataFrame, targets: dict[str, DataFrame]) -> dict[str, float]:
+    """By margin, the largest difference of a category's weight from its target,
+    as a share of the target."""
+    out = {}
+    for dim, goal in targets.items():
+        sums = raked.groupBy(dim).agg(F.sum("weight").alias("sum"))
+        out[dim] = goal.join(sums, F.col(dim).eqNullSafe(F.col(f"t_{dim}"))).agg(
+            F.max(F.abs(F.col("sum") / F.col("goal") - 1))).first()[0] or 0.0
+    return out
 
 
 def calibrate(raked: DataFrame, budget: float) -> DataFrame:
-    """``raked`` with the probability of each cell. The common factor is found by
-    evaluating 64 candidates an aggregate, five times."""
+    """``raked`` with the probability of each cell. The common factor rises from
+    that without caps: cells it fills are capped and the rest of the budget is
+    dealt anew to the others, until no more cells are filled."""
     total = raked.agg(F.sum("tokens")).first()[0] or 0
-    low, high = 0.0, 1.0
-    if total:
-        edge = raked.where("weight > 0").agg(F.max(F.col("tokens") / F.col("weight"))).first()[0]
-        high = float(edge or 1.0)
-        for _ in range(6):
-            tries = [low + (high - low) * k / 64 for k in range(65)]
-            sums = raked.agg(*[F.sum(F.least(F.col("tokens").cast("double"), F.col("weight") * f)).alias(f"s{k}")
-                               for k, f in enumerate(tries)]).first()
-            over = next((k for k in range(65) if sums[k] >= budget * total), 64)
-            low, high = tries[max(0, over - 1)], tries[over]
+    live = (F.col("tokens") > 0) & (F.col("weight") > 0)
+    factor, filled = 0.0, -1
+    while total:
+        full = live & (F.col("weight") * factor >= F.col("tokens"))
+        n, tokens, rest, edge = raked.agg(
+            F.count(F.when(full, 1)), F.sum(F.when(full, F.col("tokens"))),
+            F.sum(F.when(live & ~full, F.col("weight"))),
+            F.max(F.when(live, F.col("tokens") / F.col("weight")))).first()
+        if n == filled or rest is None:
+            factor = factor if rest else float(edge or 1.0)
+            break
+        factor, filled = max(factor, (budget * total - (tokens or 0)) / rest), n
     return raked.withColumn("probability", F.when(F.col("tokens") == 0, 1.0).otherwise(
-        F.least(F.lit(1.0), F.col("weight") * high / F.col("tokens"))))
+        F.least(F.lit(1.0), F.col("weight") * factor / F.col("tokens"))))
 
 
 def draw(id_: Column, text: Column) -> Column:
@@ -114,10 +144,12 @@ def draw(id_: Column, text: Column) -> Column:
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
            lang_col: str = "lang", topic: Column | None = None, budget: float = BUDGET,
-           shares: dict[str, dict] | None = None, carry: list[str] | None = None) -> DataFrame:
+           shares: dict[str, dict] | None = None, carry: list[str] | None = None,
+           gaps: dict[str, float] | None = None) -> DataFrame:
     """``carry`` columns (all by default) with topic, n_tokens, weight (raked
     over present share), probability and kept. ``shares`` gives target shares
-    by dimension and category in place of tempered ones."""
+    by dimension and category in place of tempered ones. ``gaps`` takes the
+    remaining gap of each margin; gaps above ``MET`` are also a warning."""
     checkpoint_dir(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     names = {c: f"c{i}_" for i, c in enumerate(carry)}
@@ -128,7 +160,14 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         n_tokens(F.col(text_col)).alias("x_tokens"),
         draw(F.col(id_col), F.col(text_col)).alias("x_draw")), "drawn")
     cells = rows.groupBy(*DIMS).agg(F.sum("x_tokens").alias("tokens")).checkpoint(eager=True)
-    raked = rake(cells, {d: _targets(cells, d, (shares or {}).get(d)).checkpoint(eager=True) for d in DIMS})
+    targets = {d: _targets(cells, d, (shares or {}).get(d)).checkpoint(eager=True) for d in DIMS}
+    raked = rake(cells, targets)
+    left = remaining_gaps(raked, targets)
+    if gaps is not None:
+        gaps.update(left)
+    if max(left.values()) > MET:
+        warnings.warn("margins not all met, largest gaps as shares of the targets: "
+                      + ", ".join(f"{d} {x:.3g}" for d, x in left.items()), stacklevel=2)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     found = calibrate(raked, budget).select(
         *[F.col(d).alias(f"k_{d}") for d in DIMS], "probability",
