@@ -148,3 +148,21 @@ def test_repeats_edges(documents, none):
         assert hashlib.sha256(bytes(r["kept_bytes"])).hexdigest() == r["kept_sha256"]
         assert r["n_bytes_"] == r["n_removed"] + len(r["kept_bytes"])
     assert repeats.remove_repeats(none).isEmpty()
+
+
+def test_estimate_keeps_what_the_lists_promise(spark):
+    """Equal texts whose made-up sketches agree in 28, 35 or 27 of the 64 least
+    values of their union: only fewer than NEED are dropped before the sets."""
+    text = " ".join(f"w{i}" for i in range(100)).encode()
+    nodes, pairs = [], []
+    for n, common in enumerate((28, 35, 27)):
+        for side in (0, 1):
+            own = [100 + 2 * i + side for i in range(64 - common)]
+            nodes.append((2 * n + side, 99, list(range(common)) + own))
+        pairs.append((2 * n, 2 * n + 1))
+    got = near_dedup.confirm(
+        spark.createDataFrame(pairs, "a long, b long"),
+        spark.createDataFrame(nodes, "node long, x_size long, x_sketch array<long>"),
+        spark.createDataFrame([(r[0], bytearray(text)) for r in nodes], "node long, x_text binary"),
+        2, near_dedup.K, 80)
+    assert sorted(map(tuple, got.collect())) == pairs[:2]

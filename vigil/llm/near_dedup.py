@@ -13,7 +13,7 @@ k - need + 1 values in an order common to all nodes (by the number of nodes that
 retain them); any linked pair then meets in at least one list. For sets up to k
 the bound is exact; for larger ones the agreement is a hypergeometric count
 around k * threshold, and ``need`` lies so far below (28 of 64 at 0.8) that a link
-at the threshold is missed with a chance of about 1e-11.
+at the threshold is missed with a chance of about 3e-11.
 
 Lists of any length. Nothing is paired within a list at first: every node is
 compared with the most typical node of each of its lists. The links found join
@@ -48,8 +48,8 @@ NEED = 28
 #: Members from which a component counts as big, and nodes of a block.
 BIG = 8
 BLOCK = 256
-#: Sketches whose estimate falls this far below the threshold are dropped:
-#: five standard errors at k = 64 and 0.8.
+#: Sketches whose estimate falls this far below the threshold are dropped, if
+#: they also agree in fewer than ``need`` values.
 MARGIN = 0.25
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -167,9 +167,10 @@ def _compatible(a: Column, b: Column, percent: int) -> Column:
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, full: DataFrame, width: int, k: int,
-            percent: int) -> DataFrame:
+            percent: int, need: int = NEED) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold: first the estimate from the
-    sketches' union, then the full sets (sketches of small sets are full)."""
+    sketches' union (``need`` of ``k`` values agreeing pass, as for the lists), then the
+    full sets (sketches of small sets are full)."""
     sk = nodes.select("node", "x_size", "x_sketch")
     two = pairs.join(sk.withColumnsRenamed({"node": "b", "x_size": "n_b", "x_sketch": "s_b"}), "b").join(
         sk.withColumnsRenamed({"node": "a", "x_size": "n_a", "x_sketch": "s_a"}), "a")
@@ -181,7 +182,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, full: DataFrame, width: int, k:
     rated = materialise(rated.where(
         F.when((F.col("n_a") <= k) & (F.col("n_b") <= k),
                100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
-        .otherwise(F.col("estimate") >= percent / 100 - MARGIN)), "estimated")
+        .otherwise(F.col("estimate") >= min(need / k, percent / 100 - MARGIN))), "estimated")
     small = (F.col("n_a") <= k) & (F.col("n_b") <= k)
     large = rated.where(~small).select("a", "b")
     whole = full_sets(large, full, width)
@@ -227,7 +228,7 @@ def link_classes(rows: DataFrame, width: int = 2, percent: int = 80, k: int = K,
     star = materialise(met.where(
         (F.col("node") != F.col("head")) & _compatible(F.col("size"), F.col("head_size"), percent)).select(
             F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "star")
-    links = confirm(star, nodes, full, width, k, percent)
+    links = confirm(star, nodes, full, width, k, percent, need)
     roots = components(links)
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     roots = materialise(roots.join(sizes, "root"), "roots")
@@ -237,13 +238,13 @@ def link_classes(rows: DataFrame, width: int = 2, percent: int = 80, k: int = K,
         (F.coalesce("members", F.lit(1)) > BIG).alias("big"))
     mixed = at.groupBy("value").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
     rest = materialise(at.join(mixed.select("value"), "value"), "mixed")
-    links = links.unionByName(_small_pairs(rest.where("NOT big"), star, nodes, full, width, k, percent))
+    links = links.unionByName(_small_pairs(rest.where("NOT big"), star, nodes, full, width, k, percent, need))
     links = links.unionByName(_against_big(rest, roots, full, width, percent))
     return nodes.select("node", "x_set").join(components(links), "node").select("x_set", "root")
 
 
 def _small_pairs(rest: DataFrame, done: DataFrame, nodes: DataFrame, full: DataFrame, width: int,
-                 k: int, percent: int) -> DataFrame:
+                 k: int, percent: int, need: int) -> DataFrame:
     """Links between nodes of different small components that share a list."""
     step = float(np.log(100 / percent))
     rest = rest.withColumn("cls", F.floor(F.log("size") / step).cast("long"))
@@ -257,7 +258,7 @@ def _small_pairs(rest: DataFrame, done: DataFrame, nodes: DataFrame, full: DataF
         & ((F.col("n_1") < F.col("n_2")) | ((F.col("n_1") == F.col("n_2")) & (F.col("a") < F.col("b"))))
         & (100 * F.col("n_1") >= percent * F.col("n_2")))
     pairs = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return confirm(pairs.join(done, ["a", "b"], "left_anti"), nodes, full, width, k, percent)
+    return confirm(pairs.join(done, ["a", "b"], "left_anti"), nodes, full, width, k, percent, need)
 
 
 def _against_big(rest: DataFrame, roots: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
