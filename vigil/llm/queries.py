@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, html_blocks, licences, mixing, near_dedup, pieces, quality_rules, repeats,
-               sharding, url_lists)
+from . import (exact_dedup, hard_negatives, html_blocks, licences, mixing, near_dedup, pieces,
+               quality_rules, repeats, sharding, url_lists)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(docs, carry=["doc_id"])
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_exact_dedup": (op1_exact_dedup, exact_dedup.ORACLE),
     "op2_html_blocks": (op2_html_blocks, None),
@@ -81,4 +87,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op8_repeats": (op8_repeats, None),
     "op9_sharding": (op9_sharding, sharding.oracle()),
     "op10_sentencepiece": (op10_sentencepiece, None),
+    "op12_hard_negatives": (op12_hard_negatives, hard_negatives.ORACLE),
 }
