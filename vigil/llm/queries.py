@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (exact_dedup, hard_negatives, html_blocks, licences, mixing, near_dedup, pieces,
-               quality_rules, repeats, sharding, url_lists)
+               prefix_trie, quality_rules, repeats, sharding, url_lists)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.trie(*prefix_trie.branched(prefix_trie.turn_marks(turns)))
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_exact_dedup": (op1_exact_dedup, exact_dedup.ORACLE),
     "op2_html_blocks": (op2_html_blocks, None),
@@ -88,4 +93,5 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op9_sharding": (op9_sharding, sharding.oracle()),
     "op10_sentencepiece": (op10_sentencepiece, None),
     "op12_hard_negatives": (op12_hard_negatives, hard_negatives.ORACLE),
+    "op13_prefix_trie": (op13_prefix_trie, prefix_trie.ORACLE),
 }
