@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (exact_dedup, hard_negatives, html_blocks, licences, mixing, near_dedup, pieces,
-               prefix_trie, quality_rules, repeats, sharding, url_lists)
+               prefix_trie, quality_rules, repeats, sharding, toxicity, url_lists)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(docs, carry=["doc_id"])
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    scorer = toxicity.learn(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score_texts(docs, scorer, carry=["doc_id"])
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -92,6 +98,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op8_repeats": (op8_repeats, None),
     "op9_sharding": (op9_sharding, sharding.oracle()),
     "op10_sentencepiece": (op10_sentencepiece, None),
+    "op11_toxicity": (op11_toxicity, None),
     "op12_hard_negatives": (op12_hard_negatives, hard_negatives.ORACLE),
     "op13_prefix_trie": (op13_prefix_trie, prefix_trie.ORACLE),
 }
