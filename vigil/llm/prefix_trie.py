@@ -70,7 +70,8 @@ def whole(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def branched(marks: DataFrame, every: int = 5, heads: int = 9) -> tuple[DataFrame, DataFrame]:
     """Conversations rebuilt as branches: the first h turns of conversation
-    c - c % every, then c's own after its first h, with h = crc32(c) % heads."""
+    c - c % every (remainders take the sign of c, as in SQL), then c's own after
+    its first h, with h = crc32(c) % heads."""
     h = (F.crc32(F.col("conv").cast("string").cast("binary")) % heads).cast("int")
     own = materialise(marks.withColumn("h", h), "turns")
     ours = own.groupBy("conv", "h").agg(
