@@ -51,7 +51,7 @@ from .common import free_name, materialise, small_batches
 
 #: Documents of each label, and sentences of each label on average, that train.
 SAMPLE = 3000
-SENTENCES = 30_000
+SENTENCES = 25_000
 #: The kernel: most places from first to last symbol, weight of a place, symbols.
 SPAN = 7
 DECAY = 0.7
@@ -61,7 +61,7 @@ LONGEST = 24
 STEP = 12
 #: Landmarks, clean words of a round (as many hard ones as others), rounds, weight of errors.
 LANDMARKS = 320
-CLEAN_WORDS = 8000
+CLEAN_WORDS = 6000
 ROUNDS = 4
 COST = 4.0
 #: Words of a sentence at most.
@@ -313,7 +313,7 @@ def _window(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _fit(alphabet: Alphabet, toxic: list[str], hits: np.ndarray, clean: list[str], misses: np.ndarray) -> Machine:
     """A machine between toxic words, most frequent first, and clean ones, hardest
     first, with the numbers of documents that have them."""
-    some = toxic[:2 * LANDMARKS] + clean[:LANDMARKS] + clean[-LANDMARKS:]
+    some = toxic[:LANDMARKS] + clean[:LANDMARKS // 2] + clean[-LANDMARKS // 2:]
     chosen = _spread(Landmarks(some, alphabet).kernels(*_window(some)), LANDMARKS)
     names = [some[i] for i in chosen]
     marks = Landmarks(names, alphabet)
@@ -327,21 +327,24 @@ def _fit(alphabet: Alphabet, toxic: list[str], hits: np.ndarray, clean: list[str
     return Machine(alphabet, per_key, float(w[-1]))
 
 
-def train(sentences: pd.DataFrame) -> Machine | None:
+def train(sentences: pa.Table) -> Machine | None:
     """Fits the machine on labelled sentences (doc, toxic, words: a list).
 
     Two halves of the documents choose each other's witnesses, so that no word
     is taken for toxic because its own machine was fitted on it."""
-    sentences = sentences[sentences["words"].map(len) > 0]
-    kinds = sentences.groupby("doc")["toxic"].first()
+    sentences = sentences.filter(pc.greater(pc.list_value_length(sentences["words"]), 0)).combine_chunks()
+    doc = pd.factorize(sentences["doc"].to_numpy())[0]
+    toxic = sentences["toxic"].to_numpy().astype(bool)
+    kinds = np.zeros(doc.max(initial=-1) + 1, bool)
+    kinds[doc] = toxic
     if not kinds.any() or kinds.all():
         return None
     share = float(kinds.mean())
-    strings, word = np.unique(np.concatenate([np.array(w, str) for w in sentences["words"]]), return_inverse=True)
-    strings = strings.tolist()
-    rows = pd.DataFrame({"w": word, "s": np.repeat(np.arange(len(sentences)), sentences["words"].map(len))})
-    rows["d"] = pd.factorize(sentences["doc"])[0][rows["s"]]
-    rows["toxic"] = sentences["toxic"].to_numpy(bool)[rows["s"]]
+    coded = pc.list_flatten(sentences["words"]).combine_chunks().dictionary_encode()
+    strings = coded.dictionary.to_pylist()
+    of = np.repeat(np.arange(len(doc)), pc.list_value_length(sentences["words"]).to_numpy())
+    rows = pd.DataFrame({"w": coded.indices.to_numpy(), "s": of.astype(np.int32), "d": doc[of].astype(np.int32),
+                         "toxic": toxic[of]}).drop_duplicates(["w", "s"])
     seen = rows.drop_duplicates(["w", "d"])
     alphabet = Alphabet.of(strings)
     rng = np.random.default_rng(7)
@@ -471,7 +474,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     number = {r["toxic"]: r["n"] for r in told.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc", "words"), F.lit(1 << 20)) / float(1 << 20)
     keep = [(F.col("toxic") == k) & (part < SENTENCES / n) for k, n in number.items()]
-    machine = train(told.where(keep[0] if len(keep) == 1 else keep[0] | keep[1]).orderBy("doc", "words").toPandas()) \
+    machine = train(told.where(keep[0] if len(keep) == 1 else keep[0] | keep[1]).orderBy("doc", "words").toArrow()) \
         if keep else None
     if machine is None:
         return Scorer(None, np.zeros(4), share)
