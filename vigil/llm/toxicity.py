@@ -67,6 +67,9 @@ COST = 4.0
 #: Words of a sentence at most.
 SENTENCE_WORDS = 64
 CUT = 0.7
+#: Rows of a batch and words scored at a time, which bound a worker's memory.
+ROWS_AT_ONCE = 250
+WORDS_AT_ONCE = 16_384
 #: Decision from which a sentence counts as toxic in a document's features.
 SURE = 0.5
 
@@ -237,12 +240,12 @@ class Machine:
     def decisions(self, strings: list[str]) -> np.ndarray:
         """One per string, that of its best window; WORST for empty ones."""
         out = np.full(len(strings), WORST)
-        if strings:
-            codes, lengths, owner = _strips(strings)
+        for at in range(0, len(strings), WORDS_AT_ONCE):
+            codes, lengths, owner = _strips(strings[at:at + WORDS_AT_ONCE])
             each = np.full(len(lengths), WORST)
-            for part, keys, weights, norm in _by_length(codes, lengths, self.alphabet):
+            for part, keys, weights, norm in _by_length(codes, lengths, self.alphabet, 512):
                 each[part] = np.maximum((self.weights[keys] * weights).sum(axis=1) / np.sqrt(norm) + self.bias, WORST)
-            np.maximum.at(out, owner, each)
+            np.maximum.at(out[at:at + WORDS_AT_ONCE], owner, each)
         return out
 
 
@@ -442,6 +445,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     sampled documents, by hash of the id, sets the curve, the others train the
     machine. Of rows that repeat an id the least text counts."""
     spark = docs.sparkSession
+    small_batches(spark, ROWS_AT_ONCE)
     known = (labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id)))
              .groupBy(id).agg(F.min(label).alias("low"), F.max(label).alias("high"))
              .where("low = high").select(F.col(id).alias("doc"), (F.col("low") == 1).alias("toxic"),
@@ -503,7 +507,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 def score_texts(docs: DataFrame, scorer: Scorer, id: str = "doc_id", text: str = "text",
                 carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns (all by default) with held_out, score, predicted."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ROWS_AT_ONCE)
     carry = docs.columns if carry is None else carry
     names = [free_name(carry, n) for n in ("held_out", "score", "predicted")]
     ready = docs.select(*carry, held_out(F.col(id)).alias(names[0]), F.col(text).alias(free_name(carry, "x_text")))
