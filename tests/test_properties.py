@@ -47,6 +47,6 @@ def test_scores_in_range_after_clip(spark, scores):
     df = spark.createDataFrame([("U", dt.date(2020, 1, 1) + dt.timedelta(days=i), v)
                                 for i, v in enumerate(scores)],
                                "universe string, date date, risk_score double")
-    out = df.withColumn("s", scr.scaled(df["risk_score"], ["universe"])).collect()
+    out = scr.scale_columns(df, ["universe"], {"s": ("risk_score", True)}).collect()
     for r in out:
         assert r["s"] is None or 0.0 <= r["s"] <= 100.0

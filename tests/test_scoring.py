@@ -71,7 +71,7 @@ def test_crisis_label_drops_tail(spark):
 
 def test_scaled_constant_and_range(spark):
     df = _scores_df(spark, {"U": [5.0, 5.0, 5.0], "V": [0.0, 5.0, 10.0]})
-    out = df.withColumn("s", scr.scaled(df["risk_score"], K))
+    out = scr.scale_columns(df, K, {"s": ("risk_score", True)})
     got = {(r["universe"], r["risk_score"]): r["s"] for r in out.collect()}
     assert got[("U", 5.0)] == 100.0
     assert got[("V", 0.0)] == 100.0 and got[("V", 10.0)] == 0.0 and got[("V", 5.0)] == 50.0

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import clip, safe_div
+from vigil.operators.running import running_sums
+from vigil.session import cut_lineage
 
 MK = ["model", "universe"]
 
@@ -91,17 +93,15 @@ def classification_metrics(preds: DataFrame, min_rows: int = 10) -> DataFrame:
 
 def _score_groups(preds: DataFrame) -> DataFrame:
     """Counts of positives / negatives per distinct probability, with running
-    sums in descending probability order (one row per threshold)."""
+    sums in descending probability order (one row per threshold). The thresholds
+    of a model are cut into slices by their order, so one very large model is
+    summed by many tasks; they are written once, as three steps read them."""
     ok = F.col("pred").isNotNull() & F.col("proba").isNotNull()
     g = (preds.where(ok).groupBy(*MK, "proba")
          .agg(F.count(F.when(F.col("y") == 1, 1)).alias("p"),
               F.count(F.when(F.col("y") == 0, 1)).alias("n")))
-    desc = Window.partitionBy(*MK).orderBy(F.col("proba").desc()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(*MK)
-    return g.select(*MK, "proba", "p", "n",
-                    F.sum("p").over(desc).alias("tp"), F.sum("n").over(desc).alias("fp"),
-                    F.sum("p").over(tot).alias("pos_total"), F.sum("n").over(tot).alias("neg_total"))
+    both = {"pos_total": F.col("p"), "neg_total": F.col("n")}
+    return running_sums(cut_lineage(g), MK, -F.col("proba"), {"tp": F.col("p"), "fp": F.col("n")}, both)
 
 
 def ranking_metrics(preds: DataFrame, min_rows: int = 10) -> DataFrame:

@@ -9,12 +9,14 @@ operators on the same partitioning and ordering, so Spark sorts each series
 once. Only the cross-symbol correlation aggregates across series.
 
 Per-key data volume: a series has one row per calendar day, whatever the
-raw volume behind it, so a window partition is bounded by the calendar.
+raw volume behind it, so a window partition is bounded by the calendar. Series
+that are longer than one task should hold (intraday rows, say) go through
+``market_features(..., segment_rows=n)``: the same windows over segments of n
+rows with the rows before them, and running figures carried between segments.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 
 from vigil.functions import clip, flag, gated, nan_to_null, safe_div, series_window, spread
 from vigil.functions.columns import SQRT_252
+from vigil.operators import running as rn
+from vigil.operators.decay import ewm_std
+from vigil.session import cut_lineage
 
 UNB = Window.unboundedPreceding
 EPS = 1e-9
@@ -84,70 +89,6 @@ def rolling_volatility(df: DataFrame, ret: str, keys: Sequence[str],
                            for w in windows})
 
 
-#: Natural log of the growth of a block's scale: terms two blocks back weigh
-#: less than e^-69 (1e-30), far below a double's precision.
-_BLOCK_LOG = 69.0
-
-
-def decayed_sums(df: DataFrame, terms: dict[str, tuple[Column, float]], keys: Sequence[str],
-                 block: int) -> DataFrame:
-    """For every ``name: (x, r)`` add ``name`` = sum over all earlier rows i of
-    r^(t-i) * x_i (this row included, NULL x counting as 0), over the whole
-    history of a series.
-
-    Rows are cut into blocks of ``block`` positions. Within a block the sum is
-    a running sum of x_i * r^-i, scaled back by r^t; the block before adds its
-    final value times the decay since. Two running windows for any span, no
-    list of past rows, and nothing is truncated.
-    """
-    w = series_window(keys)
-    df = df.withColumn("_ew_pos", F.row_number().over(w) - 1)
-    df = df.withColumns({"_ew_blk": F.floor(F.col("_ew_pos") / F.lit(block)),
-                         "_ew_off": (F.col("_ew_pos") % F.lit(block)).cast("double")})
-    inside = series_window([*keys, "_ew_blk"]).rowsBetween(UNB, 0)
-    off = F.col("_ew_off")
-    df = df.withColumns({
-        f"_ew_{n}": F.pow(F.lit(r), off) * F.sum(
-            F.coalesce(x * F.pow(F.lit(r), -off), F.lit(0.0))).over(inside)
-        for n, (x, r) in terms.items()})
-    closed = off == F.lit(float(block - 1))
-    before = w.rowsBetween(UNB, -1)
-    df = df.withColumns({
-        n: F.col(f"_ew_{n}") + F.pow(F.lit(r), off + 1) * F.coalesce(
-            F.last(F.when(closed, F.col(f"_ew_{n}")), ignorenulls=True).over(before), F.lit(0.0))
-        for n, (_, r) in terms.items()})
-    return df.drop("_ew_pos", "_ew_blk", "_ew_off", *[f"_ew_{n}" for n in terms])
-
-
-def ewm_block(span: float) -> int:
-    """Rows of a block for :func:`decayed_sums`: as many as the scale allows."""
-    return max(2, math.ceil(_BLOCK_LOG / -math.log(1.0 - 2.0 / (span + 1.0))))
-
-
-def ewm_mean(df: DataFrame, x: Column | str, keys: Sequence[str], span: float, out: str) -> DataFrame:
-    """Adjusted exponentially weighted mean; weights follow row positions, so a
-    NULL ages the rows before it and takes no weight itself."""
-    x, r = _c(x), 1.0 - 2.0 / (span + 1.0)
-    one = F.when(x.isNotNull(), F.lit(1.0))
-    df = decayed_sums(df, {"_em_w": (one, r), "_em_x": (x, r)}, keys, ewm_block(span))
-    return df.withColumn(out, safe_div(F.col("_em_x"), F.col("_em_w"))).drop("_em_w", "_em_x")
-
-
-def ewm_std(df: DataFrame, x: Column | str, keys: Sequence[str], span: float, out: str) -> DataFrame:
-    """Bias-corrected exponentially weighted standard deviation:
-    var = (sxx/sw - m^2) * sw^2 / (sw^2 - sw2) with m = sx/sw."""
-    x, r = _c(x), 1.0 - 2.0 / (span + 1.0)
-    one = F.when(x.isNotNull(), F.lit(1.0))
-    df = decayed_sums(df, {"_es_w": (one, r), "_es_w2": (one, r * r), "_es_x": (x, r),
-                           "_es_xx": (x * x, r)}, keys, ewm_block(span))
-    sw, mean = F.col("_es_w"), safe_div(F.col("_es_x"), F.col("_es_w"))
-    biased = F.greatest(safe_div(F.col("_es_xx"), sw) - mean * mean, F.lit(0.0))
-    # One value has no spread: its denominator is zero up to rounding.
-    free = sw * sw - F.col("_es_w2")
-    var = F.when(free > sw * sw * F.lit(1e-12), biased * sw * sw / free)
-    return df.withColumn(out, F.sqrt(var)).drop("_es_w", "_es_w2", "_es_x", "_es_xx")
-
-
 def ewma_volatility(df: DataFrame, ret: str, keys: Sequence[str], span: float = 20,
                     out: str = "ewma_vol") -> DataFrame:
     """WF-3: exponentially weighted volatility over the whole history, annualised."""
@@ -259,19 +200,25 @@ def cross_symbol_corr(returns: DataFrame, calendar: DataFrame, keys: Sequence[st
     symbols give 0.0.
     """
     keys = list(keys)
-    r = calendar.select(*keys, "date").join(returns.select(*keys, "symbol", "date", "ret"),
-                                            [*keys, "date"])
-    r = spread(r, [*keys, "symbol"])
+    parts = [c for c in (rn.SEG, rn.HALO) if c in calendar.columns]
+    r = calendar.select(*keys, "date", *parts).join(returns.select(*keys, "symbol", "date", "ret"),
+                                                    [*keys, "date"])
+    if parts:  # a segmented calendar with its halo: windows stay inside a segment
+        calendar = rn.without_halo(calendar)
+    skeys = [*keys, "symbol", *parts[:1]]
+    r = spread(r, skeys)
     # PF-3: only symbols with some return on the calendar count; the others
     # never produce a full frame, so they need no filtering of their rows.
     n_sym = (r.where(F.col("ret").isNotNull()).groupBy(*keys)
              .agg(F.countDistinct("symbol").alias("_n")))
-    f = _frame([*keys, "symbol"], window)
-    stats = r.select(*keys, "symbol", "date",
+    f = _frame(skeys, window)
+    stats = r.select(*keys, "symbol", "date", *parts,
                      F.collect_list("ret").over(f).alias("_lst"),
                      F.count("ret").over(f).alias("_cnt"),
                      F.avg("ret").over(f).alias("_mu"),
                      F.stddev_samp("ret").over(f).alias("_sd"))
+    if parts:
+        stats = rn.without_halo(stats)
     z = F.when((F.col("_cnt") == window) & (F.col("_sd") > 0),
                F.transform("_lst", lambda x: (x - F.col("_mu")) / F.col("_sd")))
     exploded = stats.select(*keys, "date", F.posexplode(z).alias("_k", "_z"))
@@ -464,7 +411,7 @@ def common_calendar(panel: DataFrame, keys: Sequence[str] = ("universe",),
 
 def market_features(panel: DataFrame, returns: DataFrame | None = None,
                     keys: Sequence[str] = ("universe",), use_volume: bool = False,
-                    clean: bool = True) -> DataFrame:
+                    clean: bool = True, segment_rows: int | None = None) -> DataFrame:
     """WF-21: the full feature matrix per (universe, date).
 
     ``panel`` is the index panel (sector, market, optional fear / fx /
@@ -473,18 +420,27 @@ def market_features(panel: DataFrame, returns: DataFrame | None = None,
     of at most 5 rows, then rows with any NULL feature are dropped.
     """
     keys = list(keys)
+    if segment_rows:
+        return _segmented_features(panel, returns, keys, use_volume, clean, segment_rows)
     cal = common_calendar(panel, keys)
-    has_cross = returns is not None
-    if has_cross:
+    if returns is not None:
         cross = cross_symbol_corr(returns, cal.select(*keys, "date"), keys)
         cal = spread(cal.join(cross, [*keys, "date"], "left"), keys)
-    df = rolling_volatility(cal, "bank_ret", keys)
-    df = ewma_volatility(df, "bank_ret", keys)
-    df = vol_of_vol(df, "bank_ret", keys)
+    df = ewma_volatility(cal, "bank_ret", keys)
     df = drawdown(df, "price", keys)
+    df, cols = _bounded_features(df, keys, use_volume)
+    out = df.select(*keys, "date", "bank_ret", "mkt_ret", *cols)
+    return clean_features(out, cols, keys) if clean else out
+
+
+def _bounded_features(df: DataFrame, keys: Sequence[str], use_volume: bool) -> tuple[DataFrame, list[str]]:
+    """The features whose windows reach back a fixed number of rows, and the
+    feature columns at hand in their order."""
+    df = rolling_volatility(df, "bank_ret", keys)
+    df = vol_of_vol(df, "bank_ret", keys)
     df = bank_market_corr(df, "bank_ret", "mkt_ret", keys)
     df = df.withColumn("bm_corr_trend", correlation_trend("bank_market_corr", keys))
-    if has_cross:
+    if "cross_bank_corr" in df.columns:
         df = df.withColumn("corr_trend", correlation_trend("cross_bank_corr", keys))
     else:
         df = df.withColumn("corr_trend", F.col("bm_corr_trend"))
@@ -502,15 +458,62 @@ def market_features(panel: DataFrame, returns: DataFrame | None = None,
     if use_volume and "volume" in df.columns:
         df = volume_stress(df, "volume", keys)
         cols += VOLUME_COLUMNS
+    return df, cols
+
+
+#: Rows that the deepest chain of windows reaches back: 60 for the tail of
+#: returns and the drawdown, then 5 for the fill.
+HALO_ROWS = 66
+
+
+def segmented_calendar(panel: DataFrame, keys: Sequence[str], rows: int, sector: str = "sector",
+                       market: str = "market") -> DataFrame:
+    """:func:`common_calendar` numbered and cut into segments of ``rows``
+    positions, with the running high ``_peak`` of the price."""
+    df = cut_lineage(rn.numbered(cut_lineage(panel), keys, rows))
+    df = rn.running(df, keys, {"_ps": ("last", F.col(sector)), "_pm": ("last", F.col(market))}, strict=True)
+    ret = lambda p, q: F.when(F.col(p).isNotNull(), F.ln(safe_div(F.col(p), F.col(q))))
+    df = df.withColumns({"bank_ret": ret(sector, "_ps"), "mkt_ret": ret(market, "_pm"), "price": F.col(sector)})
+    df = cut_lineage(df.drop("_ps", "_pm", rn.POS, rn.SEG))
+    cal = rn.numbered(df, keys, rows, where=F.col("bank_ret").isNotNull() & F.col("mkt_ret").isNotNull())
+    known = {out: ("last", F.col(c)) for c, out in (("fear", "vix"), ("fx", "fxr")) if c in panel.columns}
+    return rn.running(cut_lineage(cal), keys, {**known, "_peak": ("max", F.col("price"))})
+
+
+def _segmented_features(panel: DataFrame, returns: DataFrame | None, keys: list[str], use_volume: bool,
+                        clean: bool, rows: int) -> DataFrame:
+    """WF-21 over segments: every window stays inside a segment and its halo;
+    what runs over a whole series is carried between segments. Each stage is
+    written once, because the next one reads it two or three times."""
+    cal = cut_lineage(segmented_calendar(panel, keys, rows))
+    cal = ewma_volatility(cal, "bank_ret", keys)
+    peak = F.col("_peak")
+    cal = cut_lineage(cal.withColumn("current_drawdown", safe_div(F.col("price") - peak, peak)).drop("_peak"))
+    if returns is not None:
+        days = rn.with_halo(cal.select(*keys, "date", rn.POS, rn.SEG), rows, HALO_ROWS)
+        cal = cal.join(cross_symbol_corr(returns, days, keys), [*keys, "date"], "left")
+    skeys = [*keys, rn.SEG]
+    df = spread(rn.with_halo(cal, rows, HALO_ROWS), skeys)
+    top = F.max("price").over(_frame(skeys, 60))
+    df = df.withColumns({"max_drawdown": safe_div(F.col("price") - top, top), "underwater_dur": F.lit(0)})
+    under = F.coalesce(F.col("max_drawdown") < 0, F.lit(False))
+    df, cols = _bounded_features(df.withColumn("_under", under), skeys, use_volume)
+    df = df.select(*keys, "date", rn.POS, rn.SEG, rn.HALO, "_under", "bank_ret", "mkt_ret", *cols)
+    if clean:
+        df = clean_features(df, [c for c in cols if c != "underwater_dur"], skeys, drop=False)
+    df = cut_lineage(rn.without_halo(df))
+    df = rn.running(df, keys, {"_dry": ("max", F.when(~F.col("_under"), F.col(rn.POS)))})
+    df = df.withColumn("underwater_dur", F.when(F.col("_under"), F.col(rn.POS) - F.coalesce("_dry", F.lit(-1)))
+                       .otherwise(0).cast("int"))
     out = df.select(*keys, "date", "bank_ret", "mkt_ret", *cols)
-    return clean_features(out, cols, keys) if clean else out
+    return out.dropna(subset=cols) if clean else out
 
 
 def clean_features(df: DataFrame, cols: Sequence[str], keys: Sequence[str],
-                   fill_limit: int = 5) -> DataFrame:
+                   fill_limit: int = 5, drop: bool = True) -> DataFrame:
     """PF-4, PF-5, PF-2: non-finite -> NULL, forward fill up to ``fill_limit``
-    rows, drop rows with any NULL feature."""
+    rows, then ``drop`` rows with any NULL feature."""
     f = series_window(keys).rowsBetween(-fill_limit, 0)
     df = df.withColumns({c: nan_to_null(c) for c in cols})
     df = df.withColumns({c: F.last(c, ignorenulls=True).over(f) for c in cols})
-    return df.dropna(subset=list(cols))
+    return df.dropna(subset=list(cols)) if drop else df

@@ -2,8 +2,9 @@
 
 All operators work on the cleaned feature matrix keyed by (universe, date)
 and stay on the same ``partitionBy(universe).orderBy(date)`` layout as the
-features: per-series constants (min / max for the 0-100 scaling) are
-whole-partition window aggregates, so no join back and no extra shuffle.
+features. Per-series constants (min / max for the 0-100 scaling) are a grouped
+aggregate, combined before the shuffle and joined back, so no task holds a
+series. With ``segment_rows`` the running figures work on segments too.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.functions import clip, flag, full_frame, row_mean, safe_div, series_window
-from vigil.operators.features import ewm_mean
+from vigil.functions import clip, flag, row_mean, safe_div, series_window
+from vigil.operators import running as rn
+from vigil.operators.decay import ewm_mean
+from vigil.session import cut_lineage
 
 # State bounds (score >= bound), component weights, colours and
 # the rule-based transition matrix.
@@ -42,15 +45,24 @@ TRANSITION_MATRIX = {
 # SC-1 ... SC-5 component scores
 # --------------------------------------------------------------------------
 
-def scaled(x: Column, keys: Sequence[str], invert: bool = True) -> Column:
-    """SC-1: min-max over the whole series x 100 (100 - that when inverted).
-    A constant series scales to 0 (100 inverted); NULL stays NULL."""
-    part = full_frame(keys)
-    lo, hi = F.min(x).over(part), F.max(x).over(part)
-    rng = hi - lo
-    unit = F.when(rng == 0, F.lit(0.0)).otherwise(safe_div(x - lo, rng))
-    unit = F.when(x.isNotNull(), unit)
-    return (F.lit(1.0) - unit) * F.lit(100.0) if invert else unit * F.lit(100.0)
+def scale_columns(df: DataFrame, keys: Sequence[str],
+                  wanted: dict[str, tuple[str, bool]]) -> DataFrame:
+    """SC-1 for each ``name: (column, invert)``: min-max over the whole series
+    x 100 (100 - that when inverted). A constant series scales to 0 (100
+    inverted); NULL stays NULL."""
+    if not wanted:
+        return df
+    ends = df.groupBy(*keys).agg(*[g(c).alias(f"_{e}_{n}") for n, (c, _) in wanted.items()
+                                   for g, e in ((F.min, "lo"), (F.max, "hi"))])
+
+    def unit(n: str, c: str, invert: bool) -> Column:
+        lo, rng = F.col(f"_lo_{n}"), F.col(f"_hi_{n}") - F.col(f"_lo_{n}")
+        u = F.when(F.col(c).isNotNull(), F.when(rng == 0, F.lit(0.0)).otherwise(safe_div(F.col(c) - lo, rng)))
+        return ((F.lit(1.0) - u) if invert else u) * F.lit(100.0)
+
+    df = rn.with_columns_of(df, ends, keys)
+    return df.withColumns({n: unit(n, c, inv) for n, (c, inv) in wanted.items()}).drop(
+        *[f"_{e}_{n}" for n in wanted for e in ("lo", "hi")])
 
 
 def _has(df: DataFrame, c: str) -> bool:
@@ -62,8 +74,13 @@ def component_scores(df: DataFrame, keys: Sequence[str] = ("universe",)) -> Data
     higher = safer). Absent inputs are skipped; a component with no inputs
     is the constant 50."""
     keys = list(keys)
-    unb = series_window(keys).rowsBetween(Window.unboundedPreceding, 0)
-    ffill = lambda c: F.last(c, ignorenulls=True).over(unb)
+    known = [c for c in ("vol_20d", "ewma_vol", "vol_of_vol", "vix_level") if _has(df, c)]
+    if rn.SEG in df.columns:
+        df = rn.running(df, keys, {f"_kn_{c}": ("last", F.col(c)) for c in known}) if known else df
+    else:
+        unb = series_window(keys).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumns({f"_kn_{c}": F.last(c, ignorenulls=True).over(unb) for c in known})
+    ffill = lambda c: F.col(f"_kn_{c}")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
 
     # (input name, prepared input, scaled?) per component
@@ -98,22 +115,32 @@ def component_scores(df: DataFrame, keys: Sequence[str] = ("universe",)) -> Data
     if _has(df, "fx_zscore"):
         parts["external"].append(("fx_zscore", zero(F.col("fx_zscore")), True))
 
-    # Inputs are materialised first (window results cannot nest in the
-    # min/max windows of the scaling).
     prepared = {f"_in_{k}_{name}": expr for k, lst in parts.items() for name, expr, _ in lst}
     df = df.withColumns(prepared)
-    subs = {k: [scaled(F.col(f"_in_{k}_{name}"), keys) if sc else F.col(f"_in_{k}_{name}")
-                for name, _, sc in lst] for k, lst in parts.items()}
+    df = scale_columns(df, keys, {f"_sc_{k}_{name}": (f"_in_{k}_{name}", True)
+                                  for k, lst in parts.items() for name, _, sc in lst if sc})
+    subs = {k: [F.col(f"_{'sc' if sc else 'in'}_{k}_{name}") for name, _, sc in lst] for k, lst in parts.items()}
     df = df.withColumns({
         "stability_score": row_mean(subs["stability"], 50.0),
         "volume_score": clip(row_mean(subs["volume"], 50.0), 0.0, 100.0),
         "network_score": row_mean(subs["network"], 50.0),
         "external_score": clip(row_mean(subs["external"], 50.0), 0.0, 100.0),
     })
-    return df.drop(*prepared)
+    return df.drop(*prepared, *[c for c in df.columns if c.startswith(("_sc_", "_kn_"))])
+
+
+def _lags(df: DataFrame, keys: list[str], lags: dict[str, tuple[str, int]], rows: int | None) -> DataFrame:
+    """``name: (column, n)``: the value n rows back, over segments of a numbered frame."""
+    if rn.SEG not in df.columns:
+        spec = series_window(keys)
+        return df.withColumns({n: F.lag(c, k).over(spec) for n, (c, k) in lags.items()})
+    spec = series_window([*keys, rn.SEG])
+    df = rn.with_halo(df, rows, max(k for _, k in lags.values()))
+    return rn.without_halo(df.withColumns({n: F.lag(c, k).over(spec) for n, (c, k) in lags.items()}))
 
 
-def risk_score(df: DataFrame, keys: Sequence[str] = ("universe",), span: float = 3) -> DataFrame:
+def risk_score(df: DataFrame, keys: Sequence[str] = ("universe",), span: float = 3,
+               segment_rows: int | None = None) -> DataFrame:
     """SC-6: weighted composite, smoothed by an adjusted exponential mean of
     ``span`` over the whole history, then ``risk_velocity`` (1-row difference)
     and ``risk_momentum`` (5 rows)."""
@@ -123,19 +150,24 @@ def risk_score(df: DataFrame, keys: Sequence[str] = ("universe",), span: float =
                  + F.lit(w["volume"]) * F.col("volume_score")
                  + F.lit(w["network"]) * F.col("network_score")
                  + F.lit(w["external"]) * F.col("external_score"))
-    spec = series_window(keys)
     df = ewm_mean(df.withColumn("_composite", composite), "_composite", keys, span,
                   "risk_score").drop("_composite")
-    rs = F.col("risk_score")
-    return df.withColumns({
-        "risk_velocity": rs - F.lag(rs, 1).over(spec),
-        "risk_momentum": rs - F.lag(rs, 5).over(spec),
-    })
+    df = _lags(df, keys, {"_back1": ("risk_score", 1), "_back5": ("risk_score", 5)}, segment_rows)
+    return df.withColumns({"risk_velocity": F.col("risk_score") - F.col("_back1"),
+                           "risk_momentum": F.col("risk_score") - F.col("_back5")}).drop("_back1", "_back5")
 
 
-def compute_scores(features: DataFrame, keys: Sequence[str] = ("universe",)) -> DataFrame:
-    """SC-2 ... SC-6 in one go: features + the seven score columns."""
-    return risk_score(component_scores(features, keys), keys)
+def compute_scores(features: DataFrame, keys: Sequence[str] = ("universe",),
+                   segment_rows: int | None = None) -> DataFrame:
+    """SC-2 ... SC-6 in one go: features + the seven score columns. With
+    ``segment_rows`` a series of any length is worked on in segments (the frame
+    keeps its position and segment columns for :func:`classify_state`)."""
+    keys = list(keys)
+    if not segment_rows:
+        return risk_score(component_scores(features, keys), keys)
+    df = cut_lineage(rn.numbered(cut_lineage(features), keys, segment_rows))
+    df = cut_lineage(component_scores(df, keys))
+    return cut_lineage(risk_score(df, keys, segment_rows=segment_rows))
 
 
 # --------------------------------------------------------------------------
@@ -149,7 +181,8 @@ def state_of(score: Column) -> Column:
 
 
 def classify_state(df: DataFrame, keys: Sequence[str] = ("universe",), score: str = "risk_score",
-                   window_recovery: int = 5, out: str = "market_state") -> DataFrame:
+                   window_recovery: int = 5, out: str = "market_state",
+                   segment_rows: int | None = None) -> DataFrame:
     """SC-7: states with Recovery, without a sequential loop.
 
     A row is *rising* when it is in the Stress band and above the previous
@@ -158,21 +191,25 @@ def classify_state(df: DataFrame, keys: Sequence[str] = ("universe",), score: st
     NULL), the rising rows from the ``window_recovery``-th on are Recovery.
     """
     keys = list(keys)
-    spec = series_window(keys)
     s = F.col(score)
-    prev = F.lag(s).over(spec)
-    rising = F.coalesce((s >= STRESS) & (s < LOW_RISK) & (s > prev), F.lit(False))
-    unb = spec.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"_rising": rising, "_rn": F.row_number().over(spec)})
+    df = _lags(df, keys, {"_prev": (score, 1)}, segment_rows)
+    df = df.withColumn("_rising", F.coalesce((s >= STRESS) & (s < LOW_RISK) & (s > F.col("_prev")), F.lit(False)))
     # The island head is the last non-rising row; a struct keeps a NULL score.
-    head = F.last(F.when(~F.col("_rising"), F.struct(s.alias("v"), F.col("_rn").alias("rn"))),
-                  ignorenulls=True).over(unb)
-    df = df.withColumn("_head", head)
+    if rn.SEG in df.columns:
+        at = F.col(rn.POS)
+        heads = F.when(~F.col("_rising"), F.struct(s.alias("v"), at.alias("rn")))
+        df = rn.running(cut_lineage(df), keys, {"_head": ("last", heads)})
+    else:
+        spec = series_window(keys)
+        df, at = df.withColumn("_rn", F.row_number().over(spec)), F.col("_rn")
+        heads = F.when(~F.col("_rising"), F.struct(s.alias("v"), at.alias("rn")))
+        df = df.withColumn("_head", F.last(heads, ignorenulls=True).over(
+            spec.rowsBetween(Window.unboundedPreceding, 0)))
     head_crisis = F.coalesce(F.col("_head.v") < STRESS, F.lit(True))
-    depth = F.col("_rn") - F.col("_head.rn")
+    depth = at - F.col("_head.rn")
     state = F.when(F.col("_rising") & head_crisis & (depth >= window_recovery), "Recovery") \
         .otherwise(state_of(s))
-    return df.withColumn(out, state).drop("_rising", "_rn", "_head")
+    return df.withColumn(out, state).drop("_prev", "_rising", "_rn", "_head")
 
 
 def state_color(state: Column) -> Column:
@@ -192,12 +229,16 @@ def state_code(state: Column) -> Column:
 # --------------------------------------------------------------------------
 
 def crisis_label(df: DataFrame, keys: Sequence[str] = ("universe",), score: str = "risk_score",
-                 threshold: float = 40.0, horizon: int = 3, out: str = "y") -> DataFrame:
+                 threshold: float = 40.0, horizon: int = 3, out: str = "y",
+                 segment_rows: int | None = None) -> DataFrame:
     """SC-10: 1 if any of the next ``horizon`` rows is below ``threshold``;
     the last ``horizon`` rows of each series have no label and are dropped."""
-    spec = series_window(keys).rowsBetween(1, horizon)
+    cut = rn.SEG in df.columns
+    spec = series_window([*keys, rn.SEG] if cut else keys).rowsBetween(1, horizon)
     below = flag(F.col(score) < F.lit(threshold))
+    df = rn.with_halo(df, segment_rows, 0, horizon) if cut else df
     df = df.withColumns({out: F.max(below).over(spec), "_n_next": F.count(F.lit(1)).over(spec)})
+    df = rn.without_halo(df) if cut else df
     return df.where(F.col("_n_next") == horizon).drop("_n_next")
 
 

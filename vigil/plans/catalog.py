@@ -12,10 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.operators import decay
 from vigil.operators import features as fe
+from vigil.operators import running as rn
 from vigil.operators import scoring as scr
 from vigil.plans import frames
 from vigil.plans import oracle as o
+from vigil.plans.params import SEGMENT_ROWS
+from vigil.session import cut_lineage
 from vigil.sources import panels
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -139,6 +143,45 @@ def q_ewma_spans(spark: SparkSession, sf: str) -> DataFrame:
     return frames.round_doubles(df.select(*K, "date", *[f"ewma_{n}" for n in EWMA_SPANS]))
 
 
+def _two_pass_sql(names: list[str], span: int) -> str:
+    """Mean and deviation of each series of ``num`` by direct sums in two
+    passes, ages counted from the newest value."""
+    r, parts = 1.0 - 2.0 / (span + 1.0), []
+    for n in names:
+        parts.append(f"""{n}_p AS (
+  SELECT t.universe, t.i, p.x, pow({r!r}::DOUBLE, max(p.i) OVER (PARTITION BY t.universe, t.i) - p.i) AS w
+  FROM num t JOIN (SELECT universe, i, {n} AS x FROM num WHERE {n} IS NOT NULL) p
+    ON p.universe = t.universe AND p.i <= t.i),
+{n}_m AS (SELECT universe, i, sum(w * x) / sum(w) AS m, sum(w) AS w, 2 * sum(w * older) AS f, count(*) AS k
+  FROM (SELECT *, sum(w) OVER (PARTITION BY universe, i ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        AS older FROM {n}_p) GROUP BY 1, 2),
+{n}_s AS (SELECT m.universe, m.i, any_value(m.m) AS m,
+  CASE WHEN any_value(k) > 1 THEN sqrt(sum(p.w * (p.x - m.m) * (p.x - m.m)) * any_value(m.w)
+       / any_value(f)) END AS sd
+  FROM {n}_m m JOIN {n}_p p ON p.universe = m.universe AND p.i = m.i GROUP BY 1, 2)""")
+    joins = " ".join(f"LEFT JOIN {n}_s ON {n}_s.universe = num.universe AND {n}_s.i = num.i" for n in names)
+    cols = ", ".join(f"{o.rnd(f'{n}_s.{c}', D, f'{n}_{c}')}" for n in names for c in ("m", "sd"))
+    return ",\n".join(parts) + f"\nSELECT num.universe, num.date, {cols} FROM num {joins}"
+
+
+@register("ewma_gap_and_level", "WITH " + ",\n".join(
+    o.base_ctes() + o.calendar_ctes()[:1] + [
+        """num AS (SELECT universe, date, i, CASE WHEN i NOT BETWEEN 100 AND 349 THEN bank_ret END AS gapped,
+  1000000 + 0.001 * bank_ret AS raised FROM (
+    SELECT *, row_number() OVER (PARTITION BY universe ORDER BY date) - 1 AS i FROM rets))"""])
+    + ",\n" + _two_pass_sql(["gapped", "raised"], 20))
+def q_ewma_gap_and_level(spark: SparkSession, sf: str) -> DataFrame:
+    """WF-3 / SC-6 in blocks side by side, over 250 missing rows and on a level
+    that is a billion times the spread."""
+    df = fe.log_returns(frames.index_panel(spark, sf), "sector", K, "bank_ret")
+    df = cut_lineage(rn.numbered(cut_lineage(df), K, SEGMENT_ROWS))
+    gap, x = F.col(rn.POS).between(100, 349), F.col("bank_ret")
+    df = df.withColumns({"gapped": F.when(~gap, x), "raised": F.lit(1e6) + F.lit(0.001) * x})
+    for c in ("gapped", "raised"):
+        df = decay.ewm_std(decay.ewm_mean(df, c, K, 20, f"{c}_m"), c, K, 20, f"{c}_sd")
+    return frames.round_doubles(df.select(*K, "date", "gapped_m", "gapped_sd", "raised_m", "raised_sd"))
+
+
 @register("cross_symbol_corr", o.with_ctes(
     o.base_ctes() + o.calendar_ctes() + o.symbol_ctes() + o.cross_ctes(),
     f"SELECT universe, date, {o.rnd('cross_bank_corr', D, 'cross_bank_corr')} FROM cross_c"))
@@ -160,6 +203,12 @@ def q_market_features(spark: SparkSession, sf: str) -> DataFrame:
     return frames.round_doubles(frames.features(spark, sf))
 
 
+@register("segmented_features", REGISTRY["market_features"][1])
+def q_segmented_features(spark: SparkSession, sf: str) -> DataFrame:
+    """WF-21 over segments of SEGMENT_ROWS rows, as for series too long for one task."""
+    return frames.round_doubles(frames.features(spark, sf, segment_rows=SEGMENT_ROWS))
+
+
 STOCK_FEAT = ["annualised_return", "volatility", "sharpe", "beta", "corr_with_index", "momentum"]
 
 
@@ -257,6 +306,17 @@ def q_market_states(spark: SparkSession, sf: str) -> DataFrame:
         scr.state_color(F.col("market_state")).alias("state_color")))
 
 
+@register("segmented_states", o.with_ctes(
+    o.label_ctes(), f"""SELECT universe, date, {o.rnd('risk_score', D, 'risk_score')},
+  {o.rnd('risk_momentum', D, 'risk_momentum')}, market_state, y FROM labelled"""))
+def q_segmented_states(spark: SparkSession, sf: str) -> DataFrame:
+    """SC-1 ... SC-7 and SC-10 over segments, from the raw tables on."""
+    made = scr.compute_scores(frames.features(spark, sf, segment_rows=SEGMENT_ROWS), K, SEGMENT_ROWS)
+    made = scr.classify_state(made, K, segment_rows=SEGMENT_ROWS)
+    made = scr.crisis_label(made, K, segment_rows=SEGMENT_ROWS)
+    return frames.round_doubles(made.select(*K, "date", "risk_score", "risk_momentum", "market_state", "y"))
+
+
 @register("crisis_labels", o.with_ctes(
     o.label_ctes(), f"""SELECT universe, date, y,
   CASE market_state WHEN 'Stable' THEN 0 WHEN 'Low Risk' THEN 1 WHEN 'Stress' THEN 2

@@ -47,7 +47,8 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str, use_volume: bool = False,
-             with_cross: bool = True, materialize: bool = True) -> DataFrame:
+             with_cross: bool = True, materialize: bool = True,
+             segment_rows: int | None = None) -> DataFrame:
     """The cleaned market feature matrix per (universe, date).
 
     With ``materialize`` the matrix (one row per universe and day) is
@@ -59,5 +60,5 @@ def features(spark: SparkSession, sf_dir: str, use_volume: bool = False,
     daily = daily_orders(spark, sf_dir) if with_cross else panels.region_daily(spark, sf_dir)
     panel = panels.index_panel(spark, sf_dir, daily=daily)
     rets = symbol_returns(spark, sf_dir, panel, daily) if with_cross else None
-    out = fe.market_features(panel, rets, KEYS, use_volume=use_volume)
+    out = fe.market_features(panel, rets, KEYS, use_volume=use_volume, segment_rows=segment_rows)
     return cut_lineage(out) if materialize else out

@@ -8,3 +8,6 @@ EVAL_THRESHOLD = 50.0
 SPLIT_DATE = "1998-01-01"
 HORIZON = 3
 STATIC_MODEL = "Static Threshold"
+
+#: Rows of a segment in the queries that cut series (some 500 to 2,400 rows here).
+SEGMENT_ROWS = 200
