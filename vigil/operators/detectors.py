@@ -12,20 +12,25 @@ numbers returned to the driver, never data rows.
 from __future__ import annotations
 
 import math
+import uuid
 import warnings
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vigil.operators import isolation
+from vigil.operators.artefacts import Alert, FilledScaler, History
+from vigil.session import checkpoint_dir, cut_lineage
 
 # The input columns each detector prefers (absent ones skipped).
 LOGISTIC_COLUMNS = ["risk_score", "risk_velocity", "vol_20d", "max_drawdown", "vix_level",
@@ -98,6 +103,19 @@ def balanced_weight(train: DataFrame, label: str = "y") -> Column:
     return expr
 
 
+def scaler_stage(train: DataFrame, cols: Sequence[str]) -> FilledScaler:
+    """ML-1 as a pipeline stage, fitted on the filled training rows."""
+    params = fit_scaler(filled(train, cols), cols)
+    return FilledScaler(inputCols=list(cols), means=[params[c][0] for c in cols], sds=[params[c][1] for c in cols])
+
+
+def predictions(fitted: PipelineModel, labelled: DataFrame, model: str, part: str = "test") -> DataFrame:
+    """The prediction table of a detector, fresh or loaded, for one part. It sees
+    all rows first, as a history may reach back into the other part."""
+    scored = fitted.transform(labelled.drop("pred", "proba")).where(F.col("part") == part)
+    return _emit(scored, model, F.col("pred"), F.col("proba"))
+
+
 def _emit(df: DataFrame, model: str, pred: Column, proba: Column) -> DataFrame:
     return df.select(F.lit(model).alias("model"), "universe", "date", F.col("y").cast("int").alias("y"),
                      pred.cast("int").alias("pred"), proba.cast("double").alias("proba"))
@@ -115,24 +133,15 @@ def logistic(labelled: DataFrame, cols: Sequence[str] | None = None, scale: bool
     ``regParam = 1 / sum(weights)`` = 1 / n. Returns (predictions, fitted model).
     """
     cols = list(cols or pick_columns(labelled, LOGISTIC_COLUMNS))
-    data = filled(labelled, cols)
-    train = data.where(F.col("part") == "train")
-    if scale:
-        params = fit_scaler(train, cols)
-        data = apply_scaler(data, params)
-        train = data.where(F.col("part") == "train")
-    train = train.withColumn("w", balanced_weight(train))
-    n = train.count()
+    train = labelled.where(F.col("part") == "train")
+    scaler = scaler_stage(train, cols) if scale else FilledScaler(inputCols=cols)
+    train = train.withColumn("w", balanced_weight(train)).withColumn("y", F.col("y").cast("double"))
     lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w",
-                            maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
+                            maxIter=max_iter, regParam=1.0 / max(train.count(), 1), elasticNetParam=0.0,
                             standardization=False)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), lr])
-    fitted = pipe.fit(train.withColumn("y", F.col("y").cast("double")))
-    test = data.where(F.col("part") == "test")
-    scored = fitted.transform(test)
-    proba = vector_to_array("probability")[1]
-    pred = (proba >= cut) if cut is not None else F.col("prediction")
-    return _emit(scored, model, pred, proba), fitted
+    asm = VectorAssembler(inputCols=scaler.outputs(), outputCol="features")
+    fitted = Pipeline(stages=[scaler, asm, lr, Alert(cut=cut)]).fit(train)
+    return predictions(fitted, labelled, model), fitted
 
 
 def random_forest(labelled: DataFrame, n_trees: int = 200, max_depth: int = 8, seed: int = 42,
@@ -141,20 +150,21 @@ def random_forest(labelled: DataFrame, n_trees: int = 200, max_depth: int = 8, s
     the reference; trees are scale-invariant). Returns (predictions, model,
     importances DataFrame (ML-5))."""
     cols = pick_columns(labelled, FOREST_COLUMNS)
-    data = filled(labelled, cols)
-    train = data.where(F.col("part") == "train")
-    train = train.withColumn("w", balanced_weight(train))
+    train = labelled.where(F.col("part") == "train")
+    train = train.withColumn("w", balanced_weight(train)).withColumn("y", F.col("y").cast("double"))
+    fitted = forest_pipeline(cols, n_trees, max_depth, seed).fit(train)
+    imp = fitted.stages[-2].featureImportances.toArray().tolist()
+    importances = labelled.sparkSession.createDataFrame(list(zip(cols, [float(v) for v in imp])),
+                                                        "feature string, importance double")
+    return predictions(fitted, labelled, model), fitted, importances
+
+
+def forest_pipeline(cols: Sequence[str], n_trees: int, max_depth: int, seed: int) -> Pipeline:
+    """Inputs, forest on weights ``w``, alert."""
+    fill = FilledScaler(inputCols=list(cols))
     rf = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="w",
                                 numTrees=n_trees, maxDepth=max_depth, seed=seed)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), rf])
-    fitted = pipe.fit(train.withColumn("y", F.col("y").cast("double")))
-    scored = fitted.transform(data.where(F.col("part") == "test"))
-    proba = vector_to_array("probability")[1]
-    imp = fitted.stages[-1].featureImportances.toArray().tolist()
-    spark = labelled.sparkSession
-    importances = spark.createDataFrame(list(zip(cols, [float(v) for v in imp])),
-                                        "feature string, importance double")
-    return _emit(scored, model, F.col("prediction"), proba), fitted, importances
+    return Pipeline(stages=[fill, VectorAssembler(inputCols=fill.outputs(), outputCol="features"), rf, Alert()])
 
 
 def top_importances(importances: DataFrame, n: int = 15) -> DataFrame:
@@ -177,46 +187,70 @@ def fold_rows(labelled: DataFrame, stride: int, min_train: int,
     return rows.withColumn("fold", F.when(F.col("day") >= min_train, fold)), days
 
 
-def fold_training(rows: DataFrame, start: int, cut, train_window: int) -> DataFrame:
-    """Training rows of the fold that starts at day ``start`` (date ``cut``):
-    the days before it whose labels end before it too."""
-    return rows.where((F.col("day") >= start - train_window) & (F.col("day") < start)
-                      & (F.col("label_end") < F.lit(cut)))
+def fold_training(rows: DataFrame, days: DataFrame, stride: int, min_train: int,
+                  train_window: int) -> DataFrame:
+    """Every row once per fold that trains on it, as ``train_fold``: fold f starts
+    at day min_train + f * stride and trains on the ``train_window`` days before,
+    less the rows whose label looks past its start. A row is in train_window /
+    stride folds."""
+    starts = days.where((F.col("day") >= min_train) & ((F.col("day") - min_train) % stride == 0)).select(
+        F.floor((F.col("day") - min_train) / F.lit(stride)).cast("int").alias("train_fold"),
+        F.col("date").alias("cut"))
+    ahead = F.col("day") - min_train
+    first = F.greatest(F.floor(ahead / F.lit(stride)) + 1, F.lit(0)).cast("int")
+    last = F.floor((ahead + train_window) / F.lit(stride)).cast("int")
+    out = rows.where(last >= first).withColumn("train_fold", F.explode(F.sequence(first, last)))
+    return out.join(starts, "train_fold").where(F.col("label_end") < F.col("cut")).drop("cut")
 
 
 def walk_forward(labelled: DataFrame, stride: int = 252, min_train: int = 252,
                  train_window: int = 500, n_trees: int = 50, max_depth: int = 8,
-                 seed: int = 42, model: str = "Walk-forward RF", horizon: int = 3) -> DataFrame:
+                 seed: int = 42, model: str = "Walk-forward RF", horizon: int = 3,
+                 path: str | None = None, at_once: int = 4) -> DataFrame:
     """ML-6 (re-aimed): back-test folds of ``stride`` days. Fold k predicts its
     days for every series from a forest fitted on the preceding
     ``train_window`` days, less the rows whose label looks past the cut; folds
-    whose training rows hold no positive are skipped. One fit per fold."""
+    whose training rows hold no positive are skipped.
+
+    The training rows of all folds are written once, a folder per fold, and so
+    are the rows to be predicted; ``at_once`` folds are fitted side by side, each
+    in a scheduler pool of its own, and write their predictions to one folder,
+    which is read as one table: the plan does not grow with the folds, and a
+    fold that is fitted again replaces its own rows only."""
     cols = pick_columns(labelled, FOREST_COLUMNS)
-    data, days = fold_rows(filled(labelled, cols), stride, min_train, horizon)
-    data = data.withColumn("y", F.col("y").cast("double"))
-    cuts = days.where((F.col("day") >= min_train) & ((F.col("day") - min_train) % stride == 0))
-    outs = []
-    asm = VectorAssembler(inputCols=cols, outputCol="features")
-    for row in cuts.orderBy("day").collect():
-        start = row["day"]
-        train = fold_training(data, start, row["date"], train_window)
-        if train.where(F.col("y") == 1).limit(1).count() == 0:
-            continue
-        train = train.withColumn("w", balanced_weight(train))
-        rf = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="w",
-                                    numTrees=n_trees, maxDepth=max_depth, seed=seed)
-        fitted = Pipeline(stages=[asm, rf]).fit(train)
-        fold = data.where((F.col("day") >= start) & (F.col("day") < start + stride))
-        scored = fitted.transform(fold)
-        outs.append(_emit(scored, model, F.col("prediction"),
-                          vector_to_array("probability")[1]))
-    if not outs:
-        schema = "model string, universe string, date date, y int, pred int, proba double"
-        return labelled.sparkSession.createDataFrame([], schema)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    spark = labelled.sparkSession
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/walk-forward-{uuid.uuid4().hex}"
+    keep = ["universe", "date", "y", *cols]
+    rows, days = fold_rows(labelled.withColumn("y", F.col("y").cast("double")), stride, min_train, horizon)
+    rows = cut_lineage(rows.select(*dict.fromkeys([*keep, "day", "fold", "label_end"])))
+    train = fold_training(rows, days, stride, min_train, train_window).select(*keep, "train_fold")
+    train.repartition("train_fold").write.partitionBy("train_fold").parquet(f"{path}/train")
+    tests = rows.where(F.col("fold").isNotNull()).select(*keep, "fold")
+    tests.repartition("fold").write.partitionBy("fold").parquet(f"{path}/test")
+    schema = "model string, universe string, date date, y int, pred int, proba double, fold int"
+    counts: dict[int, dict[float, int]] = {}
+    written = spark.read.schema(train.schema).parquet(f"{path}/train") if not rows.isEmpty() else train
+    for r in written.groupBy("train_fold", "y").count().collect():
+        counts.setdefault(r["train_fold"], {})[r["y"]] = r["count"]
+
+    def fit(fold: int) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{fold % at_once}")
+        n = counts[fold]
+        weight = F.when(F.col("y") == 1, sum(n.values()) / (2.0 * n[1.0])).otherwise(
+            sum(n.values()) / (2.0 * n.get(0.0, 1)))
+        part = spark.read.parquet(f"{path}/train/train_fold={fold}").withColumn("w", weight)
+        fitted = forest_pipeline(cols, n_trees, max_depth, seed).fit(part)
+        ask = spark.read.parquet(f"{path}/test/fold={fold}")
+        _emit(fitted.transform(ask), model, F.col("pred"), F.col("proba")).write.mode("overwrite").parquet(
+            f"{path}/scored/fold={fold}")
+
+    asked = {r["fold"] for r in tests.select("fold").distinct().collect()}
+    folds = sorted(f for f, n in counts.items() if n.get(1.0) and f in asked)
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(inheritable_thread_target(spark)(fit), folds))
+    if not folds:
+        return spark.createDataFrame([], schema).drop("fold")
+    return spark.read.schema(schema).parquet(f"{path}/scored").drop("fold")
 
 
 # --------------------------------------------------------------------------
@@ -246,33 +280,27 @@ def sequence_perceptron(labelled: DataFrame, seq_len: int = 10, hidden: int = 32
     cut is the best-F1 threshold (ML-16) on the training rows (``tune_on =
     'test'`` reproduces the reference's tuning on the test rows).
     Rows without a full history predict 0 with NULL probability."""
-    from vigil.operators.evaluation import best_f1_threshold, with_positions
     cols = pick_columns(labelled, SEQUENCE_COLUMNS, 8)
-    data = filled(labelled, cols)
-    params = fit_scaler(data.where(F.col("part") == "train"), cols)
-    data = sequences(apply_scaler(data, params), cols, seq_len)
-    data = data.withColumn("x", F.flatten("seq"))
-    from pyspark.ml.functions import array_to_vector
-    data = data.withColumn("features", F.when(F.col("x").isNotNull(), array_to_vector("x")))
-    train = oversample(data.where((F.col("part") == "train") & F.col("x").isNotNull()))
-    k = seq_len * len(cols)
+    scaler = scaler_stage(labelled.where(F.col("part") == "train"), cols)
+    past = History(inputCols=scaler.outputs(), keys=["universe"], rows=seq_len)
+    data = past.transform(scaler.transform(labelled))
+    train = oversample(data.where((F.col("part") == "train") & F.col("has_history")))
     mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y",
-                                         layers=[k, hidden, hidden, 2], maxIter=max_iter,
-                                         seed=seed)
-    fitted = mlp.fit(train.withColumn("y", F.col("y").cast("double")))
-    has = data.where(F.col("x").isNotNull())
-    scored = fitted.transform(has).select("universe", "date", "part",
-                                          vector_to_array("probability")[1].alias("p1"))
-    full = data.select("universe", "date", "y", "part").join(scored.drop("part"),
-                                                             ["universe", "date"], "left")
-    tune = full.where((F.col("part") == tune_on) & F.col("p1").isNotNull())
-    cut_rows = best_f1_threshold(with_positions(
-        tune.select(F.lit(model).alias("model"), "universe", "date", "y",
-                    F.lit(0).alias("pred"), F.col("p1").alias("proba")))).collect()
-    cut = float(np.mean([r["threshold"] for r in cut_rows])) if cut_rows else 0.5
-    test = full.where(F.col("part") == "test")
-    pred = F.coalesce((F.col("p1") >= F.lit(cut)).cast("int"), F.lit(0))
-    return _emit(test, model, pred, F.col("p1")), fitted, cut
+                                         layers=[seq_len * len(cols), hidden, hidden, 2],
+                                         maxIter=max_iter, seed=seed)
+    net = mlp.fit(train.withColumn("y", F.col("y").cast("double")))
+    bare = PipelineModel([scaler, past, net, Alert(where="has_history")])
+    cut = pooled_cut(predictions(bare, labelled, model, tune_on).where(F.col("proba").isNotNull()))
+    fitted = PipelineModel([scaler, past, net, Alert(cut=cut, where="has_history")])
+    return predictions(fitted, labelled, model), fitted, cut
+
+
+def pooled_cut(preds: DataFrame) -> float:
+    """ML-16 for a pooled model: the best-F1 threshold over all series together."""
+    from vigil.operators.evaluation import best_f1_threshold
+    pooled = preds.select("model", F.lit("all").alias("universe"), "date", "y", F.lit(0).alias("pred"), "proba")
+    best = best_f1_threshold(pooled).first()
+    return float(best["threshold"]) if best else 0.5
 
 
 # --------------------------------------------------------------------------
@@ -438,7 +466,6 @@ def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float |
     with the highest mean of the binarised flag (or lowest mean score);
     states are also labelled by ascending mean score (ML-11).
     Returns (predictions, state_table, transitions)."""
-    from vigil.operators.evaluation import best_f1_threshold, with_positions
     spark = labelled.sparkSession
     if binarise_below is not None:
         data = labelled.withColumn("r0", (F.col("risk_score") < binarise_below).cast("double"))
@@ -503,10 +530,7 @@ def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float |
         "state int, label string, mean_score double, is_crisis boolean")
     res = res.withColumn("proba", F.col(f"p{crisis}"))
     tune = res.where(F.col("part") == tune_on)
-    cut_rows = best_f1_threshold(with_positions(tune.select(
-        F.lit(model).alias("model"), "universe", "date", "y", F.lit(0).alias("pred"),
-        "proba"))).collect()
-    cut = float(np.mean([r["threshold"] for r in cut_rows])) if cut_rows else 0.5
+    cut = pooled_cut(tune.select(F.lit(model).alias("model"), "universe", "date", "y", "proba"))
     test = res.where(F.col("part") == "test")
     preds = _emit(test, model, (F.col("proba") >= F.lit(cut)).cast("int"), F.col("proba"))
     tdf = spark.createDataFrame([(int(a), int(b), float(trans[a, b])) for a in range(k)
@@ -531,113 +555,17 @@ def state_count_sweep(labelled: DataFrame, counts: Sequence[int] = (2, 3),
 # ML-7 / ML-8 isolation forest
 # --------------------------------------------------------------------------
 
-def _c_factor(n: float) -> float:
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
-
-
 def isolation_forest(labelled: DataFrame, n_trees: int = 200, sample: int = 256,
                      contamination: float = 0.1, seed: int = 42,
                      model: str = "Isolation Forest"):
-    """ML-7 / ML-8 (re-aimed isolation forest).
-
-    Each training row joins the trees whose hash of (row, tree) falls under
-    ``sample / n``, so every tree sees about ``sample`` rows and the input is
-    never replicated per tree. Trees are grown in ``applyInPandas`` grouped
-    by tree id (bounded groups); the node table (<= 2 x sample rows per tree)
-    is broadcast to score rows in ``mapInPandas``. Prediction: anomaly when
-    the score exceeds the training ``1 - contamination`` quantile; the
-    probability is the score min-maxed over the scored rows.
-    """
-    spark = labelled.sparkSession
+    """ML-7 / ML-8 (re-aimed isolation forest, :mod:`vigil.operators.isolation`).
+
+    Prediction: anomaly when the score exceeds the training ``1 -
+    contamination`` quantile; the probability is the score min-maxed over the
+    test rows. Returns (predictions, fitted forest)."""
     cols = pick_columns(labelled, ISOLATION_COLUMNS)
-    data = filled(labelled, cols)
-    params = fit_scaler(data.where(F.col("part") == "train"), cols)
-    data = apply_scaler(data, params).withColumn("_x", F.array(*cols))
-    train = data.where(F.col("part") == "train")
-    n = train.count()
-    frac = min(1.0, sample / max(n, 1))
-    limit = int(frac * 2 ** 31)
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: F.pmod(F.hash(F.col("universe"), F.col("date"), t,
-                                             F.lit(seed)), F.lit(2 ** 31)) < F.lit(limit))
-    picked = train.select(F.explode(trees).alias("tree"), "_x")
-    depth_limit = int(math.ceil(math.log2(max(sample, 2))))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        x = np.vstack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, len(cols)))
-        rng = np.random.default_rng(seed * 100003 + tree)
-        rows = []
-
-        def build(idx, depth, node):
-            pts = x[idx]
-            if depth >= depth_limit or len(idx) <= 1 or np.all(pts.max(0) == pts.min(0)):
-                rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
-                return
-            spread = np.where(pts.max(0) > pts.min(0))[0]
-            f = int(rng.choice(spread))
-            lo, hi = pts[:, f].min(), pts[:, f].max()
-            thr = float(rng.uniform(lo, hi))
-            left, right = node * 2 + 1, node * 2 + 2
-            rows.append((tree, node, f, thr, left, right, len(idx), depth))
-            build(idx[pts[:, f] < thr], depth + 1, left)
-            build(idx[pts[:, f] >= thr], depth + 1, right)
-
-        build(np.arange(len(x)), 0, 0)
-        return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left",
-                                           "right", "size", "depth"])
-
-    schema = ("tree int, node long, feature int, threshold double, left long, right long, "
-              "size long, depth int")
-    nodes = picked.groupBy("tree").applyInPandas(grow, schema).toPandas()
-    bc = spark.sparkContext.broadcast(nodes)
-    c_n = _c_factor(min(sample, n))
-
-    def score(it):
-        tab = bc.value
-        per_tree = {t: g.set_index("node") for t, g in tab.groupby("tree")}
-        for pdf in it:
-            x = np.vstack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, len(cols)))
-            total = np.zeros(len(pdf))
-            for _t, g in per_tree.items():
-                node = np.zeros(len(pdf), dtype=np.int64)
-                path = np.zeros(len(pdf))
-                done = np.zeros(len(pdf), dtype=bool)
-                feat = g["feature"]
-                for _ in range(depth_limit + 1):
-                    f = feat.reindex(node).to_numpy()
-                    leaf = f < 0
-                    newly = leaf & ~done
-                    if newly.any():
-                        sz = g["size"].reindex(node[newly]).to_numpy().astype(float)
-                        path[newly] = g["depth"].reindex(node[newly]).to_numpy() + np.array(
-                            [_c_factor(s) for s in sz])
-                        done |= newly
-                    if done.all():
-                        break
-                    thr = g["threshold"].reindex(node).to_numpy()
-                    xf = x[np.arange(len(pdf)), np.where(leaf, 0, f).astype(int)]
-                    go_left = xf < thr
-                    nxt = np.where(go_left, g["left"].reindex(node).to_numpy(),
-                                   g["right"].reindex(node).to_numpy())
-                    node = np.where(done, node, nxt)
-                total += path
-            mean_path = total / max(len(per_tree), 1)
-            s = np.power(2.0, -mean_path / c_n) if c_n > 0 else np.zeros(len(pdf))
-            yield pd.DataFrame({"universe": pdf["universe"], "date": pdf["date"],
-                                "part": pdf["part"], "y": pdf["y"], "iso": s})
-
-    scored = data.select("universe", "date", "part", "y", "_x").mapInPandas(
-        score, "universe string, date date, part string, y int, iso double")
-    offset = scored.where(F.col("part") == "train").agg(
-        F.percentile(F.col("iso"), 1.0 - contamination)).first()[0]
-    test = scored.where(F.col("part") == "test")
-    bounds = test.agg(F.min("iso"), F.max("iso")).first()
-    lo, hi = (bounds[0] or 0.0), (bounds[1] or 0.0)
-    proba = (F.col("iso") - F.lit(lo)) / F.lit(hi - lo + 1e-9)
-    pred = (F.col("iso") > F.lit(offset)).cast("int")
-    return _emit(test, model, pred, proba), spark.createDataFrame(nodes)
+    train, test = (labelled.where(F.col("part") == p) for p in ("train", "test"))
+    scaler = fit_scaler(filled(train, cols), cols)
+    fitted = isolation.fit(train, test, cols, scaler, n_trees, sample, contamination, seed, "universe", "date")
+    scored = fitted.score(test, "universe", "date")
+    return _emit(scored, model, F.col("pred"), F.col("proba")), fitted

@@ -733,20 +733,32 @@ def q_sweep_append(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("model_persistence", None)
 def q_model_persistence(spark: SparkSession, sf: str) -> DataFrame:
-    """IO-11: a fitted logistic pipeline saved with Spark ML persistence,
-    loaded back and used to score the test rows."""
+    """IO-11: every detector saved, loaded and asked again: its predictions of
+    the test rows beside those of the detector that was saved."""
     from pyspark.ml import PipelineModel
+
+    from vigil.operators.isolation import IsolationForest
     data = detector_input(spark, sf)
-    preds, fitted = det.logistic(data, scale=False)
-    path = files.output_dir(spark, "logistic_model")
-    files.save_model(fitted, path)
-    loaded = PipelineModel.load(path)
-    cols = det.pick_columns(data, det.LOGISTIC_COLUMNS)
-    scored = loaded.transform(det.filled(data, cols).where(F.col("part") == "test"))
-    from pyspark.ml.functions import vector_to_array as v2a
-    return frames.round_doubles(scored.select("universe", "date", "y",
-                                              F.col("prediction").cast("int").alias("pred"),
-                                              v2a("probability")[1].alias("proba")))
+    made = [det.logistic(data)[:2], det.logistic(data, scale=False, cut=0.55, model="Logistic (unscaled)")[:2],
+            det.random_forest(data, n_trees=20)[:2], det.sequence_perceptron(data, max_iter=60)[:2],
+            det.isolation_forest(data, n_trees=50)]
+    out = None
+    for fresh, fitted in made:
+        name = fresh.select("model").first()["model"]
+        path = files.output_dir(spark, "model_" + "".join(c if c.isalnum() else "_" for c in name))
+        if isinstance(fitted, IsolationForest):
+            fitted.save(path)
+            test = data.where(F.col("part") == "test")
+            back = IsolationForest.load(spark, path).score(test, *K, "date")
+            back = back.select(F.lit(name).alias("model"), *K, "date", "y", "pred", "proba")
+        else:
+            files.save_model(fitted, path)
+            back = det.predictions(PipelineModel.load(path), data, name)
+        both = back.join(fresh.select(*K, "date", F.col("pred").alias("saved_pred"),
+                                      F.col("proba").alias("saved_proba")), [*K, "date"])
+        both = cut_lineage(both.select("model", *K, "date", "y", "pred", "proba", "saved_pred", "saved_proba"))
+        out = both if out is None else out.unionByName(both)
+    return frames.round_doubles(out)
 
 
 @register("dashboard_json", None)
