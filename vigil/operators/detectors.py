@@ -453,7 +453,7 @@ def mixture_component(cols: Sequence[str], weights, means, covs) -> Column:
 
 def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float | None = 42.0,
                  seed: int = 42, fit_on: str = "all", tune_on: str = "train",
-                 model: str = "Regime"):
+                 model: str = "Regime", crisis_by: str = "flag"):
     """ML-10 ... ML-13, ML-16 (re-aimed regime model).
 
     Emissions: a Gaussian mixture fitted by EM (:func:`fit_mixture`, one
@@ -463,7 +463,8 @@ def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float |
     (``lag`` + ``groupBy``). Per series, smoothed posteriors and the Viterbi
     path come from a forward-backward pass in ``applyInPandas`` keyed by
     universe (a series holds one row per day). The crisis state is the one
-    with the highest mean of the binarised flag (or lowest mean score);
+    with the highest mean of the binarised flag, or with ``crisis_by='score'``
+    (and without a flag) the one with the lowest mean score;
     states are also labelled by ascending mean score (ML-11).
     Returns (predictions, state_table, transitions)."""
     spark = labelled.sparkSession
@@ -517,7 +518,7 @@ def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float |
     res = raw.join(smoothed, ["universe", "date"])
     means_by = res.groupBy("state").agg(F.avg(flag_col).alias("m_flag"),
                                         F.avg("risk_score").alias("m_score")).collect()
-    if binarise_below is not None:
+    if binarise_below is not None and crisis_by == "flag":
         crisis = max(means_by, key=lambda r: r["m_flag"])["state"]
     else:
         crisis = min(means_by, key=lambda r: r["m_score"])["state"]
@@ -545,7 +546,7 @@ def state_count_sweep(labelled: DataFrame, counts: Sequence[int] = (2, 3),
     rows = []
     for k in counts:
         preds, _, _ = regime_model(labelled, n_states=k, binarise_below=binarise_below,
-                                   model=f"Regime k={k}")
+                                   model=f"Regime k={k}", crisis_by="score")
         b = best_f1_threshold(with_positions(preds)).agg(F.avg("best_f1")).first()[0]
         rows.append((int(k), float(b) if b is not None else None))
     return labelled.sparkSession.createDataFrame(rows, "n_states int, best_f1 double")

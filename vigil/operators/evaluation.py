@@ -39,10 +39,17 @@ def split_dates(df: DataFrame, split_date: str, keys: Sequence[str] = ("universe
         F.min_by("date", F.struct(dist, -F.unix_date(F.col("date")))).alias("split_at"))
 
 
-def chrono_split(df: DataFrame, split_date: str, keys: Sequence[str] = ("universe",)) -> DataFrame:
-    """Adds ``part`` = 'train' before the split row, 'test' from it on."""
+def chrono_split(df: DataFrame, split_date: str | None, keys: Sequence[str] = ("universe",),
+                 fraction: float = 0.15) -> DataFrame:
+    """Adds ``part`` = 'train' before the split row, 'test' from it on. Without a
+    split date the first ``fraction`` of each series' rows (rounded down) train."""
+    keys = list(keys)
+    if split_date is None:
+        rows = running_sums(cut_lineage(df), keys, F.unix_date("date"), {"_n": F.lit(1)}, {"_all": F.lit(1)})
+        first = F.col("_n") <= F.floor(F.col("_all") * F.lit(fraction))
+        return rows.withColumn("part", F.when(first, "train").otherwise("test")).drop("_n", "_all")
     cut = split_dates(df, split_date, keys)
-    out = df.join(cut, list(keys))
+    out = df.join(cut, keys)
     return out.withColumn("part", F.when(F.col("date") < F.col("split_at"), "train")
                           .otherwise("test")).drop("split_at")
 
@@ -268,6 +275,16 @@ def transition_accuracy(df: DataFrame, true_col: str, pred_col: str,
                       "n_true_transitions", "n_pred_transitions")
 
 
+def alert_timeline(preds: DataFrame, scores: DataFrame, models: Sequence[str]) -> DataFrame:
+    """EV-12: per (universe, date) the score, the truth and one alert column per
+    model of ``models``, named after it; NULL where a model gave none."""
+    names = {m: "".join(c if c.isalnum() else "_" for c in m.lower()).strip("_") for m in models}
+    wide = preds.groupBy("universe", "date").agg(
+        F.max("y").alias("y"), *[F.max(F.when(F.col("model") == m, F.col("pred"))).alias(n) for m, n in names.items()])
+    return wide.join(scores.select("universe", "date", "risk_score"), ["universe", "date"]).select(
+        "universe", "date", "risk_score", "y", *names.values())
+
+
 # --------------------------------------------------------------------------
 # EV-10 ... EV-14 reports
 # --------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import evaluation as ev
+from vigil.operators import features as fe
 from vigil.operators import scoring as scr
 from vigil.plans import frames
 from vigil.plans import oracle as o
@@ -28,8 +29,9 @@ def split_frame(spark: SparkSession, sf: str) -> DataFrame:
     return ev.chrono_split(labelled_frame(spark, sf), SPLIT_DATE, K)
 
 
-def static_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    test = split_frame(spark, sf).where(F.col("part") == "test")
+def static_predictions(spark: SparkSession, sf: str, data: DataFrame | None = None) -> DataFrame:
+    data = data if data is not None else split_frame(spark, sf)
+    test = data.where(F.col("part") == "test")
     pred, proba = ev.static_threshold(F.col("risk_score"), T)
     p = test.select(F.lit(STATIC_MODEL).alias("model"), *K, "date", "y",
                     pred.alias("pred"), proba.alias("proba"))
@@ -331,6 +333,19 @@ def q_state_distribution(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_days"), F.avg("y").alias("crisis_rate")))
 
 
+@register("fraction_split", o.with_ctes(
+    o.label_ctes(threshold=T, horizon=HORIZON),
+    """SELECT universe, CASE WHEN r <= floor(n * 0.15) THEN 'train' ELSE 'test' END AS part,
+  count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date
+FROM (SELECT universe, date, row_number() OVER (PARTITION BY universe ORDER BY date) AS r,
+             count(*) OVER (PARTITION BY universe) AS n FROM labelled) GROUP BY 1, 2"""))
+def q_fraction_split(spark: SparkSession, sf: str) -> DataFrame:
+    """PF-12 without a split date: the first 15 % of each series' rows train."""
+    s = ev.chrono_split(labelled_frame(spark, sf), None, K)
+    return s.groupBy(*K, "part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"),
+                                     F.max("date").alias("last_date"))
+
+
 @register("detection_timeline", o.with_ctes(
     pred_ctes(),
     f"""SELECT p.universe, p.date, {o.rnd('l.risk_score', 6, 'risk_score')}, p.y,
@@ -338,13 +353,10 @@ def q_state_distribution(spark: SparkSession, sf: str) -> DataFrame:
 FROM preds p JOIN labelled l ON l.universe = p.universe AND l.date = p.date"""))
 def q_detection_timeline(spark: SparkSession, sf: str) -> DataFrame:
     """EV-12: the table behind the detection timeline: score, truth and one
-    alert column per model (pivot over the known model names)."""
-    p = static_predictions(spark, sf)
-    lab = labelled_frame(spark, sf).select(*K, "date", "risk_score")
-    wide = (p.groupBy(*K, "date", "y").pivot("model", [STATIC_MODEL]).agg(F.first("pred"))
-            .withColumnRenamed(STATIC_MODEL, "static_threshold"))
-    return frames.round_doubles(wide.join(lab, [*K, "date"]).select(
-        *K, "date", "risk_score", "y", "static_threshold"))
+    alert column per model (the rule-based one)."""
+    from vigil.session import cut_lineage
+    data = cut_lineage(split_frame(spark, sf))
+    return frames.round_doubles(ev.alert_timeline(static_predictions(spark, sf, data), data, [STATIC_MODEL]))
 
 
 # --------------------------------------------------------------------------
@@ -454,6 +466,11 @@ from vigil.operators import detectors as det  # noqa: E402
 from vigil.session import cut_lineage  # noqa: E402
 
 
+def scr_columns() -> list[str]:
+    return ["stability_score", "volume_score", "network_score", "external_score", "risk_score",
+            "risk_velocity", "risk_momentum"]
+
+
 def detector_input(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled features + scores with the train / test part, checkpointed to
     the shared checkpoint folder: model fits scan their input many times and
@@ -517,18 +534,30 @@ def q_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     return _preds(det.walk_forward(detector_input(spark, sf)))
 
 
-@register("sequence_windows", None)
+SEQUENCE_AT_HAND = [c for c in det.SEQUENCE_COLUMNS if c in (*scr_columns(), *fe.FEATURE_COLUMNS)]
+
+
+@register("sequence_windows", o.with_ctes(
+    o.label_ctes(threshold=T, horizon=HORIZON) + [
+        "num AS (SELECT *, row_number() OVER (PARTITION BY universe ORDER BY date) AS i FROM labelled)"],
+    f"""SELECT t.universe, t.date, t.y, CAST(p.i - t.i + 11 AS INTEGER) AS step,
+  {', '.join(o.rnd(f'coalesce(p.{c}, 0)', 6, c) for c in SEQUENCE_AT_HAND)}
+FROM num t JOIN num p ON p.universe = t.universe AND p.i BETWEEN t.i - 10 AND t.i - 1 WHERE t.i > 10"""))
 def q_sequence_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-14: 10 previous rows of the sequence inputs per (universe, date)."""
+    """ML-14: 10 previous rows of the sequence inputs per (universe, date), a
+    row per step; rows without a whole history have none."""
     data = detector_input(spark, sf)
     cols = det.pick_columns(data, det.SEQUENCE_COLUMNS, 8)
     seq = det.sequences(det.filled(data, cols), cols)
-    return seq.select("universe", "date", "y", F.size("seq").alias("seq_len"),
-                      F.transform("seq", lambda r: F.transform(r, lambda v: F.round(v, 6)))
-                      .alias("seq"))
+    steps = seq.select("universe", "date", "y", F.posexplode("seq").alias("at", "v"))
+    return frames.round_doubles(steps.select("universe", "date", "y", (F.col("at") + 1).alias("step"),
+                                             *[F.col("v")[i].alias(c) for i, c in enumerate(cols)]))
 
 
-@register("oversampled_training", None)
+@register("oversampled_training", o.with_ctes(
+    o.label_ctes(threshold=T, horizon=HORIZON) + pred_ctes()[-2:-1],
+    """SELECT l.universe, l.y, CAST(sum(CASE WHEN l.y = 1 THEN 11 ELSE 1 END) AS BIGINT) AS n_rows
+FROM labelled l JOIN cut c ON l.universe = c.universe WHERE l.date < c.split_at GROUP BY 1, 2"""))
 def q_oversampled(spark: SparkSession, sf: str) -> DataFrame:
     """PF-13: training rows with each positive repeated 11 times."""
     train = detector_input(spark, sf).where(F.col("part") == "train")
@@ -570,9 +599,10 @@ def q_isolation(spark: SparkSession, sf: str) -> DataFrame:
     return _preds(preds)
 
 
-def all_predictions(spark: SparkSession, sf: str, forest_trees: int = 200) -> DataFrame:
-    data = detector_input(spark, sf)
-    parts = [static_predictions(spark, sf).drop("pos"),
+def all_predictions(spark: SparkSession, sf: str, forest_trees: int = 200,
+                    data: DataFrame | None = None) -> DataFrame:
+    data = data if data is not None else detector_input(spark, sf)
+    parts = [static_predictions(spark, sf, data).drop("pos"),
              det.logistic(data, cols=None)[0],
              det.random_forest(data, n_trees=forest_trees)[0],
              det.isolation_forest(data)[0],
@@ -585,6 +615,15 @@ def all_predictions(spark: SparkSession, sf: str, forest_trees: int = 200) -> Da
     return cut_lineage(ev.with_positions(out))
 
 
+@register("detection_timeline_all", None)
+def q_detection_timeline_all(spark: SparkSession, sf: str) -> DataFrame:
+    """EV-12 for every detector at hand: one alert column each."""
+    data = detector_input(spark, sf)
+    preds = all_predictions(spark, sf, forest_trees=50, data=data)
+    models = sorted(r["model"] for r in preds.select("model").distinct().collect())
+    return frames.round_doubles(ev.alert_timeline(preds, data, models))
+
+
 @register("detector_comparison", None)
 def q_detector_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """EV-10 / EV-11 over every detector: the model comparison table."""
@@ -677,7 +716,7 @@ def q_dashboard_document(spark: SparkSession, sf: str) -> DataFrame:
     return exp.document(tl, snap, stocks, models)
 
 
-@register("comparison_csv_roundtrip", None)
+@register("comparison_csv_roundtrip", REGISTRY["model_comparison"][1])
 def q_comparison_csv(spark: SparkSession, sf: str) -> DataFrame:
     """IO-6 + IO-8: write the comparison table as CSV, read it back with its schema."""
     cmp_df = ev.compare_models(ev.evaluate_models(report_predictions(spark, sf)))
@@ -687,7 +726,9 @@ def q_comparison_csv(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_comparison_csv(spark, path)
 
 
-@register("stock_csv_roundtrip", None)
+@register("stock_csv_roundtrip", "WITH " + stock_sql().split("WITH ", 1)[1].replace(
+    "\nSELECT universe, symbol, CASE WHEN NOT", "\n, sa AS (SELECT universe, symbol, CASE WHEN NOT", 1)
+    + ")\nSELECT universe, symbol, recommendation, reasons FROM sa")
 def q_stock_csv(spark: SparkSession, sf: str) -> DataFrame:
     """IO-7 + EX-3: stock table to CSV (reasons as JSON text), parsed back."""
     path = files.output_dir(spark, "stock_analysis_csv")
@@ -707,7 +748,8 @@ def q_features_parquet(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select(*made.columns)
 
 
-@register("prices_file_source", None)
+@register("prices_file_source", f"""SELECT * FROM ({REGISTRY["prices_panel"][1]})
+WHERE date >= DATE '1996-01-01' AND date < DATE '2001-01-01'""")
 def q_prices_files(spark: SparkSession, sf: str) -> DataFrame:
     """IO-1: landed price files read with an explicit schema and a date range."""
     path = files.output_dir(spark, "prices_parquet")
@@ -715,6 +757,92 @@ def q_prices_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.read_prices(spark, path, start="1996-01-01", end="2001-01-01")
 
 
+def land_prices(spark: SparkSession, sf: str) -> str:
+    """A folder as vendors leave it: two batches of CSV files per symbol, then a
+    correction of every 15th of a month, an empty file, a file with a header
+    only, and one with rows that do not parse."""
+    import uuid
+    root = files.output_dir(spark, f"landed_{uuid.uuid4().hex}")
+    made = cut_lineage(frames.round_doubles(panels_prices(spark, sf)).select(
+        "universe", "symbol", *[f.name for f in files.LANDED_SCHEMA.fields]))
+    early = F.col("date") < F.to_date(F.lit("1995-01-01"))
+    fixed = made.where(F.dayofmonth("date") == 15).withColumn("close", F.col("close") + 1)
+    wrong = made.where(F.dayofmonth("date") == 15).withColumn("close", F.lit(-1.0))
+    for batch, part in (("1", made.where(early)), ("1b", made.where(~early)), ("0", wrong), ("2", fixed)):
+        part.write.partitionBy("universe", "symbol").option("header", True).csv(f"{root}/batch={batch}")
+    text = lambda lines, where: spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(
+        f"{root}/batch=3/universe=LATE/symbol={where}")
+    head = "Date,Open,High,Low,Close,Volume"
+    text([head], "HEADER ONLY")
+    text([head, "1996-02-30,1,2,1,2,5", "1996-03-01,1,x,1,2,5", "1996-03-02,1,2,1,2,5", ",1,2,1,2,5"], "BROKEN")
+    spark.createDataFrame([], "value string").coalesce(1).write.text(f"{root}/batch=3/universe=LATE/symbol=EMPTY")
+    return root
+
+
+LANDED_SQL = f"""landed AS (
+  SELECT * REPLACE (close + CASE WHEN day(date) = 15 THEN 1 ELSE 0 END AS close)
+  FROM ({REGISTRY["prices_panel"][1]})
+  UNION ALL BY NAME SELECT 'LATE' AS universe, 'BROKEN' AS symbol, DATE '1996-03-02' AS date, 1.0::DOUBLE AS open,
+    2.0::DOUBLE AS high, 1.0::DOUBLE AS low, 2.0::DOUBLE AS close, 5.0::DOUBLE AS volume)"""
+
+
+@register("landed_prices", f"""WITH {LANDED_SQL} SELECT * FROM landed
+WHERE date >= DATE '1994-06-01' AND date < DATE '2001-01-01'""")
+def q_landed_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-1: landed files per symbol, later batches over earlier ones, a date range."""
+    return files.read_landed(spark, land_prices(spark, sf), start="1994-06-01", end="2001-01-01").rows
+
+
+@register("landed_report", f"""WITH {LANDED_SQL}
+SELECT universe, symbol, count(*) AS n_rows, CASE WHEN universe = 'LATE' THEN 3 ELSE 0 END::BIGINT AS n_bad
+FROM landed GROUP BY 1, 2
+UNION ALL SELECT 'LATE', x, 0, 0 FROM (VALUES ('HEADER ONLY'), ('EMPTY')) t(x)""")
+def q_landed_report(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-1 / IO-2: rows and rows set aside per symbol of the catalogue; those
+    without any file or row are named, not missed."""
+    late = spark.createDataFrame([("LATE", s) for s in ("BROKEN", "HEADER ONLY", "EMPTY")], "universe string, symbol string")
+    known = panels_prices(spark, sf).select("universe", "symbol").distinct().unionByName(late)
+    got = files.read_landed(spark, land_prices(spark, sf), known)
+    n = got.rows.groupBy("universe", "symbol").agg(F.count("*").alias("n_rows"))
+    bad = got.quarantine.groupBy("universe", "symbol").agg(F.count("*").alias("n_bad"))
+    n = n.unionByName(got.skipped.withColumn("n_rows", F.lit(0).cast("long")))
+    return n.join(bad, [*K, "symbol"], "left").fillna(0, ["n_bad"])
+
+
+@register("landed_panel", f"""WITH {LANDED_SQL}, wide AS (
+  SELECT universe, date, {', '.join(f"any_value(close) FILTER (symbol = '{s}') AS {s.lower().replace(' ', '_')}"
+                                    for s in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'))}
+  FROM landed GROUP BY 1, 2)
+SELECT * FROM wide WHERE coalesce(africa, america, asia, europe, middle_east) IS NOT NULL""")
+def q_landed_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-2: closes of the known symbols side by side, from landed files."""
+    from vigil.sources.tables import read_table
+    names = sorted(r["r_name"] for r in read_table(spark, sf, "region", ["r_name"]).collect())
+    wide = files.landed_panel(files.read_landed(spark, land_prices(spark, sf)).rows, names)
+    return wide.toDF(*[c.lower().replace(" ", "_") for c in wide.columns])
+
+
+@register("panel_csv_roundtrip", REGISTRY["index_panel"][1])
+def q_panel_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """IO-4: the raw index panel written as CSV and read back with its schema."""
+    made = REGISTRY["index_panel"][0](spark, sf)
+    path = files.output_dir(spark, "panel_csv")
+    files.write_table(made, path, "csv")
+    return spark.read.schema(made.schema).option("header", True).csv(path)
+
+
+@register("index_returns", o.with_ctes(o.base_ctes(), "SELECT universe, date, " + ", ".join(
+    o.rnd(f"""ln(CASE WHEN {c} IS NOT NULL THEN {c} END / nullif(last_value({c} IGNORE NULLS) OVER (
+      PARTITION BY universe ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))""", 6, f"{c}_ret")
+    for c in ("sector", "market", "fear", "fx")) + " FROM panel"))
+def q_index_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """WF-1 for all four index series, each over its own non-null rows."""
+    df = frames.index_panel(spark, sf)
+    for c in ("sector", "market", "fear", "fx"):
+        df = fe.log_returns(df, c, K, f"{c}_ret")
+    return frames.round_doubles(df.select(*K, "date", *[f"{c}_ret" for c in ("sector", "market", "fear", "fx")]))
+
+
 def panels_prices(spark: SparkSession, sf: str) -> DataFrame:
     from vigil.sources import panels
     return panels.prices_panel(spark, sf).select(*[f.name for f in files.PRICE_SCHEMA.fields])
@@ -726,15 +854,17 @@ def q_sweep_append(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
     path = files.output_dir(spark, f"sweep_{uuid.uuid4().hex}")
     data = detector_input(spark, sf)
-    files.append_rows(det.state_count_sweep(data, (2,), binarise_below=T + 2.0), path)
-    files.append_rows(det.state_count_sweep(data, (3,), binarise_below=T + 2.0), path)
-    return frames.round_doubles(spark.read.parquet(path))
+    for counts in ((2,), (3,), (2,)):  # the third run repeats the first
+        files.append_rows(det.state_count_sweep(data, counts, binarise_below=T + 2.0), path, f"k={counts[0]}")
+    return frames.round_doubles(spark.read.parquet(path).drop("run"))
 
 
-@register("model_persistence", None)
+@register("model_persistence", o.with_ctes(pred_ctes(), """SELECT m.model, p.universe, count(*) AS n_rows,
+  count(*) AS n_same FROM preds p, (VALUES ('Logistic'), ('Logistic (unscaled)'), ('Random Forest'), ('Sequence MLP'),
+  ('Isolation Forest')) m(model) GROUP BY 1, 2"""))
 def q_model_persistence(spark: SparkSession, sf: str) -> DataFrame:
-    """IO-11: every detector saved, loaded and asked again: its predictions of
-    the test rows beside those of the detector that was saved."""
+    """IO-11: every detector saved, loaded and asked again: test rows per model
+    and series, and those predicted exactly as by the detector that was saved."""
     from pyspark.ml import PipelineModel
 
     from vigil.operators.isolation import IsolationForest
@@ -756,9 +886,11 @@ def q_model_persistence(spark: SparkSession, sf: str) -> DataFrame:
             back = det.predictions(PipelineModel.load(path), data, name)
         both = back.join(fresh.select(*K, "date", F.col("pred").alias("saved_pred"),
                                       F.col("proba").alias("saved_proba")), [*K, "date"])
-        both = cut_lineage(both.select("model", *K, "date", "y", "pred", "proba", "saved_pred", "saved_proba"))
+        same = F.col("pred").eqNullSafe(F.col("saved_pred")) & F.col("proba").eqNullSafe(F.col("saved_proba"))
+        both = cut_lineage(both.groupBy("model", *K).agg(F.count(F.lit(1)).alias("n_rows"),
+                                                         F.count(F.when(same, 1)).alias("n_same")))
         out = both if out is None else out.unionByName(both)
-    return frames.round_doubles(out)
+    return out
 
 
 @register("dashboard_json", None)
