@@ -50,3 +50,24 @@ def test_no_cartesian_or_nested_loop_join(spark, build):
     plan = df._jdf.queryExecution().optimizedPlan().toString() + _plan(df)
     assert "Window" in plan and "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["cross_symbol_corr", "stock_features", "aligned_panel", "market_features", "risk_scores",
+                                  "stock_analysis", "dashboard_document", "segmented_features"])
+def test_every_feature_query_scans_orders_once(spark, monkeypatch, name):
+    """All frames a query writes and the one it returns read the raw orders once in all."""
+    import __spark_entry__ as entry
+    from vigil import session
+    seen = []
+
+    def count(df):
+        return sum("orders.parquet" in ln and "Location" in ln for ln in _plan(df).splitlines())
+
+    plain = session.cut_lineage
+    written = lambda df: (seen.append(count(df)), plain(df))[1]
+    import sys
+    for module in [m for k, m in sys.modules.items() if k.startswith("vigil.") and not k.startswith("vigil.llm")]:
+        if getattr(module, "cut_lineage", None) is plain:
+            monkeypatch.setattr(module, "cut_lineage", written)
+    seen.append(count(entry.queries()[name](spark, "/root/testdata/sf0.01")))
+    assert sum(seen) == 1

@@ -221,11 +221,11 @@ def cross_symbol_corr(returns: DataFrame, calendar: DataFrame, keys: Sequence[st
         stats = rn.without_halo(stats)
     z = F.when((F.col("_cnt") == window) & (F.col("_sd") > 0),
                F.transform("_lst", lambda x: (x - F.col("_mu")) / F.col("_sd")))
-    exploded = stats.select(*keys, "date", F.posexplode(z).alias("_k", "_z"))
-    s = exploded.groupBy(*keys, "date", "_k").agg(F.sum("_z").alias("_s"),
-                                                   F.count("_z").alias("_c"))
-    d = s.groupBy(*keys, "date").agg(F.sum(F.col("_s") * F.col("_s")).alias("_ss"),
-                                     F.min("_c").alias("_c"))
+    # S_t of a date's frame, one grouped sum per place in the frame.
+    sums = stats.withColumn("_z", z).groupBy(*keys, "date").agg(
+        F.count("_z").alias("_c"), *[F.sum(F.col("_z")[k]).alias(f"_s{k}") for k in range(window)])
+    d = sums.select(*keys, "date", "_c", sum((F.col(f"_s{k}") * F.col(f"_s{k}") for k in range(1, window)),
+                                             F.col("_s0") * F.col("_s0")).alias("_ss"))
     res = (calendar.select(*keys, "date").join(d, [*keys, "date"], "left")
            .join(n_sym, keys, "left"))
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("double")

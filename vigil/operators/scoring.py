@@ -49,7 +49,7 @@ def scale_columns(df: DataFrame, keys: Sequence[str],
                   wanted: dict[str, tuple[str, bool]]) -> DataFrame:
     """SC-1 for each ``name: (column, invert)``: min-max over the whole series
     x 100 (100 - that when inverted). A constant series scales to 0 (100
-    inverted); NULL stays NULL."""
+    inverted); NULL stays NULL, and so do rows whose series key is NULL."""
     if not wanted:
         return df
     ends = df.groupBy(*keys).agg(*[g(c).alias(f"_{e}_{n}") for n, (c, _) in wanted.items()
@@ -60,7 +60,7 @@ def scale_columns(df: DataFrame, keys: Sequence[str],
         u = F.when(F.col(c).isNotNull(), F.when(rng == 0, F.lit(0.0)).otherwise(safe_div(F.col(c) - lo, rng)))
         return ((F.lit(1.0) - u) if invert else u) * F.lit(100.0)
 
-    df = rn.with_columns_of(df, ends, keys)
+    df = df.join(ends, list(keys), "left")
     return df.withColumns({n: unit(n, c, inv) for n, (c, inv) in wanted.items()}).drop(
         *[f"_{e}_{n}" for n in wanted for e in ("lo", "hi")])
 

@@ -187,9 +187,10 @@ def q_ewma_gap_and_level(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT universe, date, {o.rnd('cross_bank_corr', D, 'cross_bank_corr')} FROM cross_c"))
 def q_cross_symbol_corr(spark: SparkSession, sf: str) -> DataFrame:
     """WF-10: mean pairwise 20-row correlation of the symbol returns."""
-    panel = frames.index_panel(spark, sf)
+    daily = frames.daily_orders(spark, sf)
+    panel = panels.index_panel(spark, sf, daily=daily)
     cal = fe.common_calendar(panel, K).select(*K, "date")
-    rets = frames.symbol_returns(spark, sf, panel)
+    rets = frames.symbol_returns(spark, sf, panel, daily)
     return frames.round_doubles(fe.cross_symbol_corr(rets, cal, K))
 
 
@@ -244,9 +245,10 @@ FROM sf2"""
 def q_stock_features(spark: SparkSession, sf: str) -> DataFrame:
     """WF-20: per-symbol rolling return, volatility, Sharpe, beta, correlation
     and momentum against the sector index return."""
-    panel = frames.index_panel(spark, sf)
+    daily = frames.daily_orders(spark, sf)
+    panel = panels.index_panel(spark, sf, daily=daily)
     cal = fe.common_calendar(panel, K).select(*K, "date", F.col("bank_ret").alias("index_ret"))
-    rets = frames.symbol_returns(spark, sf, panel)
+    rets = frames.symbol_returns(spark, sf, panel, daily)
     out = fe.stock_features(rets, cal, K)
     return frames.round_doubles(out.select(*K, "symbol", "date", *STOCK_FEAT))
 
@@ -259,8 +261,9 @@ SCORE_COLS = ["stability_score", "volume_score", "network_score", "external_scor
               "risk_score", "risk_velocity", "risk_momentum"]
 
 
-def scores_frame(spark: SparkSession, sf: str, use_volume: bool = False) -> DataFrame:
-    return scr.compute_scores(frames.features(spark, sf, use_volume=use_volume), K)
+def scores_frame(spark: SparkSession, sf: str, use_volume: bool = False,
+                 daily: DataFrame | None = None) -> DataFrame:
+    return scr.compute_scores(frames.features(spark, sf, use_volume=use_volume, daily=daily), K)
 
 
 def states_frame(spark: SparkSession, sf: str, use_volume: bool = False) -> DataFrame:
@@ -436,8 +439,9 @@ WHERE r.ret IS NOT NULL"""))
 def q_aligned_panel(spark: SparkSession, sf: str) -> DataFrame:
     """JN-2 / JN-3: index panel and symbol returns on their common dates
     (inner equi-join on universe and date)."""
-    panel = frames.index_panel(spark, sf)
-    rets = frames.symbol_returns(spark, sf, panel).where(F.col("ret").isNotNull())
+    daily = frames.daily_orders(spark, sf)
+    panel = panels.index_panel(spark, sf, daily=daily)
+    rets = frames.symbol_returns(spark, sf, panel, daily).where(F.col("ret").isNotNull())
     out = panel.join(rets, [*K, "date"]).select(*K, "date", "symbol", "sector", "market", "ret")
     return frames.round_doubles(out)
 

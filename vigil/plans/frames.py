@@ -48,7 +48,7 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str, use_volume: bool = False,
              with_cross: bool = True, materialize: bool = True,
-             segment_rows: int | None = None) -> DataFrame:
+             segment_rows: int | None = None, daily: DataFrame | None = None) -> DataFrame:
     """The cleaned market feature matrix per (universe, date).
 
     With ``materialize`` the matrix (one row per universe and day) is
@@ -57,7 +57,8 @@ def features(spark: SparkSession, sf_dir: str, use_volume: bool = False,
     re-analysing and re-optimising the whole raw-table lineage after every
     adaptive stage, and a lost executor does not replay the raw scans.
     """
-    daily = daily_orders(spark, sf_dir) if with_cross else panels.region_daily(spark, sf_dir)
+    if daily is None:
+        daily = daily_orders(spark, sf_dir) if with_cross else panels.region_daily(spark, sf_dir)
     panel = panels.index_panel(spark, sf_dir, daily=daily)
     rets = symbol_returns(spark, sf_dir, panel, daily) if with_cross else None
     out = fe.market_features(panel, rets, KEYS, use_volume=use_volume, segment_rows=segment_rows)

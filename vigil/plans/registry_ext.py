@@ -12,6 +12,7 @@ from vigil.plans import frames
 from vigil.plans import oracle as o
 from vigil.plans.catalog import K, REGISTRY, register, states_frame
 from vigil.plans.params import EVAL_THRESHOLD, HORIZON, SPLIT_DATE, STATIC_MODEL
+from vigil.sources import panels
 
 T = EVAL_THRESHOLD
 
@@ -368,13 +369,15 @@ from vigil.plans.catalog import scores_frame  # noqa: E402
 
 
 def stock_table(spark: SparkSession, sf: str, include_index: bool = False,
-                window: int = 20, scores: DataFrame | None = None) -> DataFrame:
+                window: int = 20, scores: DataFrame | None = None,
+                daily: DataFrame | None = None) -> DataFrame:
     """ST-8 on the feature calendar: symbol returns (missing -> 0), index
     return and the latest market score of each universe."""
-    scores = scores if scores is not None else scores_frame(spark, sf)
+    daily = daily if daily is not None else frames.daily_orders(spark, sf)
+    scores = scores if scores is not None else scores_frame(spark, sf, daily=daily)
     cal = scores.select(*K, "date", F.col("bank_ret").alias("index_ret"))
     market = scores.groupBy(*K).agg(F.max_by("risk_score", "date").alias("market_score"))
-    rets = frames.symbol_returns(spark, sf)
+    rets = frames.symbol_returns(spark, sf, daily=daily)
     aligned = stk.align_returns(rets, cal, K, include_index=include_index)
     return stk.score_all_stocks(aligned, market, K, window)
 
@@ -707,12 +710,14 @@ def q_dashboard_document(spark: SparkSession, sf: str) -> DataFrame:
     """EX-1 / EX-8 / EX-9: the nested document per universe (rule-based
     model results, stocks, ordered timeline arrays, snapshot, macro data)."""
     from vigil.session import cut_lineage
-    scores = cut_lineage(scores_frame(spark, sf))
+    daily = frames.daily_orders(spark, sf)
+    scores = cut_lineage(scores_frame(spark, sf, daily=daily))
     tl = exp.timeline(scores)
-    snap = exp.snapshot(scores, frames.index_panel(spark, sf))
-    stocks = exp.stocks_payload(stock_table(spark, sf, scores=scores))
-    models = exp.models_payload(ev.compare_models(ev.evaluate_models(
-        report_predictions(spark, sf))))
+    snap = exp.snapshot(scores, panels.index_panel(spark, sf, daily=daily))
+    stocks = exp.stocks_payload(stock_table(spark, sf, scores=scores, daily=daily))
+    made = scr.crisis_label(scr.classify_state(scores, K), K, threshold=T, horizon=HORIZON)
+    preds = static_predictions(spark, sf, ev.chrono_split(made, SPLIT_DATE, K))
+    models = exp.models_payload(ev.compare_models(ev.evaluate_models(cut_lineage(preds))))
     return exp.document(tl, snap, stocks, models)
 
 
@@ -844,7 +849,6 @@ def q_index_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panels_prices(spark: SparkSession, sf: str) -> DataFrame:
-    from vigil.sources import panels
     return panels.prices_panel(spark, sf).select(*[f.name for f in files.PRICE_SCHEMA.fields])
 
 
