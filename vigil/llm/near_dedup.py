@@ -7,13 +7,17 @@ lists of retained values bring together nodes whose sketches overlap; the
 overlap inside the bottom k of both sketches' union estimates the similarity
 and filters, and the exact Jaccard similarity of the full sets decides.
 
-Which values are indexed. Two sets at the threshold agree in at least ``need``
-of the bottom k of their union, so each node indexes only its rarest
-k - need + 1 values in an order common to all nodes (by the number of nodes that
-retain them); any linked pair then meets in at least one list. For sets up to k
-the bound is exact; for larger ones the agreement is a hypergeometric count
-around k * threshold, and ``need`` lies so far below (28 of 64 at 0.8) that a link
-at the threshold is missed with a chance of about 3e-11.
+What is indexed. For sets up to k, the retained values are the set: two linked
+ones share so many that each node need only index its rarest ones, in an order
+common to all nodes (by the number of nodes that retain them), and any linked
+pair meets in at least one list. Sets above k, whose values are common in a large
+corpus, index pairs of neighbouring retained values instead: neighbours in the
+union that both sets hold are neighbours in both sketches, and two unrelated sets
+hardly share any. Linked sets share so many of these (8 of 63 at least, at 0.8)
+that again only the rarest are indexed. Sets a little above k can link with some
+below it and index both. What a set above k must share is a bound on a random
+count (of agreeing values, of agreeing neighbours), set from the threshold so
+that a link exactly at it is missed with a chance of at most 5e-11 (MISS).
 
 Lists of any length. Nothing is paired within a list at first: every node is
 compared with the most typical node of each of its lists. The links found join
@@ -30,6 +34,7 @@ further columns are carried along.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +49,11 @@ from .common import (BROADCAST_ROWS, free_name, materialise, release, scratch, s
 from .graph import components
 
 K = 64
-NEED = 28
+#: Chance with which a link of sets above K, exactly at the threshold, may be missed.
+MISS = 5e-11
 #: Members from which a component counts as big, and nodes of a block.
 BIG = 8
 BLOCK = 256
-#: Sketches whose estimate falls this far below the threshold are dropped, if
-#: they also agree in fewer than ``need`` values.
-MARGIN = 0.25
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_SPACE = np.zeros(256, bool)
@@ -133,6 +136,26 @@ def with_sets(docs: DataFrame, width: int, k: int | None) -> DataFrame:
     return docs.mapInArrow(lambda it: _sets(it, width, k), schema)
 
 
+def safe_overlap(k: int, threshold: float) -> int:
+    """Values of the union's bottom k that two sets at the threshold share, but
+    for a chance of MISS: draws of k, taken as independent."""
+    chance = [math.comb(k, i) * threshold ** i * (1 - threshold) ** (k - i) for i in range(k + 1)]
+    return max(n for n in range(k + 1) if sum(chance[:n]) <= MISS)
+
+
+def safe_neighbours(k: int, threshold: float) -> int:
+    """The same for neighbours of the union's bottom k that both sets hold."""
+    chance = {(0, 0): 1.0}  # (last one shared, neighbours so far)
+    for _ in range(k):
+        after: dict[tuple[int, int], float] = {}
+        for (last, n), p in chance.items():
+            after[1, n + last] = after.get((1, n + last), 0.0) + p * threshold
+            after[0, n] = after.get((0, n), 0.0) + p * (1 - threshold)
+        chance = after
+    counts = [sum(p for (_, n), p in chance.items() if n == i) for i in range(k)]
+    return max(n for n in range(k) if sum(counts[:n]) <= MISS)
+
+
 def prefix_length(n: int, k: int, need: int, threshold: float) -> int:
     """How many of its rarest retained values a node of set size n indexes."""
     if n > k:
@@ -144,18 +167,27 @@ def prefix_length(n: int, k: int, need: int, threshold: float) -> int:
 
 
 def indexed_values(nodes: DataFrame, k: int, need: int, threshold: float) -> DataFrame:
-    """(value, node, size, score) of every node's rarest retained values that
-    another node retains too. Rarity is a value's exact number of nodes; score
-    sums these, so it is highest for the most typical node of a group."""
-    each = nodes.select("node", "x_size", F.explode("x_sketch").alias("value"))
+    """(value, node, size, score) of every node's rarest entries (retained
+    values, or pairs of neighbours) that another node has too. Rarity is an
+    entry's exact number of nodes; score sums these, so it is highest for the
+    most typical node of a group."""
+    near = safe_neighbours(k, threshold)
+    some = nodes.where(F.col("x_size") <= int(k / threshold)) if near else nodes
+    each = some.select("node", "x_size", F.lit(False).alias("pair"), F.explode("x_sketch").alias("value"))
+    if near:
+        two = F.transform(F.sequence(F.lit(0), F.lit(k - 2)), lambda i: F.xxhash64(
+            F.get("x_sketch", i), F.get("x_sketch", i + 1), F.lit(2)))
+        each = each.unionByName(nodes.where(F.col("x_size") > k).select(
+            "node", "x_size", F.lit(True).alias("pair"), F.explode(two).alias("value")))
     counts = each.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # At most k values a node.
-    held = each.join(counts, "value").groupBy("node", "x_size").agg(
+    # At most k entries a node.
+    held = each.join(counts, "value").groupBy("node", "x_size", "pair").agg(
         F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"), F.sum("n").alias("score"))
-    most = F.when(F.col("x_size") > k, F.lit(k - need + 1)).otherwise(F.get(
+    most = F.when(F.col("pair"), F.lit(k - near)).when(F.col("x_size") > k, F.lit(k - need + 1)).otherwise(F.get(
         F.array(*[F.lit(prefix_length(n, k, need, threshold)) for n in range(k + 1)]),
         F.col("x_size").cast("int")))
-    alone = F.least(F.col("x_size"), F.lit(k)) - F.size("v")  # rarest of all, and of no use
+    entries = F.when(F.col("pair"), F.lit(k - 1)).otherwise(F.least(F.col("x_size"), F.lit(k)))
+    alone = entries - F.size("v")  # rarest of all, and of no use
     left = F.greatest(most - alone, F.lit(0)).cast("int")
     return held.where(left > 0).select(
         F.explode(F.slice("v", F.lit(1), left)).alias("v"), "node", F.col("x_size").alias("size"),
@@ -167,10 +199,11 @@ def _compatible(a: Column, b: Column, percent: int) -> Column:
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, full: DataFrame, width: int, k: int,
-            percent: int, need: int = NEED) -> DataFrame:
+            percent: int, need: int | None = None) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold: first the estimate from the
     sketches' union (``need`` of ``k`` values agreeing pass, as for the lists), then the
     full sets (sketches of small sets are full)."""
+    need = safe_overlap(k, percent / 100) if need is None else need
     sk = nodes.select("node", "x_size", "x_sketch")
     two = pairs.join(sk.withColumnsRenamed({"node": "b", "x_size": "n_b", "x_sketch": "s_b"}), "b").join(
         sk.withColumnsRenamed({"node": "a", "x_size": "n_a", "x_sketch": "s_a"}), "a")
@@ -182,7 +215,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, full: DataFrame, width: int, k:
     rated = materialise(rated.where(
         F.when((F.col("n_a") <= k) & (F.col("n_b") <= k),
                100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both")))
-        .otherwise(F.col("estimate") >= min(need / k, percent / 100 - MARGIN))), "estimated")
+        .otherwise(F.col("estimate") >= need / k)), "estimated")
     small = (F.col("n_a") <= k) & (F.col("n_b") <= k)
     large = rated.where(~small).select("a", "b")
     whole = full_sets(large, full, width)
@@ -206,11 +239,11 @@ def full_sets(pairs: DataFrame, full: DataFrame, width: int) -> DataFrame:
         "node", F.col("x_sketch").alias("set")), "sets")
 
 
-def link_classes(rows: DataFrame, width: int = 2, percent: int = 80, k: int = K,
-                 need: int = NEED) -> DataFrame:
+def link_classes(rows: DataFrame, width: int = 2, percent: int = 80, k: int = K) -> DataFrame:
     """(x_set, root): component of every set that is linked to another one.
     ``rows``: x_row, x_text (binary), x_size, x_set, x_sketch."""
     threshold = percent / 100
+    need = safe_overlap(k, threshold)
     # Of equal sets the first row is the node; the others are set aside.
     named = rows.where("x_size > 0").select("x_row", "x_set")
     same = named.groupBy("x_set").agg(F.min("x_row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -314,15 +347,14 @@ def _against_big(rest: DataFrame, roots: DataFrame, full: DataFrame, width: int,
 
 
 def mark_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2,
-              percent: int = 80, carry: list[str] | None = None, k: int = K,
-              need: int = NEED) -> DataFrame:
+              percent: int = 80, carry: list[str] | None = None, k: int = K) -> DataFrame:
     """``carry`` columns (all by default) with n_shingles, component_id, kept
     and ``first_row`` (exactly one row of each component)."""
     small_batches(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     names = {c: f"c{i}_" for i, c in enumerate(carry)}
     rows = _rows(docs, id_col, text_col, width, k, names)
-    keyed, least = _classes(rows, width, percent, k, need, list(names.values()))
+    keyed, least = _classes(rows, width, percent, k, list(names.values()))
     out = keyed.join(least.where("x_n > 1"), "x_class", "left")
     taken = list(carry)
     id_ = F.when(F.col("x_n").isNull(), F.col("x_id")).otherwise(F.col("x_least"))
@@ -343,12 +375,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, k: int,
                        .withColumnRenamed("x_copy", "x_text"), "rows")
 
 
-def _classes(rows: DataFrame, width: int, percent: int, k: int, need: int,
+def _classes(rows: DataFrame, width: int, percent: int, k: int,
              carried: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows with their class (component, or set) and, per class, its size and
     its least id and row."""
     with scratch() as made:
-        linked = link_classes(rows, width, percent, k, need)
+        linked = link_classes(rows, width, percent, k)
     linked = materialise(linked, "linked")
     release(rows.sparkSession, made)
     # A class: the component's root, or the set itself if it has no link.
@@ -369,7 +401,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     small_batches(docs.sparkSession)
     names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
     rows = _rows(docs, id_col, text_col, width, K, names)
-    keyed, least = _classes(rows, width, percent, K, NEED, [])
+    keyed, least = _classes(rows, width, percent, K, [])
     gone = materialise(keyed.join(least.where("x_n > 1"), "x_class").where(
         F.col("x_first.x_row") != F.col("x_row")).select("x_row"), "gone")
     return without(rows.select(*names.values(), "x_row"), gone, "x_row").select(
