@@ -103,6 +103,37 @@ def test_near_nodes_meet_big_components_in_blocks(spark, monkeypatch):
     assert got == brute.components(texts, 2, 80)
 
 
+def test_near_long_lists_give_the_same_links(spark, monkeypatch):
+    """Texts around one passage: everyone shares its lists, few are similar
+    enough; short and long lists, whole and in small blocks, agree with pairs."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(90)]
+    texts = {}
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(rng.choice([10, 30, 60]))]
+        texts[i] = " ".join(own[:5] + passage + own[5:])
+    for i in range(60, 90):  # pairs of near copies of these
+        w = texts[i - 60].split()
+        w[rng.randrange(len(w))] = "changed"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute.components(texts, 2, 80)
+    monkeypatch.setattr(near_dedup, "BIG", 1000)  # no component is big: lists decide
+    for short, block in ((1000, 256), (2, 16)):
+        monkeypatch.setattr(near_dedup, "SHORT", short)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.mark_near(docs).collect()} == want
+
+
+def test_bounds_come_from_the_threshold():
+    """What linked sets share, against drawn sets at the threshold."""
+    assert near_dedup.safe_overlap(64, 0.8) == 28 and near_dedup.safe_neighbours(64, 0.8) == 8
+    assert near_dedup.safe_neighbours(64, 0.5) == 0 < near_dedup.safe_overlap(64, 0.5)
+    rng = np.random.default_rng(1)
+    draws = rng.random((20_000, 64)) < 0.8
+    assert (draws[:, 1:] & draws[:, :-1]).sum(axis=1).min() >= 8 and draws.sum(axis=1).min() >= 28
+
+
 def test_near_edges(documents, none):
     out = near_dedup.mark_near(documents.withColumn("kept", F.lit(1)).withColumn("x_set", F.lit(2))).cache()
     assert out.count() == documents.count() and "kept_" in out.columns

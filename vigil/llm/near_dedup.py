@@ -22,9 +22,11 @@ that a link exactly at it is missed with a chance of at most 5e-11 (MISS).
 Lists of any length. Nothing is paired within a list at first: every node is
 compared with the most typical node of each of its lists. The links found join
 nodes into components, and only nodes of different components that share a list
-are compared further: with each other if both components are small (and sizes
-compatible), and in blocks with the members of a big component, where a node's
-first link is all that is needed. A list held by one component makes no pair.
+are compared further, with the members of a big component in blocks, where a
+node's first link is all that is needed, and with each other if both components
+are small (and sizes compatible): in pairs if the list is short, in blocks that
+give only links if it is not. A list held by one component makes no pair, and
+lists with the same members count once.
 
 Defined cases: null text and text without words have an empty set, no link and
 their own component; a null id never is the component's id unless all are null;
@@ -51,8 +53,10 @@ from .graph import components
 K = 64
 #: Chance with which a link of sets above K, exactly at the threshold, may be missed.
 MISS = 5e-11
-#: Members from which a component counts as big, and nodes of a block.
+#: Members from which a component counts as big, of a list whose members are
+#: paired, and nodes of a block.
 BIG = 8
+SHORT = 32
 BLOCK = 256
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -271,27 +275,94 @@ def link_classes(rows: DataFrame, width: int = 2, percent: int = 80, k: int = K)
         (F.coalesce("members", F.lit(1)) > BIG).alias("big"))
     mixed = at.groupBy("value").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
     rest = materialise(at.join(mixed.select("value"), "value"), "mixed")
-    links = links.unionByName(_small_pairs(rest.where("NOT big"), star, nodes, full, width, k, percent, need))
+    links = links.unionByName(_within_lists(rest.where("NOT big"), star, nodes, full, width, k, percent, need))
     links = links.unionByName(_against_big(rest, roots, full, width, percent))
     return nodes.select("node", "x_set").join(components(links), "node").select("x_set", "root")
 
 
-def _small_pairs(rest: DataFrame, done: DataFrame, nodes: DataFrame, full: DataFrame, width: int,
-                 k: int, percent: int, need: int) -> DataFrame:
-    """Links between nodes of different small components that share a list."""
+def _within_lists(rest: DataFrame, done: DataFrame, nodes: DataFrame, full: DataFrame, width: int,
+                  k: int, percent: int, need: int) -> DataFrame:
+    """Links between nodes of different small components that share a list.
+
+    A list is split by size class (partners are of one class or of neighbours),
+    and lists with the same members count once. The members of short lists are
+    paired, at most SHORT pairs a member; longer ones meet in blocks of full
+    sets, and a block gives no more links than it joins components."""
     step = float(np.log(100 / percent))
-    rest = rest.withColumn("cls", F.floor(F.log("size") / step).cast("long"))
-    left = rest.select("value", F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"),
-                       F.col("node").alias("a"), F.col("size").alias("n_1"), F.col("root").alias("r_1"))
-    right = rest.select("value", "cls", F.col("node").alias("b"), F.col("size").alias("n_2"),
-                        F.col("root").alias("r_2"))
+    own = F.floor(F.log("size") / step).cast("long")
+    each = rest.withColumn("own", own).select(
+        "value", "node", "size", "root", "own", F.explode(F.array("own", F.col("own") - 1)).alias("cls"))
+    # Members are told by their number and two 64-bit hashes of all of them.
+    lists = each.groupBy("value", "cls").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.min("own").alias("least"), F.bit_xor(F.xxhash64("node")).alias("h1"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")).where("lo < hi AND least = cls")
+    kept = lists.groupBy("cls", "n", "h1", "h2").agg(F.min("value").alias("value")).drop("h1", "h2")
+    held = materialise(each.join(kept, ["value", "cls"]), "held")
+    short = held.where(F.col("n") <= SHORT)
+    left = short.where("own = cls").select("value", "cls", F.col("node").alias("a"), F.col("size").alias("n_1"),
+                                           F.col("root").alias("r_1"))
+    right = short.select("value", "cls", F.col("node").alias("b"), F.col("size").alias("n_2"),
+                         F.col("root").alias("r_2"))
     # The smaller set is a (ties by node); b is of a's size class or the next.
     cross = left.join(right, ["value", "cls"]).where(
         (F.col("r_1") != F.col("r_2"))
         & ((F.col("n_1") < F.col("n_2")) | ((F.col("n_1") == F.col("n_2")) & (F.col("a") < F.col("b"))))
         & (100 * F.col("n_1") >= percent * F.col("n_2")))
     pairs = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return confirm(pairs.join(done, ["a", "b"], "left_anti"), nodes, full, width, k, percent, need)
+    links = confirm(pairs.join(done, ["a", "b"], "left_anti"), nodes, full, width, k, percent, need)
+    return links.unionByName(_long_lists(held.where(F.col("n") > SHORT), full, width, percent))
+
+
+def _long_lists(held: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join components among the members of each list, block by block."""
+    if held.isEmpty():
+        return held.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    whole = full_sets(held.select(F.col("node").alias("a"), F.col("node").alias("b")), full, width)
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    left = held.where("own = cls").withColumn("i", mine).withColumn("j", every)
+    right = held.withColumn("j", mine).withColumn("i", every)
+    left, right = (x.join(whole, "node").select(*[F.col(c).alias(f"{c}_{side}") for c in (
+        "value", "cls", "i", "j", "node", "root", "set")]).toDF("value", "cls", "i", "j", "node", "root", "set")
+        for x, side in ((left, "l"), (right, "r")))
+
+    def meet(u: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
+
+        if len(u) and len(m):
+            nodes, roots = m["node"].to_list(), m["root"].to_list()
+            for node, root, good in zip(u["node"], u["root"], _similar(u["set"], m["set"], percent)):
+                for at in good:
+                    one, two = find(int(root)), find(int(roots[at]))
+                    if one != two:
+                        top[one] = two
+                        found.append((int(node), int(nodes[at])))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    keys = ("value", "cls", "i", "j")
+    return materialise(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "a long, b long"), "met")
+
+
+def _similar(some: pd.Series, those: pd.Series, percent: int) -> Iterator[np.ndarray]:
+    """For each set of ``some`` the places in ``those`` of the sets that reach the threshold."""
+    sizes = np.array([len(x) for x in those])
+    codes, place = np.unique(np.concatenate(those.to_list()), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    for s in some:
+        at = np.searchsorted(codes, s)
+        at = at[at < len(codes)]
+        has = np.zeros(len(codes), bool)
+        has[at[np.isin(codes[at], s)]] = True
+        both = np.add.reduceat(has[place].astype(np.int64), starts)
+        yield np.flatnonzero(100 * both >= percent * (sizes + len(s) - both))
 
 
 def _against_big(rest: DataFrame, roots: DataFrame, full: DataFrame, width: int, percent: int) -> DataFrame:
@@ -325,18 +396,9 @@ def _against_big(rest: DataFrame, roots: DataFrame, full: DataFrame, width: int,
     def meet(u: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(u) and len(m):
-            sizes = np.array([len(x) for x in m["set"]])
-            codes, place = np.unique(np.concatenate(m["set"].to_list()), return_inverse=True)
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            for node, s in zip(u["node"], u["set"]):
-                at = np.searchsorted(codes, s)
-                at = at[at < len(codes)]
-                has = np.zeros(len(codes), bool)
-                has[at[np.isin(codes[at], s)]] = True
-                both = np.add.reduceat(has[place].astype(np.int64), starts)
-                good = 100 * both >= percent * (sizes + len(s) - both)
-                if good.any():
-                    found.append((int(m["node"].iloc[int(np.argmax(good))]), int(node)))
+            for node, good in zip(u["node"], _similar(u["set"], m["set"], percent)):
+                if len(good):
+                    found.append((int(m["node"].iloc[int(good[0])]), int(node)))
         return pd.DataFrame(found, columns=["a", "b"])
 
     # Aliased, as both sides hold columns of the same tables.
