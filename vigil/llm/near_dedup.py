@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,18 +184,17 @@ def indexed_values(nodes: DataFrame, k: int, need: int, threshold: float) -> Dat
         each = each.unionByName(nodes.where(F.col("x_size") > k).select(
             "node", "x_size", F.lit(True).alias("pair"), F.explode(two).alias("value")))
     counts = each.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # At most k entries a node.
-    held = each.join(counts, "value").groupBy("node", "x_size", "pair").agg(
-        F.sort_array(F.collect_list(F.struct("n", "value"))).alias("v"), F.sum("n").alias("score"))
     most = F.when(F.col("pair"), F.lit(k - near)).when(F.col("x_size") > k, F.lit(k - need + 1)).otherwise(F.get(
         F.array(*[F.lit(prefix_length(n, k, need, threshold)) for n in range(k + 1)]),
         F.col("x_size").cast("int")))
     entries = F.when(F.col("pair"), F.lit(k - 1)).otherwise(F.least(F.col("x_size"), F.lit(k)))
-    alone = entries - F.size("v")  # rarest of all, and of no use
-    left = F.greatest(most - alone, F.lit(0)).cast("int")
-    return held.where(left > 0).select(
-        F.explode(F.slice("v", F.lit(1), left)).alias("v"), "node", F.col("x_size").alias("size"),
-        "score").select("v.value", "node", "size", "score")
+    # The entries that no other node has are the rarest of all, and of no use.
+    mine = Window.partitionBy("node", "pair")
+    held = each.join(counts, "value").withColumns({
+        "place": F.row_number().over(mine.orderBy("n", "value")), "met": F.count(F.lit(1)).over(mine),
+        "score": F.sum("n").over(mine)})
+    return held.where(F.col("place") <= most - (entries - F.col("met"))).select(
+        "value", "node", F.col("x_size").alias("size"), "score")
 
 
 def _compatible(a: Column, b: Column, percent: int) -> Column:
