@@ -57,7 +57,7 @@ MISS = 5e-11
 #: paired, and nodes of a block.
 BIG = 8
 SHORT = 32
-BLOCK = 256
+BLOCK = 512
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _IS_SPACE = np.zeros(256, bool)
