@@ -45,7 +45,7 @@ def test_no_training_label_looks_past_the_cut(spark):
     data, days = det.fold_rows(spark.createDataFrame(rows, "universe string, date date, y int"), 60, 120, 3)
     for start in (120, 180, 240):
         cut = days.where(F.col("day") == start).first()["date"]
-        train = det.fold_training(data, start, cut, 100)
+        train = det.fold_training(data, days, 60, 120, 100).where(F.col("train_fold") == (start - 120) // 60)
         last = train.agg(F.max("date"), F.max("label_end")).first()
         assert train.select("universe").distinct().count() == (2 if start > 120 or DAY[103] < cut else 1)
         assert last[0] < cut and last[1] < cut
