@@ -56,7 +56,7 @@ def test_one_query_per_operator_over_whole_tables(spark):
 
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(bool(re.match(rf"op{n}_", x)) for x in names) == 1
     for name in ("op2_html_blocks", "op7_licences", "op8_repeats", "op10_sentencepiece", "op4_quality_rules"):
         table = "pages" if name.startswith("op2") else "documents"
