@@ -7,8 +7,11 @@ the same or another text, is removed. Three steps:
    the smallest hash is its anchor, and a segment is a run of windows with one
    anchor place, so equal windows lie in segments of equal anchors. Only anchors
    that occur twice matter; segments with equal bytes are one string from here.
-2. Strings of anchors shared by different strings are dealt into buckets. A
-   bucket's collection is suffix-sorted column by column: each round inserts one
+2. Strings of anchors shared by different strings are trimmed to the windows
+   that can repeat: windows with nearly the same number of bytes before the anchor
+   have most bytes in common, and where no other string of the anchor has these
+   bytes, none of the windows stands elsewhere. What is left is dealt into
+   buckets. A bucket's collection is suffix-sorted column by column: each round inserts one
    symbol per string (the next from its end), updating the collection's
    Burrows-Wheeler transform and the common prefixes of neighbouring suffixes in
    sequential passes. A window whose suffix shares ``window`` bytes with a
@@ -50,6 +53,8 @@ GRAM = 80
 #: Strings of a bucket on average, and most strings of one anchor in a bucket.
 BUCKET_STRINGS = 600
 HOT = 2000
+#: Places of the anchor in a window that are screened by one key.
+STEP = 16
 #: Bytes that are cut together, and bits of a place among them.
 TOGETHER = 1 << 22
 PLACE_BITS = 24
@@ -82,7 +87,8 @@ class Cutter:
         return self.up[:n], self.down[:n]
 
     def cut(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text, start, windows, anchor, string) of every segment."""
+        """(text, start, windows, ahead, anchor, string) of every segment; the
+        anchor stands ``ahead`` bytes behind the start."""
         parts, owner, offset = [], [], []
         for i, t in enumerate(texts):  # long texts in parts that share all windows
             for o in range(0, max(1, len(t) - self.window + 1), TOGETHER):
@@ -96,13 +102,12 @@ class Cutter:
             while to < len(parts) and (to == at or held + len(parts[to]) <= TOGETHER):
                 held += len(parts[to])
                 to += 1
-            part, start, windows, anchor, string = self._cut(parts[at:to])
+            part, start, *rest = self._cut(parts[at:to])
             part = part + at
-            done.append((np.array(owner, np.int64)[part], np.array(offset, np.int64)[part] + start,
-                         windows, anchor, string))
+            done.append((np.array(owner, np.int64)[part], np.array(offset, np.int64)[part] + start, *rest))
             at = to
         if not done:
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
+            return tuple(np.zeros(0, np.int64) for _ in range(6))
         return tuple(np.concatenate(x) for x in zip(*done))
 
     def _cut(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -110,7 +115,7 @@ class Cutter:
         n, k, wide = len(b), self.gram, self.window - self.gram + 1
         none = np.zeros(0, np.int64)
         if n < self.window:
-            return none, none, none, none, none
+            return (none,) * 6
         size = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(size)
         up, down = self._powers(n + 1)
@@ -134,7 +139,7 @@ class Cutter:
         first[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
         start = np.flatnonzero(first)
         if not len(start):
-            return none, none, none, none, none
+            return (none,) * 6
         stop = np.append(start[1:], count)  # windows outside any text end a run early
         seen = np.concatenate(([0], np.cumsum(inside)))
         windows = seen[stop] - seen[start]
@@ -142,8 +147,8 @@ class Cutter:
         with np.errstate(over="ignore"):
             string = _mix((sums[start + long] - sums[start]) * down[start] + long.astype(np.uint64))
         text = np.searchsorted(ends, start, side="right")
-        return (text, start - (ends - size)[text], windows, gram[place[start]].view(np.int64),
-                string.view(np.int64))
+        return (text, start - (ends - size)[text], windows, place[start] - start,
+                gram[place[start]].view(np.int64), string.view(np.int64))
 
 
 def sort_columns(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +260,7 @@ def _with_spans(texts: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def segments(texts: DataFrame, window: int) -> DataFrame:
-    """(row, start, windows, anchor, string) of texts (row, text binary)."""
+    """(row, start, windows, ahead, anchor, string) of texts (row, text binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(window)
@@ -266,37 +271,70 @@ def segments(texts: DataFrame, window: int) -> DataFrame:
             for i in range(batch.num_rows):
                 held.append(batch.column(1)[i].as_py())
                 if i + 1 == batch.num_rows or sum(map(len, held[-1:])) + len(held) * 3000 > 2 * TOGETHER:
-                    text, start, windows, anchor, string = cutter.cut(held)
+                    text, start, windows, ahead, anchor, string = cutter.cut(held)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(rows[first:][text]), pa.array(start.astype(np.int32)),
-                         pa.array(windows.astype(np.int32)), pa.array(anchor), pa.array(string)],
-                        names=["row", "start", "windows", "anchor", "string"])
+                         pa.array(windows.astype(np.int32)), pa.array(ahead.astype(np.int32)),
+                         pa.array(anchor), pa.array(string)],
+                        names=["row", "start", "windows", "ahead", "anchor", "string"])
                     first, held = i + 1, []
 
-    return texts.mapInArrow(run, "row long, start int, windows int, anchor long, string long")
+    return texts.mapInArrow(run, "row long, start int, windows int, ahead int, anchor long, string long")
 
 
 def string_bytes(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(anchor, string, body) of strings ``wanted`` (row, start, windows, anchor,
-    string), cut from the texts that hold them."""
-    places = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "string")).alias("at"))
+    """(anchor, string, ahead, body) of strings ``wanted`` (row, start, windows,
+    ahead, anchor, string), cut from the texts that hold them."""
+    places = wanted.groupBy("row").agg(F.collect_list(
+        F.struct("start", "windows", "ahead", "anchor", "string")).alias("at"))
     held = _with_spans(texts, materialise(places, "places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            out: list[tuple[int, int, bytes]] = []
+            out: list[tuple[int, int, int, bytes]] = []
             for text, at in zip(batch.column(names.index("text")), batch.column(names.index("at"))):
                 raw = text.as_py()
                 for p in at.as_py():
                     s = p["start"]
-                    out.append((p["anchor"], p["string"], raw[s:s + p["windows"] + window - 1]))
-            a, s, body = zip(*out) if out else ((), (), ())
+                    out.append((p["anchor"], p["string"], p["ahead"], raw[s:s + p["windows"] + window - 1]))
+            a, s, ahead, body = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(body, pa.binary())],
-                names=["anchor", "string", "body"])
+                [pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(ahead, pa.int32()),
+                 pa.array(body, pa.binary())], names=["anchor", "string", "ahead", "body"])
 
-    return held.select("text", "at").mapInArrow(run, "anchor long, string long, body binary")
+    return held.select("text", "at").mapInArrow(run, "anchor long, string long, ahead int, body binary")
+
+
+def trimmed(bodies: DataFrame, window: int) -> DataFrame:
+    """(anchor, string, skip, body) of strings with windows that can repeat, cut to
+    them; ``skip`` bytes went in front.
+
+    A window with l bytes before its anchor equals one of another string only if
+    that has the same l bytes before and window - gram - l behind. For STEP values
+    of l, the bytes that all their windows hold are one key; a key that a single
+    string has rules out all of them. Equal hashes of different bytes keep more,
+    never less.
+    """
+    gram = min(GRAM, window)
+    slack = window - gram
+    keys = []
+    for least in range(0, slack + 1, STEP):
+        behind = max(0, slack - least - STEP + 1)
+        low = F.greatest(F.lit(least), F.col("ahead") - F.octet_length("body") + window)
+        high = F.least(F.lit(least + STEP - 1), F.col("ahead"))
+        common = F.substring("body", F.col("ahead") - least + 1, F.lit(least + gram + behind))
+        keys.append(F.when(low <= high, F.struct(F.xxhash64("anchor", F.lit(least), common).alias("key"),
+                                                 low.alias("low"), high.alias("high"))))
+    each = bodies.select("anchor", "string", F.explode(F.array_compact(F.array(*keys))).alias("k")).select(
+        "anchor", "string", "k.*")
+    again = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    part = each.join(again, "key", "left_semi").groupBy("anchor", "string").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"))
+    skip = F.col("ahead") - F.col("high")
+    return bodies.join(part, ["anchor", "string"]).select(
+        "anchor", "string", skip.alias("skip"),
+        F.substring("body", skip + 1, F.col("high") - F.col("low") + window).alias("body"))
 
 
 def sorted_runs(bodies: DataFrame, strings: int, window: int) -> DataFrame:
@@ -307,9 +345,9 @@ def sorted_runs(bodies: DataFrame, strings: int, window: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         flags = repeating_windows(pdf["body"].tolist(), window)
-        for a, s, f in zip(pdf["anchor"], pdf["string"], flags):
+        for a, s, skip, f in zip(pdf["anchor"], pdf["string"], pdf["skip"], flags):
             if f.any():
-                found += [(a, s, int(x), int(y)) for x, y in zip(*_runs_of(f))]
+                found += [(a, s, int(x) + skip, int(y) + skip) for x, y in zip(*_runs_of(f))]
         return pd.DataFrame(found, columns=["anchor", "string", "first", "past"])
 
     return bodies.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy(
@@ -323,11 +361,12 @@ def counted_runs(bodies: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = batch.column(2)[i].as_py()
+                skip, raw = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
                 n = len(raw) - window + 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column(0)[i].as_py()] * n, pa.int64()),
-                     pa.array([batch.column(1)[i].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()),
+                     pa.array([batch.column(1)[i].as_py()] * n, pa.int64()),
+                     pa.array(range(skip, skip + n), pa.int32()),
                      pa.array([hashlib.blake2b(raw[j:j + window], digest_size=16).digest() for j in range(n)],
                               pa.binary())], names=["anchor", "string", "first", "w"])
 
@@ -343,7 +382,7 @@ def spans(texts: DataFrame, window: int) -> DataFrame:
     shared = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     found = materialise(segs.join(shared, "anchor"), "shared")
     strings = materialise(found.groupBy("anchor", "string").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows")).alias("at")), "strings")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "windows", "ahead")).alias("at")), "strings")
     # Strings that occur twice repeat whole.
     twice = strings.where("n > 1").select("anchor", "string")
     whole = found.join(twice, ["anchor", "string"]).select(
@@ -351,12 +390,13 @@ def spans(texts: DataFrame, window: int) -> DataFrame:
     # Others may share windows with the other strings of their anchor.
     mixed = strings.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("kinds"), F.max(F.col("n") == 1).alias("single")).where("kinds > 1 AND single")
-    open_ = strings.join(mixed, "anchor").select("at.*", "anchor", "string", "kinds")
-    open_ = materialise(open_, "open")
-    bodies = materialise(string_bytes(texts, open_.drop("kinds"), window), "bodies")
-    hot = open_.where(F.col("kinds") > HOT).select("anchor").distinct()
+    open_ = materialise(strings.join(mixed, "anchor").select("at.*", "anchor", "string"), "open")
+    bodies = materialise(string_bytes(texts, open_, window), "bodies")
+    bodies = materialise(trimmed(bodies, window), "trimmed")
+    hot = materialise(bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(
+        F.col("kinds") > HOT).select("anchor"), "hot")
     cool = _by_size(hot, bodies, "anchor", "left_anti")
-    runs = sorted_runs(cool, open_.where(F.col("kinds") <= HOT).count(), window)
+    runs = sorted_runs(cool, cool.count(), window)
     if not hot.isEmpty():
         runs = runs.unionByName(counted_runs(_by_size(hot, bodies, "anchor", "left_semi"), window))
     runs = materialise(runs, "runs")
