@@ -10,14 +10,17 @@ joined in page order.
 The labeller is trained on a bounded sample of pages (``TRAIN_PAGES``, the least
 by a hash of the id) whose labels a teacher takes from unambiguous markup, and
 on variants of them: containers renamed as sites name them, and menus, sidebars,
-notices, adverts, forms and reader comments put around and into the article. So
-it knows markup that the sample itself lacks. Pages are labelled where they lie;
+notices, adverts, forms and reader comments put around and into the article. In a
+part of the variants all names are random letters on plain elements, so that only
+lengths, links, sentences, leaves and the order of blocks tell. So the labeller
+knows markup that the sample itself lacks. Pages are labelled where they lie;
 only the sample and the weights pass through the driver.
 
 Defined cases: null html counts as empty and gives an empty text; a page without
 main text too; unclosed and unknown tags are read as browsers do (a new
 paragraph ends the last one); an unfinished tag, comment or script at the end is
-markup; a page of any length is read whole; repeated rows get equal results; an
+markup; a page of any length and depth is read whole, in time and memory that grow
+with its length; a block with a score of exactly 0 is not main text; repeated rows get equal results; an
 empty table gives an empty result; further columns are carried along.
 """
 
@@ -66,10 +69,49 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path tokens, text, characters inside links) of every leaf block."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Path:
+    """The distinct tokens of the open elements: those of the parent and own ones.
+    A child without new tokens shares its parent's path."""
+
+    __slots__ = ("parent", "own", "marks", "_vector")
+
+    def __init__(self, parent: Path | None = None, own: tuple[str, ...] = ()):
+        self.parent, self.own, self._vector = parent, own, None
+        self.marks = parent.marks if parent else 0
+        for t in own:
+            self.marks |= _MARKS.get(t, 0)
+
+    @classmethod
+    def of(cls, tokens: tuple[str, ...]) -> Path:
+        return cls(cls(), tuple(dict.fromkeys(tokens)))
+
+    def vector(self) -> np.ndarray:
+        """Hashed tokens, added to the nearest vector made above."""
+        todo, at = [], self
+        while at is not None and at._vector is None:
+            todo.append(at)
+            at = at.parent
+        v = np.zeros(PATH_DIM, np.float32) if at is None else at._vector
+        for node in reversed(todo):
+            if node.own:
+                v = v.copy()
+                for t in node.own:
+                    h = zlib.crc32(t.encode())
+                    # Two places a token: a collision of one is told apart by the other.
+                    v[h % PATH_DIM] += 1
+                    v[(h // PATH_DIM) % PATH_DIM] += 0.5 if h & 1 else -0.5
+            node._vector = v
+        return v
+
+
+def read_blocks(page: str) -> list[tuple[Path, str, int]]:
+    """(path, text, characters inside links) of every leaf block."""
+    out: list[tuple[Path, str, int]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: dict[str, list[int]] = {}  # places of the open elements of a tag
+    blocks: list[int] = []  # places of open block elements
+    known: set[str] = set()  # tokens of the open elements
+    root = Path()
     held: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -78,14 +120,20 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((tuple(t for _, names in stack for t in names), text, linked))
+                out.append((stack[-1][1] if stack else root, text, linked))
             held.clear()
         linked = 0
 
     def pop_to(n: int) -> None:
         nonlocal in_link
-        in_link -= sum(t == "a" for t, _ in stack[n:])
-        del stack[n:]
+        while len(stack) > n:
+            gone, path = stack.pop()
+            in_link -= gone == "a"
+            opened[gone].pop()
+            if gone in BLOCK:
+                blocks.pop()
+            if path is not (stack[-1][1] if stack else root):
+                known.difference_update(path.own)
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -105,18 +153,15 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in BLOCK:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
+            same = opened.get(tag)
+            if same and (tag in BLOCK or not blocks or blocks[-1] < same[-1]):
+                pop_to(same[-1])
             continue
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and any(opened.get(t) for t in ("p", *CLOSES.get(tag, ()))):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p" or stack[i][0] in CLOSES.get(tag, ()):
                     pop_to(i)
@@ -125,7 +170,13 @@ def read_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 elif stack[i][0] in BARS:
                     break
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, _tokens(tag, m[3])))
+            above = stack[-1][1] if stack else root
+            own = tuple(t for t in dict.fromkeys(_tokens(tag, m[3])) if t not in known)
+            known.update(own)
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append((tag, Path(above, own) if own else above))
             in_link += tag == "a"
     flush()
     return out
@@ -142,13 +193,17 @@ OTHER = {"nav", "aside", "footer", "form", "button", "select", "option", "label"
          ".complementary", ".contentinfo", ".navigation"}
 
 
-def teacher(path: tuple[str, ...]) -> int | None:
-    """1 inside an article and nothing else known, 0 in or outside, None if the
-    page's markup says neither."""
-    known = set(path)
-    if known & OTHER or ("header" in known and not known & {"article"}):
+_IN_MAIN, _IN_OTHER, _IN_HEADER, _IN_ARTICLE = 1, 2, 4, 8
+_MARKS = {t: _IN_MAIN * (t in MAIN | MAIN_NAMES) + _IN_OTHER * (t in OTHER) + _IN_HEADER * (t == "header")
+          + _IN_ARTICLE * (t == "article") for t in MAIN | MAIN_NAMES | OTHER | {"header"}}
+
+
+def teacher(path: Path) -> int:
+    """1 inside an article and nothing else known, else 0."""
+    marks = path.marks
+    if marks & _IN_OTHER or marks & (_IN_HEADER | _IN_ARTICLE) == _IN_HEADER:
         return 0
-    return 1 if known & (MAIN | MAIN_NAMES) else 0
+    return 1 if marks & _IN_MAIN else 0
 
 
 #: How variants name articles and boilerplate (tag, then class words).
@@ -167,11 +222,57 @@ _BODY = [("p",), ("h1",), ("h2",), ("p", "b"), ("ul", "li"), ("blockquote", "p")
          ("section", "p"), ("figure", "figcaption"), ()]
 
 
-def variant(pages: list[list], rng: random.Random) -> list[tuple[tuple[str, ...], str, int, int]]:
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_PLAIN = ["div", "div", "div", "section", "table tr td", "div div", "span"]
+_SHORT = [("a",), ("a",), ("ul", "li", "a"), ("ul", "li", "a"), ("span", "a"), ("p", "a"), ("span",), ("p",), ("li",), ()]
+_LONG = [("p",), ("p",), ("p",), ("p",), ("div",), ("div", "p"), ("p", "b"), ("blockquote",), ()]
+
+
+def masked(pages: list[list], rng: random.Random) -> list[tuple[Path, str, int, int]]:
+    """A made-up page whose names say nothing: running text under a heading is the
+    article, short pieces and links before and after it are not."""
+    pool = [b[1] for _ in range(4) for b in rng.choice(pages)]
+    if rng.random() < 0.6:  # words of no known language
+        pool = [re.sub("[^\\W\\d_]", lambda _: rng.choice(_LETTERS), t) for t in pool]
+    long = [t for t in pool if len(t.split()) > 7] or pool
+    out: list[tuple[Path, str, int, int]] = []
+
+    def box() -> tuple[str, ...]:
+        name = "".join(rng.choice(_LETTERS) for _ in range(rng.randint(3, 10)))
+        return tuple(rng.choice(_PLAIN).split()) + (("." + name,) if rng.random() < 0.85 else ())
+
+    def add(path: tuple[str, ...], text: str, main: int) -> None:
+        out.append((Path.of(("html", "body") + path), text, len(text) if "a" in path else 0, main))
+
+    def words(least: int, most: int) -> str:
+        return " ".join(rng.choice(pool).split()[:rng.randint(least, most)]).rstrip(".!?…")
+
+    def boiler(kinds: int) -> None:
+        for _ in range(kinds):
+            under, leaf = box(), rng.choice(_SHORT)
+            for _ in range(rng.randint(1, 6)):
+                text = words(1, 4) if "a" in leaf or rng.random() < 0.6 else words(2, 9)
+                add(under + leaf, rng.choice(("© ", "")) + text if "a" not in leaf else text, 0)
+
+    boiler(rng.randint(0, 3))
+    under = box()
+    if rng.random() < 0.8:
+        add(under + (rng.choice(("h1", "h1", "h2")),), words(2, 14), 1)
+    for _ in range(rng.randint(1, 12)):
+        if rng.random() < 0.08:
+            add(under + (rng.choice(("h2", "h3")),), words(1, 8), 1)
+        add(under + rng.choice(_LONG), rng.choice(long), 1)
+    boiler(rng.randint(0, 3))
+    if rng.random() < 0.5:
+        add(box() + rng.choice(((), (), ("p",), ("span",))), rng.choice(("© ", "© 2019 ", "")) + words(1, 8), 0)
+    return out
+
+
+def variant(pages: list[list], rng: random.Random) -> list[tuple[Path, str, int, int]]:
     """A made-up page: blocks of random pages under other containers."""
     pool = [b for _ in range(3) for b in rng.choice(pages)]
     take = lambda: rng.choice(pool)
-    out: list[tuple[tuple[str, ...], str, int, int]] = []
+    out: list[tuple[Path, str, int, int]] = []
     top = ("html", ".lang", "body") if rng.random() < 0.3 else ("html", "body")
 
     def boiler(under: tuple[str, ...], kinds: list[str]) -> None:
@@ -181,14 +282,14 @@ def variant(pages: list[list], rng: random.Random) -> list[tuple[tuple[str, ...]
             if rng.random() < 0.6:
                 text = " ".join(text.split()[:rng.randint(1, 12)])
             leaf = rng.choice(_LEAVES)
-            out.append((box + leaf, text, len(text) if "a" in leaf else 0, 0))
+            out.append((Path.of(box + leaf), text, len(text) if "a" in leaf else 0, 0))
 
     for _ in range(rng.randint(0, 3)):
         boiler(top, _ASIDE)
     art = top + tuple(rng.choice(_ARTICLES).split())
     for _ in range(rng.randint(1, 14)):
         _, text, _ = take()
-        out.append((art + rng.choice(_BODY), text, 0, 1))
+        out.append((Path.of(art + rng.choice(_BODY)), text, 0, 1))
         if rng.random() < 0.12:
             boiler(art, _INSIDE)
     for _ in range(rng.randint(0, 3)):
@@ -199,32 +300,18 @@ def variant(pages: list[list], rng: random.Random) -> list[tuple[tuple[str, ...]
 
 
 class Vectors:
-    """Vectors of blocks, with bounded caches of hashed tokens and paths."""
+    """Vectors of blocks, with a bounded cache of hashed words."""
 
     MOST = 200_000
 
     def __init__(self) -> None:
         self.words: dict[str, int] = {}
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
-
-    def _path(self, path: tuple[str, ...]) -> np.ndarray:
-        v = self.paths.get(path)
-        if v is None:
-            v = np.zeros(PATH_DIM, np.float32)
-            for t in set(path):
-                h = zlib.crc32(t.encode())
-                # Two places a token: a collision of one is told apart by the other.
-                v[h % PATH_DIM] += 1
-                v[(h // PATH_DIM) % PATH_DIM] += 0.5 if h & 1 else -0.5
-            if len(self.paths) < self.MOST:
-                self.paths[path] = v
-        return v
 
     def page(self, blocks: list) -> np.ndarray:
         x = np.zeros((len(blocks), DIM), np.float32)
         words = self.words
         for i, (path, text, linked, *_) in enumerate(blocks):
-            x[i, :PATH_DIM] = self._path(path)
+            x[i, :PATH_DIM] = path.vector()
             own = text.split()
             places = []
             for w in own:
@@ -286,10 +373,10 @@ class Labeller:
             both.append(self._run(side, x, live, kept))
             if keep is not None:
                 keep[side] = kept
-        joint = np.concatenate([*both, x], axis=2)
         if keep is not None:
-            keep["joint"] = joint
-        return joint @ self.w["o"] + self.w["o0"][0]
+            keep["joint"] = np.concatenate([*both, x], axis=2)
+        own, n = self.w["o"], HIDDEN
+        return both[0] @ own[:n] + both[1] @ own[n:2 * n] + x @ own[2 * n:] + self.w["o0"][0]
 
     def gradient(self, x: np.ndarray, live: np.ndarray, y: np.ndarray) -> tuple[dict, float]:
         keep: dict = {}
@@ -365,6 +452,8 @@ class Labeller:
 
 
 def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if len(pages) == 1:
+        return pages[0][:, None], np.ones((len(pages[0]), 1), bool)
     steps = max(len(p) for p in pages)
     x, live = np.zeros((steps, len(pages), DIM), np.float32), np.zeros((steps, len(pages)), bool)
     for j, p in enumerate(pages):
@@ -372,14 +461,15 @@ def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, live
 
 
-def train(sample: list[str], variants: int = 360, seed: int = 7) -> Labeller:
-    """A labeller from pages (html) and made-up variants of them."""
+def train(sample: list[str], variants: int = 360, nameless: int = 480, seed: int = 7) -> Labeller:
+    """A labeller from pages (html) and made-up variants of them, some nameless."""
     rng = random.Random(seed)
     blocks = [b for b in map(read_blocks, sample) if b]
     made = [[(*b, teacher(b[0])) for b in page] for page in blocks
             if any(teacher(b[0]) for b in page)]
     if blocks:
         made += [variant(blocks, rng) for _ in range(variants)]
+        made += [masked(blocks, rng) for _ in range(nameless)]
     vec = Vectors()
     out = Labeller(seed)
     if made:
@@ -388,11 +478,13 @@ def train(sample: list[str], variants: int = 360, seed: int = 7) -> Labeller:
 
 
 def training_pages(pages: DataFrame, id_col: str, html_col: str, n: int = TRAIN_PAGES) -> list[str]:
-    """At most ``n`` pages, the least by a hash of the id."""
+    """At most ``n`` pages, the least by a hash of the id. Only hashes are sorted;
+    of pages with one hash, the least html counts."""
     rows = pages.where(F.col(html_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col)).alias("h"), F.xxhash64(F.col(html_col)).alias("g"),
-        F.col(html_col).alias("html")).orderBy("h", "g").limit(n).collect()
-    return [r["html"] for r in rows]
+        F.xxhash64(F.col(id_col)).alias("h"), F.col(html_col).alias("html"))
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(n).collect()]
+    taken = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.min("html").alias("html"))
+    return [r["html"] for r in sorted(taken.collect(), key=lambda r: r["h"])] if least else []
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
