@@ -1,6 +1,8 @@
 import os
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -152,6 +154,19 @@ def test_table_is_filled_in_turns_and_moves_few_keys(spark):
     assert sum(got[s] == fewer[s] for s in stay) > 0.6 * len(stay)
 
 
+def test_sharding_table_size_follows_the_names(spark, documents, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOTS_A_SHARD", 4)
+    names = sharding.shard_names(spark, 30)
+    slots = {}
+    monkeypatch.setattr(sharding, "place", lambda docs, table, n, **how: slots.update(n=n) or table)
+    table = sharding.placement(documents, names.unionByName(names))
+    assert slots["n"] == 127 and table.select("shard").distinct().count() == 30
+    with pytest.raises(ValueError):
+        sharding.placement(documents, names, slots=29)
+    with pytest.raises(ValueError):
+        sharding.placement(documents, names.limit(0))
+
+
 def test_sharding_edges(documents, none, tmp_path):
     out = sharding.placement(documents.withColumn("slot", F.lit(1)), fallback=("source", "lang", "n_chars"))
     assert out.count() == documents.count() and "slot_" in out.columns and out.where("shard IS NULL").isEmpty()
@@ -177,6 +192,24 @@ def test_licence_expressions():
     assert ev("(MIT OR ISC) WITH LLVM-exception") is None
 
 
+def test_tags_with_text_behind_them():
+    tag = "SPDX-License-Identifier: "
+    for rest, named in (("MIT. Copyright 2020 X", {"mit"}), ("MIT</p>", {"mit"}), ('MIT", "x"', {"mit"}),
+                        ("MIT OR Apache-2.0 */ int x;", {"mit", "apache-2.0"}), ("(MIT AND ISC) more words", {"mit", "isc"}),
+                        ("GPL-2.0+, see file", {"gpl-2.0+"}), ("MIT OR", {"mit"}), ("MIT AND (ISC", {"mit"})):
+        assert licences.tags(tag + rest)[:2] == (named, True), rest
+    for rest in ("", "(MIT", "OR MIT", "()", "&& GPL"):
+        assert licences.tags(tag + rest)[:3] == (set(), False, True), rest
+
+
+def test_dense_licence_places_take_linear_time():
+    a = licences.automaton()
+    n = 150_000
+    t = time.process_time()
+    row = licences.scan(b"x " + b"cc by nc " * n, a)
+    assert row[:4] == (3 * n + 1, n, 1, 3 * n - 2) and time.process_time() - t < 10
+
+
 def test_licence_places_match_brute_force(clean, clean_rows):
     got = {r["doc_id"]: r for r in licences.scan_texts(clean, carry=["doc_id"]).collect()}
     for r in clean_rows:
@@ -353,6 +386,50 @@ def test_main_text_of_pages(spark, pages):
     assert np.concatenate(hits).mean() > 0.97
 
 
+ARTICLE = ["The harbour opens again", "After two years of works the old harbour opened on Monday, and boats came in from the "
+           "whole coast.", "The mayor thanked the workers and said that the costs had stayed below the plan."]
+LINKS = ["Home", "News", "Contact"]
+
+
+def test_main_text_under_names_unknown_to_training(spark, pages):
+    """Hand-written templates whose names no training page has."""
+    labeller = html_blocks.train(html_blocks.training_pages(pages, "page_id", "html"))
+    menu = "<ul>" + "".join(f"<li><a href=/{x}>{x}</a></li>" for x in LINKS) + "</ul>"
+    body = f"<h1>{ARTICLE[0]}</h1>" + "".join(f"<p>{t}</p>" for t in ARTICLE[1:])
+    end = "© 2024 Harbour Times"
+    templates = [f'<div id="masthead">{menu}</div><div class="text">{body}</div><div id="bottom">{end}</div>',
+                 f'<table><tr><td class="menu">{menu}</td><td>{body}</td></tr></table>',
+                 f'<div class="navigation">{menu}</div><div class="inhalt">{body}</div><div class="fusszeile">{end}</div>',
+                 f'<div class="k1">{menu}</div><div class="k2">{body}</div><div class="k3"><a href=/i>Imprint</a></div>',
+                 f'<div>{menu}</div><section>{body}</section><div><p>{end}</p></div>',
+                 f'<div class="oben">{menu}</div><div class="mitte"><div>{body}</div></div>',
+                 f'<div id="hd">{menu}</div><div id="bd">{body}</div><div id="ft"><a href=/p>Privacy</a></div>']
+    rows = spark.createDataFrame([(i, f"<html><body>{t}</body></html>") for i, t in enumerate(templates)],
+                                 "page_id long, html string")
+    right = wrong = missed = 0
+    for r in html_blocks.extract(rows, labeller=labeller).collect():
+        got = r["text"].split("\n") if r["text"] else []
+        right += sum(t in ARTICLE for t in got)
+        wrong += sum(t not in ARTICLE for t in got)
+        missed += sum(t not in got for t in ARTICLE)
+    print("blocks right, wrong, missed:", right, wrong, missed)
+    assert 2 * right / (2 * right + wrong + missed) >= 0.85
+
+
+def test_deep_pages_take_memory_in_proportion():
+    page = "<div>x" * 30_000
+    tracemalloc.start()
+    blocks = html_blocks.read_blocks(page)
+    rows = html_blocks.Vectors().page(blocks)
+    html_blocks.Labeller(1).label([rows])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blocks) == 30_000 and most < 60e6
+    named = html_blocks.read_blocks("".join(f"<b class=k{chr(97 + i % 26)}{chr(97 + i // 26)}>x<div>" for i in range(600)))
+    assert len(named) == 600 and len({b[0] for b in named}) == 600
+    assert html_blocks.read_blocks("<center>x" * 20_000 + "</section>" * 20_000)[-1][1] == "x"
+
+
 def test_url_intervals_and_lookups(spark):
     changes = spark.createDataFrame([
         ("host", "a.x.org", 10, True), ("host", "a.x.org", 20, False), ("host", "a.x.org", 30, True),

@@ -7,8 +7,9 @@ every place of an identifier tag in a single pass. For texts with a tag, the
 expression that follows it on its line is read from the text itself: operators
 WITH, AND, OR (binding in this order) and brackets go through a shunting-yard,
 and the postfix form is evaluated to the licences named, and to whether some
-choice of licences is permissive throughout. A malformed expression names
-nothing.
+choice of licences is permissive throughout. Of a line, the longest well-formed
+beginning is the expression: what cannot continue it, or follows a full stop, is
+other text. A line without such a beginning is malformed and names nothing.
 
 Score: 1 with a base phrase or a well-formed tag, 0.8 with other notices only,
 0.5 with a malformed tag only, else 0.
@@ -64,45 +65,52 @@ _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
                for c in range(256))
 
 
-def postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: identifiers and operators in postfix order, or None."""
+def beginning(expression: str) -> tuple[list[str] | None, int]:
+    """Shunting-yard: identifiers and operators of the longest well-formed
+    beginning in postfix order (None without one), and where it ends."""
     out: list[str] = []
     held: list[str] = []
-    at, operand = 0, True
-    text = expression.strip().rstrip("*/-> \t")
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            return None
-        word, at = m[1], m.end()
-        low = word.lower()
+    whole: list[str] | None = None  # postfix form of what is well-formed so far
+    depth, at, until, operand = 0, 0, 0, True
+    while m := _TOKEN.match(expression, at):
+        word, at = m[1].rstrip(".:-"), m.end()
+        low, ends = word.lower(), len(word) < len(m[1])
         if word == "(":
             if not operand:
-                return None
+                break
             held.append(word)
+            depth += 1
         elif word == ")":
-            if operand:
-                return None
-            while held and held[-1] != "(":
+            if operand or not depth:
+                break
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                return None
             held.pop()
+            depth -= 1
         elif low in _BINDING:
             if operand:
-                return None
+                break
             while held and held[-1] != "(" and _BINDING[held[-1]] >= _BINDING[low]:
                 out.append(held.pop())
             held.append(low)
             operand = True
         else:
             if not operand:
-                return None
+                break
             out.append(low)
             operand = False
-    if operand or "(" in held:
-        return None
-    return out + held[::-1]
+        if not operand and not depth:
+            whole, until = out + held[::-1], m.start(1) + len(word)
+        if ends:
+            break
+    return whole, until
+
+
+def postfix(expression: str) -> list[str] | None:
+    """The postfix order of an expression that is well-formed as a whole, or None."""
+    text = expression.strip().rstrip("*/-> \t")
+    rpn, until = beginning(text)
+    return rpn if until == len(text) else None
 
 
 def evaluate(rpn: list[str]) -> tuple[set[str], bool] | None:
@@ -131,7 +139,7 @@ def tags(text: str) -> tuple[set[str], bool, bool, bool]:
     good = bad = False
     free = True
     for m in _TAG_LINE.finditer(text):
-        rpn = postfix(m[1])
+        rpn, _ = beginning(m[1])
         found = evaluate(rpn) if rpn else None
         if found is None:
             bad = True
@@ -149,7 +157,7 @@ def automaton():
     a = ahocorasick.Automaton()
     for kind, phrases in (("base", BASE), ("notice", NOTICES), ("tag", {TAG: ""})):
         for phrase, label in phrases.items():
-            a.add_word(f" {phrase} ", (kind, label, len(phrase) + 2))
+            a.add_word(f" {phrase} ", (kind, label, len(phrase.split())))
     a.make_automaton()
     return a
 
@@ -157,23 +165,27 @@ def automaton():
 def scan(raw: bytes, a) -> tuple:
     words = raw.translate(_WORDS).split()
     line = " " + b" ".join(words).decode("latin-1") + " "
-    starts: list[int] = []
+    first = last = None
     base, more = set(), set()
-    tagged = False
+    tagged, n, seen, read = False, 0, 0, 0
     for end, (kind, label, size) in a.iter(line):
         if kind == "tag":
             tagged = True
             continue
         if kind == "base":
             base.add(label)
-            starts.append(line.count(" ", 0, end + 1 - size))
+            seen, read = seen + line.count(" ", read, end + 1), end + 1  # ends only grow
+            start = seen - size - 1
+            n += 1
+            first = start if first is None else min(first, start)
+            last = start if last is None else max(last, start)
         more.add(label)
     good = bad = free = False
     if tagged:
         named, good, bad, free = tags(raw.decode("utf-8", "replace"))
         more |= named
     score = 1.0 if base or good else 0.8 if more else 0.5 if bad else 0.0
-    return (len(words), len(starts), min(starts, default=None), max(starts, default=None),
+    return (len(words), n, first, last,
             ",".join(sorted(base)), ",".join(sorted(more)), score, free if good else None)
 
 
