@@ -6,15 +6,18 @@ every slot. Shards take turns; each claims the first slot it prefers that is
 still free, until the table is full. Shares of the table then differ by one
 slot at most, and adding or removing a shard moves few keys besides its own.
 
-The turns are one ``aggregate`` over a row; the table has a fixed number of
-rows (the prime), so it is broadcast, and placing a key is a hash, a remainder
-and a lookup. Only DataFrame functions run.
+The turns are one ``aggregate`` over a row; the table has as many rows as the
+prime, at least SLOTS_A_SHARD for each shard named, so it is broadcast, and placing
+a key is a hash, a remainder and a lookup. Filling takes time that grows with the
+square of the slots: pass fewer ``slots`` for thousands of shards. Only DataFrame
+functions run.
 
 A key that holds many rows would fill its shard; ``spread`` deals the rows of
 each key to that many places, by a second key of the row.
 
 Defined cases: a null id places the row by its ``fallback`` columns (nulls
-count as empty); repeated rows share a shard; an empty table gives an empty
+count as empty); repeated rows share a shard; repeated shard names count once; more
+shards than slots, or none, are an error; an empty table gives an empty
 result; further columns are carried along.
 """
 
@@ -102,9 +105,11 @@ def place(docs: DataFrame, table: DataFrame, slots: int, id_col: str = "doc_id",
 def placement(docs: DataFrame, shards: DataFrame | None = None, slots: int | None = None,
               **how: object) -> DataFrame:
     """Fills a table for ``shards`` (default: SHARDS names) and places ``docs``."""
-    spark = docs.sparkSession
-    names = shard_names(spark) if shards is None else shards
-    slots = slots or prime_from(SLOTS_A_SHARD * SHARDS)
+    names = shard_names(docs.sparkSession) if shards is None else shards.select("shard").distinct()
+    n = SHARDS if shards is None else names.count()
+    slots = slots or prime_from(SLOTS_A_SHARD * n)
+    if not 0 < n <= slots:
+        raise ValueError(f"{n} shards do not fit {slots} slots")
     return place(docs, materialise(fill(names, slots), "slots"), slots, **how)
 
 
