@@ -1,6 +1,7 @@
 """Detector building blocks on small fixtures."""
 
 import numpy as np
+import pytest
 
 from vigil.operators import detectors as det
 
@@ -136,3 +137,53 @@ def test_walk_forward_folds_train_before_their_days(spark, tmp_path):
     last = {r["day"]: r["date"] for r in days.collect()}
     assert all(e < last[s] for e, s in zip(train["label_end"], start))
     assert sorted(train["train_fold"].unique()) == list(range(7))
+
+
+def plain_mixture(x, k, steps, reg=1e-3):
+    """EM over one array, from the same start."""
+    d = x.shape[1]
+    cov0 = np.cov(x.T, bias=True).reshape(d, d) + reg * np.eye(d)
+    means = np.repeat(x.mean(axis=0)[None], k, axis=0)
+    means[:, 0] = np.linspace(x[:, 0].min(), x[:, 0].max(), k)
+    covs, weights = [cov0] * k, np.full(k, 1 / k)
+    for _ in range(steps):
+        dens = []
+        for j in range(k):
+            dev = x - means[j]
+            quad = np.array([v @ np.linalg.inv(covs[j]) @ v for v in dev])
+            dens.append(weights[j] * np.exp(-quad / 2) / np.sqrt(np.linalg.det(2 * np.pi * covs[j])))
+        r = np.array(dens) / np.sum(dens, axis=0)
+        weights = r.sum(axis=1) / len(x)
+        means = np.array([(r[j][:, None] * x).sum(axis=0) / r[j].sum() for j in range(k)])
+        covs = [(r[j][:, None, None] * np.array([np.outer(v, v) for v in x])).sum(axis=0) / r[j].sum()
+                - np.outer(means[j], means[j]) + reg * np.eye(d) for j in range(k)]
+    return weights, means, np.array(covs), float(np.log(np.sum(dens, axis=0)).sum())
+
+
+def test_mixture_steps_cost_their_rows_not_their_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal([0, 0, 1], 1.0, (150, 3)), rng.normal([3, -2, 1], 0.7, (90, 3))])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(48)
+    sc, steps = spark.sparkContext, 12
+
+    def tasks_of(max_iter):
+        group = f"mixture-{max_iter}"
+        sc.setJobGroup(group, group)
+        fit = det.fit_mixture(df, ["a", "b", "c"], 2, max_iter=max_iter, tol=0.0)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        tell = sc.statusTracker()
+        jobs = [tell.getJobInfo(j) for j in tell.getJobIdsForGroup(group)]
+        return fit, sum(tell.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if tell.getStageInfo(s))
+
+    _, once = tasks_of(1)
+    fit, often = tasks_of(steps)
+    assert often - once < 48 * (steps - 1)  # a later step reads blocks, not the 48 partitions and what lies before
+    weights, means, covs, ll = plain_mixture(x, 2, steps)
+    assert np.allclose(fit.weights, weights) and np.allclose(fit.means, means) and np.allclose(fit.covariances, covs)
+    assert abs(fit.log_likelihood - ll) < 1e-8 * abs(ll) and (fit.iterations, fit.converged) == (steps, False)
+    monkeypatch.setattr(det, "BLOCK_ROWS", 7)  # many blocks, rows with a NULL left out of the sums
+    more = df.unionByName(spark.createDataFrame([(None, 1.0, 1.0)], df.schema))
+    many = det.fit_mixture(more, ["a", "b", "c"], 2, max_iter=1)
+    one = plain_mixture(x, 2, 1)
+    assert many.weights.sum() * 241 == pytest.approx(240) and many.log_likelihood < 0
+    assert np.isfinite(many.means).all() and np.asarray(many.means).shape == one[1].shape

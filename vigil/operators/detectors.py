@@ -14,13 +14,15 @@ from __future__ import annotations
 import math
 import uuid
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -349,6 +351,30 @@ def _forward_backward(x: np.ndarray, means, covs, weights, trans, start):
     return post, path
 
 
+#: Rows of a block of the mixture fit.
+BLOCK_ROWS = 32768
+
+
+def _blocks(rows: Iterable, width: int) -> Iterator[np.ndarray]:
+    """The rows of a partition as arrays of up to BLOCK_ROWS rows."""
+    rows = iter(rows)
+    while chunk := list(islice(rows, BLOCK_ROWS)):
+        yield np.array(chunk, dtype=float).reshape(-1, width)
+
+
+def _mixture_sums(logw: np.ndarray, means: np.ndarray, inverses: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """E-step of one block: the log-likelihood, then per component the sums of
+    the responsibilities, of the weighted inputs and of their outer products."""
+    dev = x[None, :, :] - means[:, None, :]
+    logp = logw[:, None] - np.einsum("jia,jab,jib->ji", dev, inverses, dev, optimize=True) / 2
+    top = logp.max(axis=0)
+    expo = np.exp(logp - top)
+    tot = expo.sum(axis=0)
+    resp = expo / tot
+    return np.concatenate([[(np.log(tot) + top).sum()], resp.sum(axis=1), (resp @ x).ravel(),
+                           np.einsum("ji,ia,ib->jab", resp, x, x, optimize=True).ravel()])
+
+
 class MixtureFit(NamedTuple):
     weights: np.ndarray
     means: list
@@ -360,10 +386,13 @@ class MixtureFit(NamedTuple):
 
 def fit_mixture(df: DataFrame, cols: Sequence[str], k: int, max_iter: int = 200,
                 tol: float = 1e-7, reg: float = 1e-3):
-    """Gaussian mixture (full covariance) by EM, one DataFrame aggregate per
-    iteration: responsibilities are column expressions of the current
-    parameters, and the M-step uses the aggregated weighted sums and outer
-    products (k x (1 + d + d^2) numbers). Components start at evenly spaced
+    """Gaussian mixture (full covariance) by EM. The rows are packed once into
+    blocks of numbers, kept by the executors (memory, then disk) and spread over
+    tasks by their count, so a step costs what its rows cost, whatever the number
+    of partitions ``df`` comes in: each block gives its weighted sums and outer
+    products under the current parameters, added up in a tree to 1 + k x (1 + d +
+    d^2) numbers for the M-step; a step plans and compiles no query. Rows with a
+    NULL input give no sums. Components start at evenly spaced
     points between the minimum and maximum of the first input, the others at
     their mean, with the global covariance; ``reg`` is added to every
     covariance diagonal (a floor, so a component on identical points keeps
@@ -371,7 +400,6 @@ def fit_mixture(df: DataFrame, cols: Sequence[str], k: int, max_iter: int = 200,
     likelihood settled within ``max_iter`` steps.
     """
     d = len(cols)
-    x = [F.col(c) for c in cols]
     first = df.agg(F.min(cols[0]), F.max(cols[0]), F.count(F.lit(1)),
                    *[F.avg(c) for c in cols],
                    *[F.covar_pop(a, b) for a in cols for b in cols]).first()
@@ -385,48 +413,32 @@ def fit_mixture(df: DataFrame, cols: Sequence[str], k: int, max_iter: int = 200,
         means.append(m)
     covs = [cov0.copy() for _ in range(k)]
     weights = np.full(k, 1.0 / k)
+    whole = df.select(*[F.col(c).cast("double").alias(f"_x{a}") for a, c in enumerate(cols)]).where(
+        " AND ".join(f"_x{a} IS NOT NULL" for a in range(d)))
+    blocks = whole.coalesce(max(1, math.ceil(n / BLOCK_ROWS))).rdd.mapPartitions(
+        partial(_blocks, width=d)).persist(StorageLevel.MEMORY_AND_DISK)
     prev = None
     ll = float("nan")
-    for n_steps in range(1, max_iter + 1):
-        logp = []
-        for j in range(k):
-            inv = np.linalg.inv(covs[j])
-            _, logdet = np.linalg.slogdet(covs[j])
-            dev = [x[a] - F.lit(float(means[j][a])) for a in range(d)]
-            quad = sum((dev[a] * dev[b] * F.lit(float(inv[a, b])) for a in range(d)
-                        for b in range(d)), F.lit(0.0))
-            logp.append(F.lit(float(math.log(weights[j] + 1e-300)
-                                    - 0.5 * (d * math.log(2 * math.pi) + logdet))) - quad / 2)
-        top = F.greatest(*logp) if k > 1 else logp[0]
-        expo = [F.exp(lp - top) for lp in logp]
-        tot = sum(expo[1:], expo[0])
-        resp = [e / tot for e in expo]
-        # Responsibilities are materialised once per row; the aggregate then
-        # only references columns (no copy of the density per weighted sum).
-        step = df.select(*[c.alias(f"_x{a}") for a, c in enumerate(x)],
-                         *[r.alias(f"_r{j}") for j, r in enumerate(resp)],
-                         (F.log(tot) + top).alias("_ll"))
-        xr = [F.col(f"_x{a}") for a in range(d)]
-        aggs = [F.sum("_ll").alias("ll")]
-        for j in range(k):
-            rj = F.col(f"_r{j}")
-            aggs.append(F.sum(rj).alias(f"n{j}"))
-            aggs += [F.sum(rj * xr[a]).alias(f"s{j}_{a}") for a in range(d)]
-            aggs += [F.sum(rj * xr[a] * xr[b]).alias(f"q{j}_{a}_{b}")
-                     for a in range(d) for b in range(d)]
-        row = step.agg(*aggs).first()
-        ll = float(row["ll"])
-        for j in range(k):
-            nj = max(float(row[f"n{j}"]), 1e-12)
-            m = np.array([row[f"s{j}_{a}"] for a in range(d)], dtype=float) / nj
-            q = np.array([[row[f"q{j}_{a}_{b}"] for b in range(d)] for a in range(d)],
-                         dtype=float) / nj
-            weights[j] = nj / n
-            means[j] = m
-            covs[j] = q - np.outer(m, m) + reg * np.eye(d)
-        if prev is not None and abs(ll - prev) <= tol * max(1.0, abs(prev)):
-            return MixtureFit(weights, means, covs, ll, True, n_steps)
-        prev = ll
+    try:
+        for n_steps in range(1, max_iter + 1):
+            inverses = np.array([np.linalg.inv(c) for c in covs])
+            logdets = np.array([np.linalg.slogdet(c)[1] for c in covs])
+            logw = np.log(weights + 1e-300) - 0.5 * (d * math.log(2 * math.pi) + logdets)
+            sums = blocks.map(partial(_mixture_sums, logw, np.array(means), inverses)).treeReduce(np.add)
+            ll, counts = float(sums[0]), sums[1:1 + k]
+            s = sums[1 + k:1 + k + k * d].reshape(k, d)
+            q = sums[1 + k + k * d:].reshape(k, d, d)
+            for j in range(k):
+                nj = max(float(counts[j]), 1e-12)
+                m = s[j] / nj
+                weights[j] = nj / n
+                means[j] = m
+                covs[j] = q[j] / nj - np.outer(m, m) + reg * np.eye(d)
+            if prev is not None and abs(ll - prev) <= tol * max(1.0, abs(prev)):
+                return MixtureFit(weights, means, covs, ll, True, n_steps)
+            prev = ll
+    finally:
+        blocks.unpersist()
     return MixtureFit(weights, means, covs, ll, False, max_iter)
 
 
@@ -457,7 +469,7 @@ def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float |
     """ML-10 ... ML-13, ML-16 (re-aimed regime model).
 
     Emissions: a Gaussian mixture fitted by EM (:func:`fit_mixture`, one
-    aggregate per iteration) on the (optionally binarised) score inputs,
+    pass over packed rows per step) on the (optionally binarised) score inputs,
     fitted on all rows (``fit_on='all'``, as the reference) or the training
     part. Transitions: counts of consecutive most-likely components
     (``lag`` + ``groupBy``). Per series, smoothed posteriors and the Viterbi
