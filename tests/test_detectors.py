@@ -187,3 +187,12 @@ def test_mixture_steps_cost_their_rows_not_their_partitions(spark, monkeypatch):
     one = plain_mixture(x, 2, 1)
     assert many.weights.sum() * 241 == pytest.approx(240) and many.log_likelihood < 0
     assert np.isfinite(many.means).all() and np.asarray(many.means).shape == one[1].shape
+
+
+def test_regime_series_are_smoothed_once(spark):
+    data = labelled(spark)
+    preds, states, _ = det.regime_model(data, binarise_below=57.0)
+    plan = preds._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsIn" not in plan  # the passes over the series are not run again for the output
+    assert preds.count() == data.where("part = 'test'").count() and states.where("is_crisis").count() == 1
+    assert preds.where("pred = 1").agg({"y": "avg"}).first()[0] > preds.where("pred = 0").agg({"y": "avg"}).first()[0]

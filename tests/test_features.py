@@ -156,3 +156,19 @@ def test_two_universes_do_not_leak(spark):
     alone = fe.rolling_volatility(_frame(spark, a, "A"), "x", K, windows=(10,))
     got = [r["vol_10d"] for r in out.where("universe = 'A'").orderBy("date").collect()]
     _close(_col(alone, "vol_10d"), got)
+
+
+def test_window_tasks_do_not_follow_the_partitions_of_raw_rows(spark):
+    from vigil.functions import spread
+    from vigil.functions.columns import SPREAD_LEAST
+    df = spark.range(40).selectExpr("CAST(id % 5 AS STRING) AS universe", "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, most in ((600, max(SPREAD_LEAST, 4 * spark.sparkContext.defaultParallelism)), (8, 8)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            dealt = spread(df, ["universe"])
+            assert dealt.rdd.getNumPartitions() == min(n, most)
+            places = dealt.selectExpr("universe", "spark_partition_id() AS at").distinct()
+            assert dealt.count() == 40 and places.count() == 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -79,14 +79,21 @@ def row_mean(cols: Iterable[Column], default: float | None = None) -> Column:
     return F.coalesce(mean, F.lit(default)) if default is not None else mean
 
 
+#: Fewest partitions to which :func:`spread` limits a session, whatever its cores.
+SPREAD_LEAST = 64
+
+
 def spread(df, keys: Sequence[str]):
     """Hash-partition ``df`` by the series keys into the session's shuffle
-    partition count, before a chain of window operators.
+    partition count, at most four a core, before a chain of window operators.
 
     Window stages are CPU-bound on few bytes; AQE would coalesce such a
     small shuffle into a single partition and run every series in one task.
     An explicit repartition is kept as is, and the windows reuse it (same
-    keys), so this adds no exchange of its own.
+    keys), so this adds no exchange of its own. Each task sets up the whole
+    chain, over half a second even for an empty partition, so a count chosen
+    for the raw rows must not give as many tasks here; long partitions spill.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(n, max(SPREAD_LEAST, 4 * spark.sparkContext.defaultParallelism)), *keys)

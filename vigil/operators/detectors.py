@@ -527,7 +527,7 @@ def regime_model(labelled: DataFrame, n_states: int = 2, binarise_below: float |
         f"p{j} double" for j in range(k))
     smoothed = series.select("universe", "date", "x").groupBy("universe").applyInPandas(
         smooth, schema)
-    res = raw.join(smoothed, ["universe", "date"])
+    res = cut_lineage(raw.join(smoothed, ["universe", "date"]))  # read by the state means, the cut and the output
     means_by = res.groupBy("state").agg(F.avg(flag_col).alias("m_flag"),
                                         F.avg("risk_score").alias("m_score")).collect()
     if binarise_below is not None and crisis_by == "flag":
